@@ -77,3 +77,13 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, most_bytes: int = 4 << 20,
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    """Rows set aside: crc32 of the doc_id as text has this remainder."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+def bounded_ids(ids: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the rows, chosen by a hash of their doc_id: the same at every run and partitioning."""
+    return ids.orderBy(F.xxhash64("doc_id"), *(c for c in ids.columns)).limit(most)
