@@ -24,7 +24,8 @@ SAMPLE, TERMS, SEEN, STEM = 20_000, 3000, 4, 5
 #: Words of the second person in the languages of the corpus, and how many words away they still count.
 YOU = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti tuyo vosotros".split())
 NEAR = 4
-SPLIT = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c.,;:!?\"()[]{}<>«»“”„…—–/\\|'’`"})
+#: ASCII punctuation but the signs that stand for letters separates words.
+SPLIT = bytes(32 if chr(b) in ".,;:!?\"()[]{}<>/\\|'`" else b for b in range(256))
 #: Signs that stand for letters.
 SPELT = str.maketrans("013457@$€", "oieastase")
 MASKED = re.compile(r"[^\W\d_][\d@$€*#]+[^\W\d_]|(.)\1\1|\b(?:\w[ .\-_*]){3,}\w\b")
@@ -32,7 +33,7 @@ NAMES = ["word density", "stem density", "weight density", "strongest", "distinc
 
 
 def split_words(text: str) -> list[str]:
-    return text.lower().translate(SPLIT).split()
+    return text.lower().encode().translate(SPLIT).decode().split()
 
 
 def features(text: str, lexicon: dict[str, float], stems: dict[str, float]) -> list[float]:
