@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, texts
+from auditlake.llm.common import batched, texts
 
 #: ASCII letters are lower-cased, ASCII characters that are neither letters nor digits separate words, other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -111,25 +111,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, errors_per: int = 16) -
     without a doc_id take no part. Repeated rows give their pairs once. Further columns aren't used.
     """
     rows = texts(docs).select("doc_id", "text")
+    pairs = rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).alias("budget")).where("false")
+    for held in item_passes(benchmark, errors_per):
+        pairs = pairs.unionByName(one_pass(rows, held, errors_per))
+    return pairs.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("budget").alias("budget"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, errors_per: int = 16) -> DataFrame:
+    """docs, all columns as they are, without the rows in which a test item occurs; rows without a doc_id are judged as well."""
+    for held in item_passes(benchmark, errors_per):
+
+        def clean(batches: Iterator[pa.RecordBatch], held: list[tuple[int, str]] = held) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held, errors_per)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.matches(f" {fold(t.as_py() or '')} ") for t in batch.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
+def item_passes(benchmark: DataFrame, errors_per: int) -> Iterator[list[tuple[int, str]]]:
+    """The folded test items, in passes of bounded size: the benchmark is measured first, and each pass brings only its part to the driver."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // PASS_BYTES)
-    found = [rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).alias("budget")).where("false")]
     for i in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) if passes > 1 else items
-        held = [(r.item_id, t) for r in part.collect() if (t := fold(r.text))]
+        # items of under errors_per bytes carry the spaces around them
+        held = [(r.item_id, f" {t} " if len(t) < errors_per else t) for r in part.collect() if (t := fold(r.text))]
         if held:
-            hits = one_pass(rows, held, errors_per)
-            found.append(cut(hits) if passes > 1 else hits)
-    pairs = found[0]
-    for x in found[1:]:
-        pairs = pairs.unionByName(x)
-    return pairs.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("budget").alias("budget"))
+            yield held
 
 
 def one_pass(rows: DataFrame, held: list[tuple[int, str]], errors_per: int) -> DataFrame:
-    held = [(i, f" {t} " if len(t) < errors_per else t) for i, t in held]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(held, errors_per)
 

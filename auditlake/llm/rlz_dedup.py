@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditlake.llm.common import batched, cut, partitions, texts
 from auditlake.llm.segments import LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, TOGETHER, Marks, Windows, joined, late_marks, mark_rows, mix, removed_spans, segments
@@ -267,16 +268,17 @@ def word_duplicates(rows: DataFrame, window: int = 20) -> DataFrame:
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def dedup_spans(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, window: int = 20, keep_text: bool = False, more: list[str] | None = None) -> DataFrame:
     """Remove the words covered by a window of `window` words whose words also start earlier.
 
     Words are runs of bytes other than ASCII white space. Nulls and texts without a word: 0 words.
     Rows without a doc_id take no part and aren't returned. Rows that repeat a doc_id are all
     returned; equal places of equal texts under one doc_id aren't earlier than each other. Further
     columns aren't used. An empty table gives an empty result. With keep_text, a column kept_text
-    holds the kept words, joined by single spaces, and the text unchanged where none goes.
+    holds the kept words, joined by single spaces, and the text unchanged where none goes. Columns
+    named in `more` go along, as the fields of a struct of that name.
     """
-    rows = texts(docs)
+    rows = texts(docs, F.struct(*more).alias("more")) if more else texts(docs)
     n = partitions(docs.sparkSession)
     result = RESULT.append(pa.field("kept_text", pa.string())) if keep_text else RESULT
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched
+from auditlake.llm.common import batched, to_batch
 
 PACKED = pa.schema([("pid", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 PACKED_DDL = "pid int, sub int, kind int, data binary"
@@ -200,37 +200,41 @@ def late_marks(late: DataFrame, pieces: Callable[[bytes, int, int], list[bytes]]
 
 
 def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, result_ddl: str, result: pa.Schema) -> DataFrame:
-    """Bring the marks to their documents. rows: doc_id, text, tag; last(text bytes, starts, ends) gives the result's columns after doc_id and the text's tag.
+    """Bring the marks to their documents. rows: doc_id, text, tag, and maybe a struct `more` that goes along; last(text bytes, starts, ends) gives the result's columns after doc_id.
 
     Marks are packed, a few rows for each task; they come first in each partition, then its documents follow one batch at a time."""
-    docs = rows.select(doc_place(F.col("doc_id"), n).alias("pid"), F.lit(1).alias("late"), "doc_id", "tag", F.col("text").cast("binary").alias("data"))
+    carried = "more" in rows.columns
+    more = [F.col("more")] if carried else []
+    docs = rows.select(doc_place(F.col("doc_id"), n).alias("pid"), F.lit(1).alias("late"), "doc_id", "tag", F.col("text").cast("binary").alias("data"), *more)
     marks = found.select("pid", F.lit(0).alias("late"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("tag"), "data")
-    placed = docs.unionByName(marks)
+    placed = docs.unionByName(marks, allowMissingColumns=True)
+    ddl = result_ddl + (f", more {rows.schema['more'].dataType.simpleString()}" if carried else "")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         by: dict[tuple[int, int], tuple[int, int]] | None = None
         marks = np.zeros(0, MARK)
         for batch in batches:
-            late = batch.column("late").to_numpy(zero_copy_only=False)
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                if not late[i]:
-                    held.append(np.frombuffer(batch.column("data")[i].as_py(), MARK))
-                    continue
-                if by is None:
-                    every = np.concatenate(held) if held else np.zeros(0, MARK)
-                    marks = joined(every["doc"], every["tag"], every["start"], every["end"])
-                    held = []
-                    edge = np.flatnonzero(np.concatenate(([True], (marks["doc"][1:] != marks["doc"][:-1]) | (marks["tag"][1:] != marks["tag"][:-1]), [True]))) if len(marks) else np.zeros(1, int)
-                    by = {(int(marks["doc"][a]), int(marks["tag"][a])): (a, b) for a, b in zip(edge[:-1], edge[1:])}
-                doc, tag = batch.column("doc_id")[i].as_py(), batch.column("tag")[i].as_py()
+            late = batch.column("late").to_numpy(zero_copy_only=False).astype(bool)
+            held += [np.frombuffer(x.as_py(), MARK) for x in batch.column("data").filter(pa.array(~late))]
+            if not late.any():
+                continue
+            if by is None:
+                every = np.concatenate(held) if held else np.zeros(0, MARK)
+                held = []
+                marks = joined(every["doc"], every["tag"], every["start"], every["end"])
+                new = (marks["doc"][1:] != marks["doc"][:-1]) | (marks["tag"][1:] != marks["tag"][:-1])
+                edge = np.flatnonzero(np.concatenate(([True], new, [True]))) if len(marks) else np.zeros(1, int)
+                by = {(int(marks["doc"][a]), int(marks["tag"][a])): (a, b) for a, b in zip(edge[:-1], edge[1:])}
+            batch = batch.filter(pa.array(late))
+            out = []
+            for doc, tag, data in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("data")):
                 a, b = by.get((doc, tag), (0, 0))
-                out.append((doc, *last(batch.column("data")[i].as_py(), marks["start"][a:b], marks["end"][a:b])))
-            if out:
-                yield from batched(iter(out), result)
+                out.append((doc, *last(data.as_py(), marks["start"][a:b], marks["end"][a:b])))
+            made = to_batch(out, result)
+            yield made.append_column("more", batch.column("more")) if carried else made
 
-    return placed.repartitionById(n, F.col("pid")).sortWithinPartitions("late").mapInArrow(finish, result_ddl)
+    return placed.repartitionById(n, F.col("pid")).sortWithinPartitions("late").mapInArrow(finish, ddl)
 
 
 def doc_place(doc, n: int):
