@@ -17,6 +17,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,18 +203,26 @@ def late_marks(late: DataFrame, pieces: Callable[[bytes, int, int], list[bytes]]
 def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, result_ddl: str, result: pa.Schema) -> DataFrame:
     """Bring the marks to their documents. rows: doc_id, text, tag, and maybe a struct `more` that goes along; last(text bytes, starts, ends) gives the result's columns after doc_id.
 
-    Marks are packed, a few rows for each task; they come first in each partition, then its documents follow one batch at a time."""
+    Marks are packed, a few rows for each task; they come first in each partition, then its documents, whose texts travel compressed, follow one batch at a time."""
     carried = "more" in rows.columns
-    more = [F.col("more")] if carried else []
-    docs = rows.select(doc_place(F.col("doc_id"), n).alias("pid"), F.lit(1).alias("late"), "doc_id", "tag", F.col("text").cast("binary").alias("data"), *more)
+    more = f", more {rows.schema['more'].dataType.simpleString()}" if carried else ""
+
+    def shut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data = pa.array([packer.compress(t.as_buffer()) for t in batch.column("text")], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "data", data)
+
+    docs = rows.select("doc_id", "tag", "text", *["more"] * carried).mapInArrow(shut, f"doc_id long, tag int, data binary{more}")
+    docs = docs.select(doc_place(F.col("doc_id"), n).alias("pid"), F.lit(1).alias("late"), *docs.columns)
     marks = found.select("pid", F.lit(0).alias("late"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("tag"), "data")
     placed = docs.unionByName(marks, allowMissingColumns=True)
-    ddl = result_ddl + (f", more {rows.schema['more'].dataType.simpleString()}" if carried else "")
+    ddl = result_ddl + more
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         by: dict[tuple[int, int], tuple[int, int]] | None = None
-        marks = np.zeros(0, MARK)
+        marks, opener = np.zeros(0, MARK), zstandard.ZstdDecompressor()
         for batch in batches:
             late = batch.column("late").to_numpy(zero_copy_only=False).astype(bool)
             held += [np.frombuffer(x.as_py(), MARK) for x in batch.column("data").filter(pa.array(~late))]
@@ -230,7 +239,7 @@ def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, res
             out = []
             for doc, tag, data in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("data")):
                 a, b = by.get((doc, tag), (0, 0))
-                out.append((doc, *last(data.as_py(), marks["start"][a:b], marks["end"][a:b])))
+                out.append((doc, *last(opener.decompress(data.as_py()), marks["start"][a:b], marks["end"][a:b])))
             made = to_batch(out, result)
             yield made.append_column("more", batch.column("more")) if carried else made
 
