@@ -92,13 +92,13 @@ class Run:
             was = held.get(content)
             if was is None or was[0] != key:
                 # a content has one anchor: its windows fix it, whatever stands around them
-                held[content] = (key, left, d, p, t)
-            elif (was[2], was[3]) <= (d, p):
-                if (was[2], was[3]) < (d, p):
+                held[content] = (key, left, d, t, p)
+            elif was[2:] <= (d, t, p):
+                if was[2:] < (d, t, p):
                     again.append((d, t, p, p + m))
             else:
-                held[content] = (key, left, d, p, t)
-                again.append((was[2], was[4], was[3], was[3] + m))
+                held[content] = (key, left, d, t, p)
+                again.append((*was[2:], was[4] + m))
 
     def out(self, packer: zstandard.ZstdCompressor) -> Iterator[tuple]:
         if self.again:
@@ -114,7 +114,7 @@ class Run:
 
 
 def pack(rows: list[tuple]) -> bytes:
-    key, left, doc, place, tag, content = zip(*rows)
+    key, left, doc, tag, place, content = zip(*rows)
     parts = [np.array([len(rows)], "<i8"), np.array(key, "<u8"), np.array(doc, "<i8"), np.array(place, "<i8"), np.array([len(c) for c in content], "<i4"), np.array(tag, "<i2"), np.array(left, "<i2")]
     return b"".join([*(p.tobytes() for p in parts), *content])
 
@@ -175,24 +175,21 @@ def factor_group(rows: list[tuple], marks: Marks, single: Windows, window: int)
     """All segments of one anchor: repeats of a content are marked, different contents are parsed in the order of their earliest places."""
     earliest: dict[bytes, tuple] = {}
     for _, d, p, t, _, content in rows:
-        was = earliest.get(content)
-        if was is None:
-            earliest[content] = (d, p, t)
-            continue
-        if (d, p) < was[:2]:
-            earliest[content] = (d, p, t)
-            d, p, t = was
-        if (d, p) != earliest[content][:2]:
+        was = earliest.setdefault(content, (d, t, p))
+        if (d, t, p) < was:
+            earliest[content] = (d, t, p)
+            d, t, p = was
+        if (d, t, p) != earliest[content]:
             marks.add(d, t, p, p + content.count(b" ") + 1)
     if len(earliest) < 2:
         return
     if len(earliest) > TOGETHER:
-        for content, (d, p, t) in earliest.items():
-            single.late.append((d, p, t, content, 0, content.count(b" ") + 2 - window))
+        for content, (d, t, p) in earliest.items():
+            single.late.append((d, t, p, content, 0, content.count(b" ") + 2 - window))
         single.close()
         return
     blocks = Blocks(window)
-    for content, (d, p, t) in sorted(earliest.items(), key=lambda x: x[1]):
+    for content, (d, t, p) in sorted(earliest.items(), key=lambda x: x[1]):
         for a, b in blocks.parse(content):
             marks.add(d, t, p + a, p + b)
 
@@ -273,8 +270,8 @@ def dedup_spans(docs: DataFrame, window: int = 20, keep_text: bool = False, more
 
     Words are runs of bytes other than ASCII white space. Nulls and texts without a word: 0 words.
     Rows without a doc_id take no part and aren't returned. Rows that repeat a doc_id are all
-    returned; equal places of equal texts under one doc_id aren't earlier than each other. Further
-    columns aren't used. An empty table gives an empty result. With keep_text, a column kept_text
+    returned; equal texts under one doc_id aren't earlier than each other, different ones come in the
+    order of their tags. Further columns aren't used. An empty table gives an empty result. With keep_text, a column kept_text
     holds the kept words, joined by single spaces, and the text unchanged where none goes. Columns
     named in `more` go along, as the fields of a struct of that name.
     """

@@ -2,7 +2,8 @@
 
 Every window of W tokens is assigned the token run of k inside it whose hash is smallest (its
 anchor). Equal windows have equal anchors at equal places, so that it is enough to compare what
-surrounds equal anchors. Consecutive windows with one anchor form a segment; a document of n tokens
+surrounds equal anchors. Rows of one doc_id with different texts stand in the order of their tags, so
+that places have one order: doc_id, tag, place. Consecutive windows with one anchor form a segment; a document of n tokens
 has about 2n/(W-k+2) of them. A segment equal to an earlier one repeats in full. The others are
 resolved window by window among the segments with their anchor.
 
@@ -135,7 +136,7 @@ class Windows:
 
     def add(self, raw: bytes, low: int, high: int, doc: int, tag: int, start: int) -> None:
         """raw: the tokens of a segment; low to high: the windows in question; start: of window 0 in the document."""
-        self.held.append((doc, start, tag, raw, low, high))
+        self.held.append((doc, tag, start, raw, low, high))
         if len(self.held) > TOGETHER:
             self.late.extend(self.held)
             self.held = []
@@ -149,34 +150,56 @@ class Windows:
             return
         if len(held) < 2:
             return
-        held.sort(key=lambda x: (x[0], x[1]))
+        held.sort(key=lambda x: x[:3])
         first: dict[bytes, tuple] = {}
-        for doc, start, tag, raw, low, high in held:
+        for doc, tag, start, raw, low, high in held:
             for i, piece in enumerate(self.pieces(raw, low, high), low):
-                was = first.setdefault(piece, (doc, start + i))
-                if was != (doc, start + i) and was < (doc, start + i):
+                if first.setdefault(piece, (doc, tag, start + i)) < (doc, tag, start + i):
                     self.marks.add(doc, tag, start + i, start + i + self.window)
 
     def out(self) -> Iterator[tuple]:
         """Rows for the second exchange."""
         ready, self.ready = self.ready, []
-        for i, (doc, start, tag, raw, low, high) in enumerate(ready):
+        for i, (doc, tag, start, raw, low, high) in enumerate(ready):
             head = np.array([doc, start, tag, low, high], dtype="<i8").tobytes()
             yield (doc + i) % self.n, 0, LATE, head + raw
 
 
+#: Windows that a task remembers before they are dealt.
+REMEMBERED = 200_000
+
+
 def late_marks(late: DataFrame, pieces: Callable[[bytes, int, int], list[bytes]], window: int, n: int) -> DataFrame:
-    """Marks for the windows of crowded anchors: one row a distinct window and task, dealt by the window's digest and read in order, so that no group is held."""
-    ddl = "win binary, doc long, tag int, at long"
-    schema = pa.schema([("win", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64())])
+    """Marks for the windows of crowded anchors. A task marks all but the earliest of a window that it meets and deals that one by the window's digest, so that a common window is one row a task; what meets there is read in order, and no group is held."""
+    ddl = "pid int, win binary, doc long, tag int, at long, data binary"
+    schema = pa.schema([("pid", pa.int32()), ("win", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("data", pa.binary())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(n)
+        first: dict[bytes, tuple[int, int, int]] = {}
+
+        def dealt() -> Iterator[tuple]:
+            for win, where in first.items():
+                yield int.from_bytes(win[:4], "little") % n, win, *where, None
+            first.clear()
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for data in batch.column("data").to_pylist():
                     doc, start, tag, low, high = np.frombuffer(data, "<i8", 5).tolist()
                     for i, piece in enumerate(pieces(data[40:], low, high), low):
-                        yield blake2b(piece, digest_size=16).digest(), doc, tag, start + i
+                        win, here = blake2b(piece, digest_size=16).digest(), (doc, tag, start + i)
+                        was = first.setdefault(win, here)
+                        if was != here:
+                            first[win], (d, t, at) = (was, here) if was < here else (here, was)
+                            marks.add(d, t, at, at + window)
+                    if len(first) >= REMEMBERED:
+                        yield from dealt()
+                for pid, _, _, packed in marks.out():
+                    yield pid, None, None, None, None, packed
+            yield from dealt()
+            for pid, _, _, packed in marks.out(last=True):
+                yield pid, None, None, None, None, packed
 
         yield from batched(rows(), schema, most_rows=20_000)
 
@@ -186,17 +209,19 @@ def late_marks(late: DataFrame, pieces: Callable[[bytes, int, int], list[bytes]]
         def rows() -> Iterator[tuple]:
             was, least = None, None
             for batch in batches:
-                for win, doc, tag, at in zip(*(batch.column(c).to_pylist() for c in ("win", "doc", "tag", "at"))):
-                    if win != was:
-                        was, least = win, (doc, at)
-                    elif least < (doc, at):
+                for win, doc, tag, at, packed in zip(*(batch.column(c).to_pylist() for c in ("win", "doc", "tag", "at", "data"))):
+                    if win is None:
+                        yield from mark_rows(np.frombuffer(packed, MARK), n)
+                    elif win != was:
+                        was, least = win, (doc, tag, at)
+                    elif least < (doc, tag, at):
                         marks.add(doc, tag, at, at + window)
                 yield from marks.out()
             yield from marks.out(last=True)
 
         yield from batched(rows(), PACKED)
 
-    dealt = late.select("data").mapInArrow(expand, ddl).repartition(n, "win").sortWithinPartitions("win", "doc", "at")
+    dealt = late.select("data").mapInArrow(expand, ddl).repartitionById(n, "pid").sortWithinPartitions("win", "doc", "tag", "at")
     return dealt.mapInArrow(pick, PACKED_DDL)
 
 

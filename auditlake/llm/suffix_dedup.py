@@ -73,13 +73,13 @@ class Run:
             key = raw[q:e] + raw[s:q][::-1] + bytes((q - s,))
             was = keys.get(key)
             if was is None:
-                keys[key] = (b, d, p, t)
-            elif (was[1], was[2]) <= (d, p):
-                if (was[1], was[2]) < (d, p):
+                keys[key] = (b, d, t, p)
+            elif was[1:] <= (d, t, p):
+                if was[1:] < (d, t, p):
                     again.append((d, t, p, p + e - s))
             else:
-                keys[key] = (b, d, p, t)
-                again.append((was[1], was[3], was[2], was[2] + e - s))
+                keys[key] = (b, d, t, p)
+                again.append((*was[1:], was[3] + e - s))
 
     def out(self, packer: zstandard.ZstdCompressor) -> Iterator[tuple]:
         if self.again:
@@ -104,7 +104,7 @@ def front_code(keys: list[bytes], held: dict[bytes, tuple]) -> bytes:
         shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), 256)
         shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
     at = [held[k] for k in keys]
-    doc, place, tag = (np.array([x[i] for x in at], t) for i, t in ((1, "<i8"), (2, "<i8"), (3, "<i2")))
+    doc, place, tag = (np.array([x[i] for x in at], t) for i, t in ((1, "<i8"), (3, "<i8"), (2, "<i2")))
     rests = b"".join(k[c:] for k, c in zip(keys, shared.tolist()))
     return b"".join([np.array([len(keys)], "<i8").tobytes(), shared.astype(np.uint8).tobytes(), (size - shared).astype("<u2").tobytes(), doc.tobytes(), place.tobytes(), tag.tobytes(), rests])
 
@@ -204,9 +204,9 @@ def resolve(entries: Iterator[tuple], marks: Marks, single: Windows, window: int
     for shared, key, d, p, t in entries:
         if was is not None:
             if shared == len(was) == len(key):
-                if (d, p) < (doc, place):
+                if (d, t, p) < (doc, tag, place):
                     d, p, t, doc, place, tag = doc, place, tag, d, p, t
-                if (d, p) != (doc, place):
+                if (d, t, p) != (doc, tag, place):
                     marks.add(d, t, p, p + len(key) - 1)
                 continue
             settle(shared)
@@ -285,8 +285,8 @@ def dedup_substrings(docs: DataFrame, window: int = 100, keep_text: bool = False
     """Remove from each text the bytes covered by a string of `window` bytes that also starts earlier.
 
     Nulls and empty texts: 0 bytes, none removed. Rows without a doc_id take no part and aren't
-    returned. Rows that repeat a doc_id are all returned; equal places of equal texts under one
-    doc_id aren't earlier than each other. Further columns, whatever their names, aren't used. An
+    returned. Rows that repeat a doc_id are all returned; equal texts under one doc_id aren't earlier
+    than each other, different ones come in the order of their tags. Further columns, whatever their names, aren't used. An
     empty table gives an empty result. With keep_text, a column kept_text holds what is left (bytes
     that are no longer valid UTF-8 are replaced).
     """

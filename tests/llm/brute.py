@@ -31,27 +31,32 @@ def odd_texts():
     return [
         (1, None), (2, ""), (3, " \t\n  "), (4, "short text"), (5, long), (6, long), (7, "ab " * 300), (8, "ab " * 300),
         (9, f"{pick(30)} {passage} {pick(20)} {other}"), (10, f"{other} {pick(5)} {passage}"), (11, f"{passage}"), (11, f"{passage}"),
-        (12, f"{pick(100)}"), (12, f"{pick(80)} {passage}"), (-3, f"{pick(25)} {other} {pick(25)}"), (None, passage), (None, None),
+        (12, f"{passage} {pick(100)}"), (12, f"{passage} {pick(80)} {other}"), (-3, f"{pick(25)} {other} {pick(25)}"), (None, passage), (None, None),
         (13, "naïve Straße 🙂 ünïcode — „quotes“ " + pick(40)), (14, f"{passage[:150]} {passage[150:]}"), (15, "x" * 5000), (16, "x" * 777),
         (17, None), (18, "short text"), (19, "one"), (1 << 40, f"{pick(10)} {passage} {pick(10)}"), (20, "Naïve\tone\x0btwo\x0cthree\r\nfour"),
     ]
 
 
+def tagged(df):
+    """(doc_id, text, tag of the text) of each row: places are ordered by doc_id, tag, place."""
+    from auditlake.llm.common import texts
+
+    return [(r.doc_id, r.text, r.tag) for r in texts(df.select("doc_id", "text")).collect()]
+
+
 def repeated(tokens_of, window, rows):
-    """Tokens of each row and which of them a window covers that also starts earlier."""
+    """Tokens of each row and which of them a window covers that also starts earlier. rows: doc_id, text, and tags where a doc_id repeats."""
     first: dict = {}
-    held = [(d, tokens_of(t)) for d, t in rows if d is not None]
-    for d, tokens in held:
+    held = [(d, t[0] if t else 0, tokens_of(text)) for d, text, *t in rows if d is not None]
+    for d, t, tokens in held:
         for i in range(len(tokens) - window + 1):
             key = tokens[i : i + window] if isinstance(tokens, bytes) else tuple(tokens[i : i + window])
-            at = first.get(key)
-            if at is None or (d, i) < at:
-                first[key] = (d, i)
-    for d, tokens in held:
+            first[key] = min((d, t, i), first.get(key, (d, t, i)))
+    for d, t, tokens in held:
         gone = np.zeros(len(tokens) + 1, bool)
         for i in range(len(tokens) - window + 1):
             key = tokens[i : i + window] if isinstance(tokens, bytes) else tuple(tokens[i : i + window])
-            if first[key] < (d, i):
+            if first[key] < (d, t, i):
                 gone[i : i + window] = True
         yield d, tokens, gone
 

@@ -22,14 +22,18 @@ def test_substrings_of_the_table(docs, rows):
 
 
 def test_substrings_of_odd_texts(odd):
-    assert found(suffix_dedup.dedup_substrings(odd), *SUBSTRING) == Counter(brute.substrings(brute.odd_texts()))
+    assert found(suffix_dedup.dedup_substrings(odd), *SUBSTRING) == Counter(brute.substrings(brute.tagged(odd)))
 
 
-def test_substrings_with_crowded_anchors(odd, monkeypatch):
-    """More segments of an anchor than are held at once are resolved by the second exchange."""
-    monkeypatch.setattr(segments, "TOGETHER", 2)
-    rows = [(d, t) for d, t in brute.odd_texts() if t is None or len(t) < 10_000]
-    assert found(suffix_dedup.dedup_substrings(odd.where("text is null or length(text) < 10000")), *SUBSTRING) == Counter(brute.substrings(rows))
+def test_crowded_anchors(spark):
+    """More different segments of an anchor than are held at once are resolved by the second exchange."""
+    rng = np.random.default_rng(8)
+    phrase = " ".join(f"common{i}" for i in range(24))
+    own = lambda: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 12))
+    rows = [(i, f"{own()} {phrase} {own()}") for i in range(segments.TOGETHER + 400)]
+    crowded = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    assert found(suffix_dedup.dedup_substrings(crowded), *SUBSTRING) == Counter(brute.substrings(rows))
+    assert found(rlz_dedup.dedup_spans(crowded), *SPAN) == Counter(x[:4] for x in brute.spans(rows))
 
 
 def test_substrings_keep_what_is_left(odd):
@@ -42,7 +46,7 @@ def test_spans_of_the_table(docs, rows):
 
 
 def test_spans_of_odd_texts(odd):
-    want = Counter(x[:4] for x in brute.spans(brute.odd_texts()))
+    want = Counter(x[:4] for x in brute.spans(brute.tagged(odd)))
     assert found(rlz_dedup.dedup_spans(odd), *SPAN) == want
     assert found(rlz_dedup.dedup_spans(odd, more=["lang", "tag"]), *SPAN) == want
 
