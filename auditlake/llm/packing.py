@@ -182,7 +182,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    pieces = cut(pieces_of(docs, tokenizer, capacity, end_id).repartitionByRange(n, F.desc("length"), "doc_id", "tag", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "tag", "piece").withColumn("part", F.spark_partition_id()))
+    # cut first: the ranges are sampled, and what lies before would be done twice
+    pieces = cut(pieces_of(docs, tokenizer, capacity, end_id))
+    pieces = cut(pieces.repartitionByRange(n, F.desc("length"), "doc_id", "tag", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "tag", "piece").withColumn("part", F.spark_partition_id()))
     # at most one row for each length, and one more for each partition
     per = sorted((r.part, -r.length, r.n) for r in pieces.groupBy("part", "length").agg(F.count("*").alias("n")).collect())
     counts: dict[int, int] = defaultdict(int)
