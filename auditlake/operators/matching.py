@@ -43,10 +43,10 @@ def pair_or_refuse(review: DataFrame, source: DataFrame) -> DataFrame:
     alone_s = s_id.where(refused.isNotNull()).select(*told("source", refused, null, F.col("value")))
     met = r_id.where(refused.isNull()).alias("r").join(s_id.where(refused.isNull()).alias("s"), "id")
     same = (F.col("r.key") == F.col("s.key")) & F.col("r.cell").eqNullSafe(F.col("s.cell"))
-    met = met.select(same.alias("same"), F.col("r.key").alias("key"), F.col("r.value").alias("rv"), F.col("s.value").alias("sv"))
+    met = met.select(same.alias("same"), F.col("r.key").alias("key"), F.col("s.key").alias("source_key"), F.col("r.value").alias("rv"), F.col("s.value").alias("sv"))
     by_id = met.where("same").select(*told("pair", "paired", F.col("rv"), F.col("sv")))
     conflict = met.where("not same")
-    conflict = conflict.select(*told("review", "claim_identity_key_conflict", F.col("rv"), null)).unionByName(conflict.select(*told("source", "claim_identity_key_conflict", null, F.col("sv"))))
+    conflict = conflict.select(*told("review", "claim_identity_key_conflict", F.col("rv"), null)).unionByName(conflict.withColumn("key", F.col("source_key")).select(*told("source", "claim_identity_key_conflict", null, F.col("sv"))))
 
     # rows without an id: one row for each key and cell holds who is first and last in it
     free = review.where("id is null").select("key", "cell", "pos", "value", F.lit(0).alias("s")).unionByName(source.where("id is null").select("key", "cell", "pos", "value", F.lit(1).alias("s")))
