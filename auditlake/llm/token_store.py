@@ -19,6 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ LEAST, MOST, EVERY, SEEN = 64, 4096, 512, 8
 DIGEST = 16
 OBJECT = pa.schema([("pid", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("data", pa.binary())])
 OBJECT_DDL = "pid int, kind string, doc_id long, tag int, n_tokens long, digest binary, data binary"
+#: Bytes of ids that are looked through at once.
+TOGETHER = 2 << 20
 #: Digests that a task remembers to send a chunk once.
 REMEMBERED = 200_000
 
@@ -47,22 +50,23 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else digest_of(b"")
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream: behind an id where the hash of the last few allows it, within the least and the longest length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def allowed_cuts(ids: np.ndarray) -> np.ndarray:
+    """Places behind an id where the hash of the last few allows a cut. Streams may stand on end: a cut is never within the least length of a start, so what a hash sees of the stream before doesn't count."""
     h = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(n, np.uint64)
-    for i in range(SEEN):
-        rolled[i:] += h[: n - i] * np.uint64(2 * i + 1)
-    at = np.flatnonzero(mix(rolled) % np.uint64(EVERY) == 0) + 1
-    ends, start = [], 0
-    for end in [*at.tolist(), n]:
+    rolled = np.zeros(len(ids), np.uint64)
+    for i in range(min(SEEN, len(ids))):
+        rolled[i:] += h[: len(ids) - i] * np.uint64(2 * i + 1)
+    return np.flatnonzero(mix(rolled) % np.uint64(EVERY) == 0) + 1
+
+
+def cuts(start: int, stop: int, allowed: list[int]) -> list[int]:
+    """Ends of the chunks of the stream from start to stop: allowed places (all inside it), within the least and the longest length."""
+    ends = []
+    for end in [*allowed, stop]:
         while end - start > MOST:
             start += MOST
             ends.append(start)
-        if end == n or end - start >= LEAST:
+        if end == stop or end - start >= LEAST:
             if end > start:
                 ends.append(end)
             start = end
@@ -129,34 +133,54 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
         ids_of, seen = encoder(tokenizer).ids, set()
         close = np.array([end_id], "<u4").tobytes()
 
+        def chunked(rows: list[tuple], streams: list[bytes]) -> Iterator[tuple]:
+            raw = b"".join(streams)
+            ids = np.frombuffer(raw, "<u4")
+            bounds = np.cumsum([0, *(len(x) // 4 for x in streams)])
+            allowed = allowed_cuts(ids)
+            inside = np.searchsorted(allowed, bounds, side="right").tolist()
+            allowed, bounds = allowed.tolist(), bounds.tolist()
+            narrow = pack_ids(ids) if ids.max() < 1 << 16 else None
+            for k, (pid, doc, tag) in enumerate(rows):
+                recipe, start = [], bounds[k]
+                for end in cuts(start, bounds[k + 1], allowed[inside[k] : inside[k + 1]]):
+                    data = pack_ids(ids[start:end]) if narrow is None else narrow[:1] + narrow[1 + 2 * start : 1 + 2 * end]
+                    digest = digest_of(data)
+                    recipe.append(digest)
+                    start = end
+                    if digest not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(digest)
+                        yield int.from_bytes(digest[:4], "little") % n, "chunk", None, None, None, digest, data
+                yield pid, "recipe", doc, tag, bounds[k + 1] - bounds[k], merkle(recipe), b"".join(recipe)
+
         def out() -> Iterator[tuple]:
+            rows, streams, size = [], [], 0
             for batch in batches:
                 place = doc_place(batch.column("doc_id").to_numpy(), n).tolist()
-                for pid, doc, tag, text in zip(place, *(batch.column(c) for c in ("doc_id", "tag", "text"))):
-                    ids = np.frombuffer(ids_of(text.as_py()) + close, "<u4")
-                    recipe, start = [], 0
-                    for end in cuts(ids):
-                        data = pack_ids(ids[start:end])
-                        digest = digest_of(data)
-                        recipe.append(digest)
-                        start = end
-                        if digest not in seen:
-                            if len(seen) >= REMEMBERED:
-                                seen.clear()
-                            seen.add(digest)
-                            yield int.from_bytes(digest[:4], "little") % n, "chunk", None, None, None, digest, data
-                    yield pid, "recipe", doc.as_py(), tag.as_py(), len(ids), merkle(recipe), b"".join(recipe)
+                for pid, doc, tag, text in zip(place, batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")):
+                    rows.append((pid, doc, tag))
+                    streams.append(ids_of(text.as_py()) + close)
+                    size += len(streams[-1])
+                    if size >= TOGETHER:
+                        yield from chunked(rows, streams)
+                        rows, streams, size = [], [], 0
+            if rows:
+                yield from chunked(rows, streams)
 
         yield from batched(out(), OBJECT)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         was = None
         for batch in batches:
-            keep = []
-            for kind, digest in zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist()):
-                keep.append(kind == "recipe" or digest != was)
-                was = digest if kind == "chunk" else was
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            digest = batch.column("digest")
+            new = pc.not_equal(digest, pa.concat_arrays([pa.array([was], pa.binary()), digest.slice(0, len(digest) - 1)]))
+            yield batch.filter(pc.or_(pc.equal(batch.column("kind"), "recipe"), pc.fill_null(new, True)))
+            # chunks come before recipes
+            was = digest[-1].as_py()
 
     objects = texts(docs).select("doc_id", "tag", "text").mapInArrow(encode, OBJECT_DDL)
     objects = objects.repartitionById(n, "pid").sortWithinPartitions("kind", "digest").mapInArrow(once, OBJECT_DDL).drop("pid")

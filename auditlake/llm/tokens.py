@@ -2,8 +2,8 @@
 
 A tokenizer that drops white space and never merges across it gives each run of other characters the
 same ids wherever it stands. For such a tokenizer a worker keeps the ids of the runs it has seen and
-joins them; texts with characters outside a plain range, or that may hold a special string, go
-through the library whole. All other tokenizers always do.
+joins them; texts with runs that hold characters outside a plain range, or that may hold a special
+string, go through the library whole. All other tokenizers always do.
 """
 
 from __future__ import annotations
@@ -11,13 +11,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
+#: A special string's start, and separators of Python's that are none of the library's.
+APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Characters for which lower-casing and composition are the same in Python as in the library: ASCII and Latin letters with marks, without control characters and dotted capital I.
-UNUSUAL = re.compile(r"[^\t-\r -~\x85\xa0-įı-ɏ]|<\|")
-#: Runs that one worker remembers.
+UNUSUAL = re.compile(r"[^!-~\xa1-įı-ɏ]")
+#: Runs that one worker remembers, and once more those of before.
 REMEMBERED = 300_000
 #: Normalisers and splitting pattern of a tokenizer that may be taken run by run.
 BY_RUNS = {
@@ -26,6 +30,21 @@ BY_RUNS = {
 }
 
 
+class Unusual(Exception):
+    """A run holds a character out of the plain range."""
+
+
+class Runs(dict):
+    """Ids by run, learned where they are first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self[run] = self.learn(run)
+        return ids
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, without begin, end or added special tokens."""
 
@@ -60,37 +79,37 @@ class Encoder:
             import regex
 
             self.pieces = regex.compile(BY_RUNS["split"]).findall
-            self.runs: dict[str, bytes] = {}
-            self.words: dict[str, bytes] = {}
+            # runs of late and those of before: what is met again stays, what isn't goes
+            self.runs = Runs(self._learn)
+            self.before: dict[str, bytes] = {}
+            self.tokenize = self.lib.model.tokenize
             # each byte stands for itself where it prints, else for a character from 256 on
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = iter(range(256, 512))
             self.letters = {b: chr(b if b in shown else next(rest)) for b in range(256)}
 
-    def _word(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.lib.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))], "<u4").tobytes()
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+    def _learn(self, run: str) -> bytes:
+        """The ids of a run that isn't among those of late."""
+        ids = self.before.get(run)
+        if ids is not None:
+            return ids
+        if not (run.isascii() and run.isprintable()) and UNUSUAL.search(run):
+            raise Unusual(run)
+        if run.isalpha() or len(words := self.pieces(run)) == 1:
+            shown = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+            tokens = self.tokenize(shown)
+            return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return b"".join(map(self.runs.__getitem__, words))
 
     def ids(self, text: str) -> bytes:
-        if not self.by_runs or UNUSUAL.search(text):
+        if not self.by_runs or any(a in text for a in APART):
+            return np.array(self.whole(text), "<u4").tobytes()
+        if len(self.runs) >= REMEMBERED:
+            self.before, self.runs = self.runs, Runs(self._learn)
+        try:
+            return b"".join(map(self.runs.__getitem__, text.lower().split()))
+        except Unusual:
             return np.array(self.whole(text), "<u4").tobytes()
-        runs, split = self.runs, text.lower().split()
-        out = list(map(runs.get, split))
-        if None in out:
-            words = self.words
-            if len(runs) >= REMEMBERED:
-                runs.clear()
-            for i, ids in enumerate(out):
-                if ids is None:
-                    run = split[i]
-                    ids = runs.get(run)
-                    if ids is None:
-                        ids = runs[run] = b"".join([words.get(w) or self._word(w) for w in self.pieces(run)])
-                    out[i] = ids
-        return b"".join(out)
 
 
 @lru_cache(maxsize=4)

@@ -164,3 +164,17 @@ def test_empty_tables(docs):
     assert token_counts.count_tokens(none, WORDS).collect() == []
     assert token_store.stored_ids(none, WORDS).collect() == []
     assert packing.pack(none, WORDS).collect() == []
+
+
+def test_chunks_depend_on_their_stream_alone():
+    rng = np.random.default_rng(6)
+    streams = [rng.integers(2, 50_000, n).astype("<u4") for n in (1, 3, 70, 20_000, 64, 5000)] + [np.full(9000, 7, "<u4")]
+    ids = np.concatenate(streams)
+    allowed, at = token_store.allowed_cuts(ids), 0
+    for stream in streams:
+        own = token_store.cuts(0, len(stream), token_store.allowed_cuts(stream).tolist())
+        inside = allowed[(allowed > at) & (allowed <= at + len(stream))].tolist()
+        assert [x - at for x in token_store.cuts(at, at + len(stream), inside)] == own
+        sizes = np.diff([0, *own])
+        assert sizes.sum() == len(stream) and sizes.max() <= token_store.MOST and (sizes[:-1] >= token_store.LEAST).all()
+        at += len(stream)
