@@ -3,6 +3,7 @@
 import json
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_tokens import WORDS, verify_packing
@@ -53,6 +54,30 @@ def test_stages_on_odd_rows(spark, docs, sf):
         assert stage(spark, none, sf).collect() == [], name
 
 
+def test_near_copies_of_few_changed_words(spark, docs):
+    rng = np.random.default_rng(11)
+    line = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    rows, common = [], line(40)
+    for k in range(40):
+        words = line(rng.integers(60, 300)) + (common if k % 2 else [])
+        for copy in range(3):
+            rows.append((10 * k + copy, " ".join(words)))
+            words = list(words)
+            for at in rng.integers(0, len(words), 1 + k % 3):
+                words[at] = f"new{k}_{copy}_{at}"
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    made = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, made, "").collect()}
+    assert got == {d for d, g in group.items() if d == g}
+    assert len(got) < 60
+
+
 def test_queries_are_named_and_whole(spark, sf):
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
