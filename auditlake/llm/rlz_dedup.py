@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import batched, cut, partitions, texts
-from auditlake.llm.segments import LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, TOGETHER, Marks, Windows, joined, late_marks, mark_rows, mix, removed_spans, segments
+from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, TOGETHER, Marks, crowds, joined, late_marks, late_row, mark_rows, mix, removed_spans, segments
 
 #: Words in an anchor.
 ANCHOR = 4
@@ -109,7 +109,13 @@ class Run:
             by.setdefault(x[0] % (self.n * PIECES), []).append((*x, content))
         for bucket, rows in by.items():
             rows.sort()
-            yield bucket % self.n, bucket // self.n, RUN, packer.compress(pack(rows))
+            for a, b in reversed(crowds([x[0] for x in rows])):
+                yield bucket % self.n, 0, HOT, rows[a][0].to_bytes(8, "little")
+                for _, _, d, t, p, content in rows[a:b]:
+                    yield whole_late(content, d, t, p, self.window, self.n)
+                del rows[a:b]
+            if rows:
+                yield bucket % self.n, bucket // self.n, RUN, packer.compress(pack(rows))
         self.held, self.again, self.size = {}, [], 0
 
 
@@ -119,15 +125,41 @@ def pack(rows: list[tuple]) -> bytes:
     return b"".join([*(p.tobytes() for p in parts), *content])
 
 
-def unpack(data: bytes) -> list[tuple]:
+def whole_late(content: bytes, doc: int, tag: int, place: int, window: int, n: int) -> tuple:
+    """A segment as a row of the second exchange, with all its windows."""
+    return late_row(n, doc, tag, place, content, 0, content.count(b" ") + 2 - window)
+
+
+def columns(data: bytes) -> list[np.ndarray]:
+    """Of packed rows: key, doc, place, size of the content, tag, and where the content starts."""
     n = int(np.frombuffer(data, "<i8", 1)[0])
     at, out = 8, []
     for kind in ("<u8", "<i8", "<i8", "<i4", "<i2", "<i2"):
-        out.append(np.frombuffer(data, kind, n, at).tolist())
+        out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    key, doc, place, size, tag, left = out
-    edge = [at, *accumulate(size, initial=at)][1:]
-    return [(k, d, p, t, f, data[a : a + m]) for k, d, p, m, t, f, a in zip(key, doc, place, size, tag, left, edge)]
+    size = out[3].astype(np.int64)
+    return [*out[:5], at + np.cumsum(size) - size]
+
+
+def by_anchor(blobs: list[bytes], hot: set[int]) -> Iterator[tuple[bool, Iterator[tuple]]]:
+    """The segments (doc, place, tag, content) of each anchor that has several or is hot, read as they are asked for, and whether the anchor is crowded."""
+    key, doc, place, size, tag, start = (np.concatenate(c) for c in zip(*map(columns, blobs)))
+    blob = np.repeat(np.arange(len(blobs)), [int(np.frombuffer(b, "<i8", 1)[0]) for b in blobs])
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]], [True])))
+    several = np.diff(edge) > 1
+    if hot:
+        several |= np.isin(key[order[edge[:-1]]], np.array([*hot], np.uint64))
+    for a, b in zip(edge[:-1][several].tolist(), edge[1:][several].tolist()):
+        crowded = b - a > TOGETHER or bool(hot) and int(key[order[a]]) in hot
+
+        def rows(a: int = a, b: int = b) -> Iterator[tuple]:
+            for at in range(a, b, 1024):
+                i = order[at : min(b, at + 1024)]
+                for k, d, p, m, t, s in zip(*(c[i].tolist() for c in (blob, doc, place, size, tag, start))):
+                    yield d, p, t, blobs[k][s : s + m]
+
+        yield crowded, rows()
 
 
 class Blocks:
@@ -171,10 +203,10 @@ def word_slices(window: int):
     return pieces
 
 
-def factor_group(rows: list[tuple], marks: Marks, single: Windows, window: int) -> None:
+def factor_group(rows: Iterator[tuple], marks: Marks, window: int) -> None:
     """All segments of one anchor: repeats of a content are marked, different contents are parsed in the order of their earliest places."""
     earliest: dict[bytes, tuple] = {}
-    for _, d, p, t, _, content in rows:
+    for d, p, t, content in rows:
         was = earliest.setdefault(content, (d, t, p))
         if (d, t, p) < was:
             earliest[content] = (d, t, p)
@@ -183,11 +215,6 @@ def factor_group(rows: list[tuple], marks: Marks, single: Windows, window: int)
             marks.add(d, t, p, p + content.count(b" ") + 1)
     if len(earliest) < 2:
         return
-    if len(earliest) > TOGETHER:
-        for content, (d, t, p) in earliest.items():
-            single.late.append((d, t, p, content, 0, content.count(b" ") + 2 - window))
-        single.close()
-        return
     blocks = Blocks(window)
     for content, (d, t, p) in sorted(earliest.items(), key=lambda x: x[1]):
         for a, b in blocks.parse(content):
@@ -223,25 +250,30 @@ def word_duplicates(rows: DataFrame, window: int = 20) -> DataFrame:
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(n)
-        single = Windows(marks, word_slices(window), window, n)
         opener = zstandard.ZstdDecompressor()
+        hot: set[int] = set()
 
         def groups(held: list[bytes]) -> Iterator[tuple]:
-            rows = [x for data in held for x in unpack(opener.decompress(data))]
-            rows.sort(key=lambda x: x[0])
-            a = 0
-            for b in range(1, len(rows) + 1):
-                if b == len(rows) or rows[b][0] != rows[a][0]:
-                    if b - a > 1:
-                        factor_group(rows[a:b], marks, single, window)
-                        yield from marks.out()
-                        yield from single.out()
-                    a = b
+            if not held:
+                return
+            for crowded, rows in by_anchor([opener.decompress(data) for data in held], hot):
+                if crowded:
+                    for d, p, t, content in rows:
+                        yield whole_late(content, d, t, p, window, n)
+                else:
+                    factor_group(rows, marks, window)
+                    yield from marks.out()
 
         def out() -> Iterator[tuple]:
             sub, held = -1, []
             for batch in batches:
                 for s, kind, data in zip(*(batch.column(c).to_pylist() for c in ("sub", "kind", "data"))):
+                    if kind == HOT:
+                        hot.add(int.from_bytes(data, "little"))
+                        continue
+                    if kind == LATE:
+                        yield s, 0, LATE, data
+                        continue
                     if kind == MARKS:
                         yield from mark_rows(np.frombuffer(data, MARK), n)
                         continue
@@ -252,7 +284,6 @@ def word_duplicates(rows: DataFrame, window: int = 20) -> DataFrame:
                     held.append(data)
             yield from groups(held)
             yield from marks.out(last=True)
-            yield from single.out()
 
         yield from batched(out(), PACKED)
 

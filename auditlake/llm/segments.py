@@ -13,6 +13,7 @@ was found to the texts; how equal content is found is each operator's own.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -26,8 +27,8 @@ from auditlake.llm.common import batched, to_batch
 
 PACKED = pa.schema([("pid", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 PACKED_DDL = "pid int, sub int, kind int, data binary"
-#: Kinds of packed rows.
-RUN, MARKS, LATE = 0, 1, 2
+#: Kinds of packed rows. HOT comes before the runs and names an anchor that is crowded.
+HOT, RUN, MARKS, LATE = -1, 0, 1, 2
 #: A mark: document, tag of its text, first and past-the-last token.
 MARK = np.dtype([("doc", "<i8"), ("tag", "<i2"), ("start", "<i8"), ("end", "<i8")])
 #: Positions that one call looks at; longer inputs are taken in overlapping parts.
@@ -123,8 +124,25 @@ class Marks:
             yield from mark_rows(joined(a[:, 0], a[:, 1], a[:, 2], a[:, 3]), self.n)
 
 
-#: Segments that share an anchor and may share windows, held at once; what goes beyond is resolved through a second exchange.
+#: Segments that share an anchor and may share windows, held at once; of an anchor with more, all are resolved through a second exchange and handed on as they are read.
 TOGETHER = 2048
+#: Segments of one anchor in one run from which on (twice as many for certain) they don't go to the anchor's task at all.
+CROWD = 128
+
+
+def crowds(keys: list) -> list[tuple[int, int]]:
+    """Ranges of equal entries in sorted keys, each of over CROWD and every one of at least twice that."""
+    found, at = [], 0
+    for i in range(0, len(keys) - CROWD, CROWD):
+        if i >= at and keys[i] == keys[i + CROWD]:
+            at = bisect_right(keys, keys[i])
+            found.append((bisect_left(keys, keys[i]), at))
+    return found
+
+
+def late_row(n: int, doc: int, tag: int, start: int, raw: bytes, low: int, high: int) -> tuple:
+    """A segment for the second exchange; the windows low to high are in question."""
+    return (doc + start) % n, 0, LATE, np.array([doc, start, tag, low, high], dtype="<i8").tobytes() + raw
 
 
 class Windows:
@@ -132,22 +150,18 @@ class Windows:
 
     def __init__(self, marks: Marks, pieces: Callable[[bytes, int, int], list[bytes]], window: int, n: int):
         self.marks, self.pieces, self.n, self.window = marks, pieces, n, window
-        self.held, self.late, self.ready = [], [], []
+        self.held, self.ready, self.crowded = [], [], False
 
     def add(self, raw: bytes, low: int, high: int, doc: int, tag: int, start: int) -> None:
         """raw: the tokens of a segment; low to high: the windows in question; start: of window 0 in the document."""
-        self.held.append((doc, tag, start, raw, low, high))
+        (self.ready if self.crowded else self.held).append((doc, tag, start, raw, low, high))
         if len(self.held) > TOGETHER:
-            self.late.extend(self.held)
-            self.held = []
+            self.ready += self.held
+            self.held, self.crowded = [], True
 
     def close(self) -> None:
         """All segments of an anchor have been added."""
-        held, self.held = self.held, []
-        if self.late:
-            self.ready += [*self.late, *held]
-            self.late = []
-            return
+        held, self.held, self.crowded = self.held, [], False
         if len(held) < 2:
             return
         held.sort(key=lambda x: x[:3])
@@ -160,9 +174,8 @@ class Windows:
     def out(self) -> Iterator[tuple]:
         """Rows for the second exchange."""
         ready, self.ready = self.ready, []
-        for i, (doc, tag, start, raw, low, high) in enumerate(ready):
-            head = np.array([doc, start, tag, low, high], dtype="<i8").tobytes()
-            yield (doc + i) % self.n, 0, LATE, head + raw
+        for x in ready:
+            yield late_row(self.n, *x)
 
 
 #: Windows that a task remembers before they are dealt.

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from auditlake.llm.common import batched, cut, partitions, texts, utf8
-from auditlake.llm.segments import LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, Marks, Windows, joined, late_marks, mark_rows, mix, removed_spans, segments
+from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, Marks, Windows, crowds, joined, late_marks, late_row, mark_rows, mix, removed_spans, segments
 
 ANCHOR = 16
 #: Bytes of text in a run, in one numpy pass, and pieces of a run for each receiving task (read one after another).
@@ -90,10 +90,23 @@ class Run:
             by.setdefault(held[0], []).append(key)
         for bucket, keys in by.items():
             keys.sort()
-            yield bucket % self.n, bucket // self.n, RUN, packer.compress(front_code(keys, self.keys))
+            for a, b in reversed(crowds([k[:ANCHOR] for k in keys])):
+                yield bucket % self.n, 0, HOT, keys[a][:ANCHOR]
+                for key in keys[a:b]:
+                    yield whole_late(key, *self.keys[key][1:], self.window, self.n)
+                del keys[a:b]
+            if keys:
+                yield bucket % self.n, bucket // self.n, RUN, packer.compress(front_code(keys, self.keys))
         self.keys, self.again, self.size = {}, [], 0
 
 
+def whole_late(key: bytes, doc: int, tag: int, place: int, window: int, n: int) -> tuple:
+    """A suffix as a row of the second exchange, with all its windows."""
+    left = key[-1]
+    right = len(key) - 1 - left
+    return late_row(n, doc, tag, place, key[right : right + left][::-1] + key[:right], 0, left + right - window + 1)
+
+
 def front_code(keys: list[bytes], held: dict[bytes, tuple]) -> bytes:
     """Counts, shared lengths, lengths of the rest, places and the rests of sorted keys."""
     size = np.array([len(k) for k in keys], np.int32)
@@ -184,8 +197,8 @@ def slices(window: int):
     return pieces
 
 
-def resolve(entries: Iterator[tuple], marks: Marks, single: Windows, window: int) -> Iterator[tuple]:
-    """Read merged suffixes: mark repeats of equal segments, and take windows of the others to `single` where a neighbour in the order shares enough. Gives packed rows as they fill up."""
+def resolve(entries: Iterator[tuple], marks: Marks, single: Windows, window: int, hot: set[bytes]) -> Iterator[tuple]:
+    """Read merged suffixes: mark repeats of equal segments, and take windows of the others to `single` where a neighbour in the order shares enough. Those of hot anchors are handed on. Gives packed rows as they fill up."""
     was: bytes | None = None
     doc = place = tag = before = 0
 
@@ -202,6 +215,10 @@ def resolve(entries: Iterator[tuple], marks: Marks, single: Windows, window: int
             single.close()
 
     for shared, key, d, p, t in entries:
+        if hot and key[:ANCHOR] in hot:
+            # the next anchor shares less than an anchor with this one, as with the one before
+            yield whole_late(key, d, t, p, window, single.n)
+            continue
         if was is not None:
             if shared == len(was) == len(key):
                 if (d, t, p) < (doc, tag, place):
@@ -248,18 +265,25 @@ def suffix_duplicates(rows: DataFrame, window: int = 100) -> DataFrame:
 
         def out() -> Iterator[tuple]:
             sub, held, opener = -1, [], zstandard.ZstdDecompressor()
+            hot: set[bytes] = set()
             for batch in batches:
                 for s, kind, data in zip(*(batch.column(c).to_pylist() for c in ("sub", "kind", "data"))):
+                    if kind == HOT:
+                        hot.add(data)
+                        continue
+                    if kind == LATE:
+                        yield s, 0, LATE, data
+                        continue
                     if kind == MARKS:
                         yield -1, 0, MARKS, data  # its partition is set below
                         continue
                     if s != sub and held:
-                        yield from resolve(merge([decode(opener.decompress(x)) for x in held]), marks, single, window)
+                        yield from resolve(merge([decode(opener.decompress(x)) for x in held]), marks, single, window, hot)
                         held = []
                     sub = s
                     held.append(data)
             if held:
-                yield from resolve(merge([decode(opener.decompress(x)) for x in held]), marks, single, window)
+                yield from resolve(merge([decode(opener.decompress(x)) for x in held]), marks, single, window, hot)
             yield from marks.out(last=True)
             yield from single.out()
 

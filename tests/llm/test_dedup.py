@@ -36,6 +36,37 @@ def test_crowded_anchors(spark):
     assert found(rlz_dedup.dedup_spans(crowded), *SPAN) == Counter(x[:4] for x in brute.spans(rows))
 
 
+def test_no_task_holds_a_crowded_anchor():
+    """Segments of a crowded anchor are handed on where they arise or as they are read."""
+    crowd = 1500
+    single = segments.Windows(segments.Marks(4), suffix_dedup.slices(100), 100, 4)
+    given = most = 0
+    for i in range(3 * segments.TOGETHER):
+        single.add(b"%0150d" % i, 0, 51, i, 0, 0)
+        given += sum(1 for _ in single.out())
+        most = max(most, len(single.held))
+    single.close()
+    assert most <= segments.TOGETHER and given + sum(1 for _ in single.out()) == 3 * segments.TOGETHER
+
+    rng = np.random.default_rng(8)
+    phrase = " ".join(f"common{i}" for i in range(24))
+    own = lambda: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 12))
+    texts = [f"{own()} {phrase} {own()}".encode() for _ in range(crowd)]
+    packer, opener = suffix_dedup.zstandard.ZstdCompressor(), suffix_dedup.zstandard.ZstdDecompressor()
+    run = suffix_dedup.Run(4, 100)
+    run.add(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(crowd), np.zeros(crowd, int))
+    sent = Counter(x[1][:16] for _, _, kind, data in run.out(packer) if kind == segments.RUN for x in suffix_dedup.decode(opener.decompress(data)))
+    assert max(sent.values()) < 512
+    run = rlz_dedup.Run(4, 20)
+    run.add([t.split() for t in texts], list(range(crowd)), [0] * crowd)
+    sent = Counter()
+    for _, _, kind, data in run.out(packer):
+        if kind == segments.RUN:
+            data = opener.decompress(data)
+            sent.update(np.frombuffer(data, "<u8", int(np.frombuffer(data, "<i8", 1)[0]), 8).tolist())
+    assert max(sent.values()) < 512
+
+
 def test_substrings_keep_what_is_left(odd):
     got = {(r.doc_id, r.kept_text) for r in suffix_dedup.dedup_substrings(odd, keep_text=True).collect() if r.doc_id in (2, 4, 18)}
     assert got == {(2, ""), (4, "short text"), (18, "short text")}
