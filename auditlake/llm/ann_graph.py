@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by inner product, on robust-pruned directed graphs.
 
-Distinct vectors are dealt into shards of bounded size by a hash, and each shard gets a graph of its
-own: greedy searches from its entry point propose neighbours for every vector, and relaxed distance
+Distinct vectors are dealt into bands of norm, a factor of four wide, and within a band by a hash into
+shards of bounded size, and each shard gets a graph of its own: greedy searches from its entry point propose neighbours for every vector, and relaxed distance
 pruning keeps those that no kept neighbour is closer to, so that edges point in different directions.
 Queries go in blocks to every shard, where a beam search walks the graph; the best of all shards are
 merged, with exact inner products in double precision.
 
 The largest inner product is a nearest neighbour once a coordinate is added that brings all vectors
-to one norm; a query has 0 there. Equal vectors are one node of a graph and are told apart again
+to one norm; a query has 0 there. The lift is to the largest norm of a shard, in double precision on
+vectors divided by the shard's largest component, so that a few outlying norms blur no other; the
+search itself is ordered by the inner products alone. Equal vectors are one node of a graph and are told apart again
 after the search.
 """
 
@@ -36,7 +38,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: np.n
     n, m = len(x), len(q)
     width = min(width, n)
     ids = np.full((m, width), n, np.int64)
-    dist = np.full((m, width), np.inf, np.float32)
+    dist = np.full((m, width), np.inf, x.dtype)
     done = np.zeros((m, width), bool)
     start = np.unique(entry)[:width]
     ids[:, : len(start)] = start
@@ -61,7 +63,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: np.n
         fresh = ~seen[live[:, None], next_]
         seen[live[:, None], next_] = True
         next_ = np.where(fresh, next_, 0)
-        d = np.where(fresh, distances(x, norms, q[live], next_), np.inf).astype(np.float32)
+        d = np.where(fresh, distances(x, norms, q[live], next_), np.inf)
         all_ids = np.concatenate((ids[live], np.where(fresh, next_, n)), axis=1)
         all_dist = np.concatenate((dist[live], d), axis=1)
         all_done = np.concatenate((done[live], np.zeros(next_.shape, bool)), axis=1)
@@ -151,6 +153,20 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
+def band(vector: Column) -> Column:
+    """Vectors of one band have norms within a factor of four; norm one is amid a band. No square overflows or vanishes."""
+    top = F.array_max(F.transform(vector, F.abs))
+    rest = F.aggregate(F.transform(vector, lambda c: c / top), F.lit(0.0), lambda a, b: a + b * b)
+    return F.floor((F.log2(top) + F.log2(rest) / 2) / 2 + 0.5).cast("int")
+
+
+def lifted(x: np.ndarray) -> np.ndarray:
+    """The vectors over their largest component, with a coordinate that brings all to the largest norm among them."""
+    x = x / np.abs(x).max()
+    norms = (x * x).sum(axis=1)
+    return np.concatenate((x, np.sqrt(norms.max() - norms)[:, None]), axis=1)
+
+
 GRAPH_DDL = "shard int, n int, edges int, entry binary, graph binary, x binary, vids binary"
 
 
@@ -165,15 +181,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
     spark = vectors.sparkSession
     points = clean(vectors)
     asked = clean(queries)
-    shape = points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)).alias("norm")).orderBy(F.desc("n"), "d").first()
+    shape = points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     answer = "query_id long, rank int, vec_id long, score double"
     if shape is None:
         return spark.createDataFrame([], answer)
-    d, norm = shape.d, float(shape.norm)
+    d = shape.d
     # one more than k ids of equal vectors are enough: one may be the query's own
-    distinct = cut(equal_vectors(points.where(F.size("v") == d), k + 1))
-    count = distinct.count()
-    shards = max(1, -(-count // shard))
+    distinct = cut(equal_vectors(points.where(F.size("v") == d), k + 1).withColumn("band", band(F.col("v"))))
+    shards, first = 0, {}
+    for r in distinct.groupBy("band").count().orderBy("band").collect():
+        first[r.band] = (shards, -(-r["count"] // shard))
+        shards += first[r.band][1]
+    dealt = F.create_map(*(F.lit(x) for b, (at, _) in first.items() for x in (b, at)))[F.col("band")]
+    among = F.create_map(*(F.lit(x) for b, (_, n) in first.items() for x in (b, n)))[F.col("band")]
 
     def graphs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(rows)
@@ -184,12 +204,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
         order = np.argsort(vids)
         vids = vids[order]
         x = np.array(held.column("v").to_pylist(), np.float64)[order]
-        lifted = np.concatenate((x, np.sqrt(np.maximum(0, norm - (x * x).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
-        graph, entry = build(lifted)
+        graph, entry = build(lifted(x))
         row = (key, len(x), graph.shape[1], entry.astype("<i8").tobytes(), graph.astype("<i4").tobytes(), x.astype("<f8").tobytes(), vids.astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "n", "edges", "entry", "graph", "x", "vids"])
 
-    built = distinct.select("vid", "v", F.pmod(F.xxhash64("v", F.lit(7)), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(graphs, GRAPH_DDL)
+    built = distinct.select("vid", "v", (dealt + F.pmod(F.xxhash64("v", F.lit(7)), among)).cast("int").alias("shard")).groupBy("shard").applyInArrow(graphs, GRAPH_DDL)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +227,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
                 q = np.frombuffer(row["q"], "<f8").reshape(len(ids), d)
                 x = np.frombuffer(row["x"], "<f8").reshape(row["n"], d)
                 vids = np.frombuffer(row["vids"], "<i8")
-                lifted = np.concatenate((x, np.sqrt(np.maximum(0, norm - (x * x).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
                 graph = np.frombuffer(row["graph"], "<i4").reshape(row["n"], row["edges"]).astype(np.int64)
-                norms = np.einsum("nd,nd->n", lifted, lifted)
-                found, _, _ = beam_search(lifted, norms, graph, np.frombuffer(row["entry"], "<i8"), np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32), max(beam, k + 1))
+                width = max(beam, k + 1)
+                if row["n"] <= width:
+                    found = np.broadcast_to(np.arange(row["n"]), (len(q), row["n"]))
+                else:
+                    found, _, _ = beam_search(x / np.abs(x).max(), np.zeros(row["n"]), graph, np.frombuffer(row["entry"], "<i8"), q / np.abs(q).max(axis=1, keepdims=True), width)
                 safe = np.where(found < row["n"], found, 0)
                 score = np.empty(safe.shape)
                 for j in range(0, len(q), 64):
@@ -219,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
                 score = np.where(found < row["n"], score, -np.inf)
                 order = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
                 best, s = np.take_along_axis(safe, order, 1), np.take_along_axis(score, order, 1)
-                r, c = np.nonzero(np.isfinite(s))
+                r, c = np.nonzero(np.take_along_axis(found, order, 1) < row["n"])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(vids[best[r, c]]), pa.array(s[r, c])], ["query_id", "vid", "score"])
 
     proposed = spread.join(built, "shard").mapInArrow(search, "query_id long, vid long, score double")

@@ -116,6 +116,20 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann_graph.nearest(few.limit(0), few, k=20).collect() == []
 
 
+def test_outlying_norms_blur_no_other(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 16))
+    base[[7, 11]] *= 1e4
+    base[[13, 17]] *= 1e19
+    rows = [(i, v) for i, v in enumerate(base.astype(np.float32).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = exact(rows, range(0, 1500, 20), 20)
+    by = {}
+    for r in ann_graph.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, shard=500).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(by[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
 def items(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet")
 
