@@ -98,7 +98,7 @@ def doi_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inverted_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts put together again from the places of their words."""
-    places = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word")).where("pos < 1000000")
+    places = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = places.groupBy("conv_id", "turn", "word").agg(F.collect_list("pos").alias("at"))
     back = index.select("conv_id", "turn", "word", F.explode("at").alias("pos")).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("all"))
     return back.select("conv_id", "turn", F.array_join(F.col("all.word"), " ").alias("text"))

@@ -37,5 +37,12 @@ def test_against_sql(spark, sf, oracle, name):
     assert rows
 
 
+def test_a_long_text_comes_back_whole(spark, tmp_path):
+    text = " ".join(f"w{i % 1000}" for i in range(1_000_003)) + " end"
+    spark.createDataFrame([(1, 0, text)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    [row] = QUERIES["inverted_index_text"](spark, str(tmp_path)).collect()
+    assert row.text == text
+
+
 def test_every_query_has_its_statement():
     assert set(QUERIES) == set(ORACLE_SQL)
