@@ -58,9 +58,14 @@ def myers(pattern: str, text: str, budget: int) -> int:
     return min(best, budget + 1)
 
 
+def budget(item: str, errors_per: int) -> int:
+    """Errors allowed to an item; the spaces around a short one don't count."""
+    return len(item.strip(" ")) // errors_per
+
+
 def cut_item(item: str, errors_per: int) -> list[tuple[int, str]]:
     """Budget plus one pieces, with their places in the item."""
-    pieces = len(item) // errors_per + 1
+    pieces = budget(item, errors_per) + 1
     edge = [len(item) * i // pieces for i in range(pieces + 1)]
     return [(a, item[a:b]) for a, b in zip(edge, edge[1:])]
 
@@ -69,7 +74,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], errors_per: int):
         import ahocorasick
 
-        self.items = [(i, t, len(t) // errors_per) for i, t in items]
+        self.items = [(i, t, budget(t, errors_per)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, _) in enumerate(self.items):
             for at, piece in cut_item(text, errors_per):

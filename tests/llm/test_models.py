@@ -152,6 +152,14 @@ def test_leaks_with_planted_errors(spark, sf, rows):
     assert any(d for *_, d in got)
 
 
+def test_short_items_occur_exactly(spark):
+    tests = [(1, "Tigers and bees"), (2, "lions and bees"), (3, "tigers and beets")]
+    some = [(1, "of tigers and beests"), (2, "of tigers, and bees."), (3, "tigers and bees"), (4, "lions and bee"), (5, "the lions and bees"), (6, "xlions and bees"), (7, "lions und bees")]
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.contamination(spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")).collect()}
+    assert got == brute.leaks(some, tests)
+    assert {(d, i) for d, i, _ in got if i < 3} == {(2, 1), (3, 1), (5, 2)}
+
+
 def test_decontamination_keeps_clean_rows(spark, docs, sf, odd):
     hit = {r.doc_id for r in decontam.contamination(docs, items(spark, sf)).collect()}
     kept = {r.doc_id for r in decontam.decontaminate(docs, items(spark, sf)).collect()}
