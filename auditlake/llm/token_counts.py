@@ -64,7 +64,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             n = [len(count(t.as_py())) // 4 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    todo = rows.join(misses.hint("shuffle_hash"), ["doc_id", "tag"]).select("digest", "text")
+    # two texts of one doc_id may share a tag
+    todo = rows.join(misses.hint("shuffle_hash"), ["doc_id", "tag"]).where(digest == F.col("digest")).select("digest", "text")
     new = todo.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(name).alias("tokenizer"), "digest", "n_tokens")
     new.write.mode("append").parquet(cache)
     counts = stored(docs, cache, name)

@@ -78,6 +78,14 @@ def test_near_copies_of_few_changed_words(spark, docs):
     assert len(got) < 60
 
 
+def test_near_copies_under_one_doc_id(spark, docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a)]
+    made = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], docs.schema)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_copies(spark, made, "").collect())
+    assert got == [(0, a), (1, a), (2, b)]
+
+
 def test_queries_are_named_and_whole(spark, sf):
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

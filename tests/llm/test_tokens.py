@@ -178,3 +178,10 @@ def test_chunks_depend_on_their_stream_alone():
         sizes = np.diff([0, *own])
         assert sizes.sum() == len(stream) and sizes.max() <= token_store.MOST and (sizes[:-1] >= token_store.LEAST).all()
         at += len(stream)
+
+
+def test_counts_of_texts_that_share_a_tag(spark):
+    library = Tokenizer.from_file(WORDS)
+    texts = [f"text {i} " + "again and " * (i % 9) for i in range(900)]
+    got = Counter(tuple(r) for r in token_counts.count_tokens(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"), WORDS).select("n_bytes", "n_tokens").collect())
+    assert got == Counter((len(t), len(library.encode(t, add_special_tokens=False).ids)) for t in texts)
