@@ -11,6 +11,10 @@ to one norm; a query has 0 there. The lift is to the largest norm of a shard, in
 vectors divided by the shard's largest component, so that a few outlying norms blur no other; the
 search itself is ordered by the inner products alone. Equal vectors are one node of a graph and are told apart again
 after the search.
+
+How wide a beam must be depends on the vectors: clustered ones are found by a narrow beam, ones without
+any structure hardly by a wide one. So each shard measures it: its own graph is searched for some of
+its vectors, and the answers are held against a comparison with all vectors of the shard.
 """
 
 from __future__ import annotations
@@ -22,10 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut
+from auditlake.llm.common import cut, partitions
 
-#: Vectors of a shard at most in the mean; edges of a node; width of the beam that builds and of the one that searches; relaxation of pruning; queries of a block.
-SHARD, EDGES, BUILD, BEAM, RELAXED, BLOCK = 8192, 32, 48, 64, 1.2, 512
+#: Edges of a node; width of the beam that builds and the least of the one that searches; relaxation of pruning; queries of a block.
+EDGES, BUILD, BEAM, RELAXED, BLOCK = 32, 48, 64, 1.2, 1024
+#: Vectors of a shard in the mean: twice as many shards as partitions are made, within these bounds. A shard and its graph travel as one row to each block of queries, which bounds its size (21 MB at the upper one and 64 components).
+SHARD, SHARD_MOST = 8192, 1 << 15
+#: A shard's beam is doubled until its searches for so many of its own vectors find this share of their k nearest; where even the widest beam doesn't, all its vectors are compared.
+PROBES, FOUND, WIDEST = 64, 0.97, 512
+#: Cells of the table of the nodes that searches have seen.
+SEEN = 1 << 25
 
 
 def distances(x: np.ndarray, norms: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -167,16 +177,44 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, np.sqrt(norms.max() - norms)[:, None]), axis=1)
 
 
-GRAPH_DDL = "shard int, n int, edges int, entry binary, graph binary, x binary, vids binary"
+def searched(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
+    """Nodes with large inner products with each query (n: none), by beam search; all nodes where the beam is as wide as the shard."""
+    n = len(x)
+    if width >= n:
+        return np.broadcast_to(np.arange(n), (len(q), n))
+    norms, rows = np.zeros(n), max(1, SEEN // n)
+    return np.concatenate([beam_search(x, norms, graph, entry, q[a : a + rows], width)[0] for a in range(0, len(q), rows)])
+
+
+def enough(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, k: int, width: int, found: float = FOUND) -> int:
+    """The beam that finds that share of the k nearest of some of the shard's vectors; the shard's size if none does."""
+    n = len(x)
+    if n <= width:
+        return n
+    q = x[np.random.default_rng(n).choice(n, min(n, PROBES), replace=False)]
+    score = q @ x.T
+    bar = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+    while width <= min(n, WIDEST):
+        ids = searched(x, graph, entry, q, width)
+        hit = np.take_along_axis(score, np.minimum(ids, n - 1), axis=1) >= bar[:, None]
+        if (hit & (ids < n)).sum(axis=1).clip(max=k).mean() >= found * k:
+            return width
+        width *= 2
+    return n
+
 
+GRAPH_DDL = "shard int, n int, edges int, width int, entry binary, graph binary, x binary, vids binary"
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int | None = None, beam: int = BEAM) -> DataFrame:
     """The k candidates with the largest inner products for each query: query_id, rank, vec_id, score.
 
     vectors and queries: vec_id, embedding; a candidate with a query's vec_id is never its answer.
     Ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors that are null, zero, hold
     a null or non-finite component, or whose length isn't the commonest take no part; nor do rows
     without a vec_id. Of rows that repeat a vec_id the smallest vector counts. Further columns aren't used.
+    shard: vectors of a shard in the mean, chosen by their number unless given; beam: the least width
+    of a beam. Every query is taken to every shard, so the work is queries times shards.
     """
     spark = vectors.sparkSession
     points = clean(vectors)
@@ -188,27 +226,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
     d = shape.d
     # one more than k ids of equal vectors are enough: one may be the query's own
     distinct = cut(equal_vectors(points.where(F.size("v") == d), k + 1).withColumn("band", band(F.col("v"))))
+    bands = distinct.groupBy("band").count().orderBy("band").collect()
+    if shard is None:
+        shard = min(SHARD_MOST, max(SHARD, sum(r["count"] for r in bands) // (2 * partitions(spark))))
     shards, first = 0, {}
-    for r in distinct.groupBy("band").count().orderBy("band").collect():
+    for r in bands:
         first[r.band] = (shards, -(-r["count"] // shard))
         shards += first[r.band][1]
     dealt = F.create_map(*(F.lit(x) for b, (at, _) in first.items() for x in (b, at)))[F.col("band")]
     among = F.create_map(*(F.lit(x) for b, (_, n) in first.items() for x in (b, n)))[F.col("band")]
 
     def graphs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(rows)
-        if not held.num_rows:
+        rows = [r for r in rows if r.num_rows]
+        if not rows:
             return
+        held = pa.Table.from_batches(rows)
         key = held.column("shard")[0].as_py()
         vids = held.column("vid").to_numpy()
         order = np.argsort(vids)
         vids = vids[order]
         x = np.array(held.column("v").to_pylist(), np.float64)[order]
         graph, entry = build(lifted(x))
-        row = (key, len(x), graph.shape[1], entry.astype("<i8").tobytes(), graph.astype("<i4").tobytes(), x.astype("<f8").tobytes(), vids.astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "n", "edges", "entry", "graph", "x", "vids"])
+        width = enough(x / np.abs(x).max(), graph, entry, k + 1, max(beam, k + 1))
+        row = (key, len(x), graph.shape[1], width, entry.astype("<i8").tobytes(), graph.astype("<i4").tobytes(), x.astype("<f8").tobytes(), vids.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "n", "edges", "width", "entry", "graph", "x", "vids"])
 
-    built = distinct.select("vid", "v", (dealt + F.pmod(F.xxhash64("v", F.lit(7)), among)).cast("int").alias("shard")).groupBy("shard").applyInArrow(graphs, GRAPH_DDL)
+    # a partition is a shard
+    built = distinct.select("vid", "v", (dealt + F.pmod(F.xxhash64("v", F.lit(7)), among)).cast("int").alias("shard")).repartitionById(shards, "shard").mapInArrow(graphs, GRAPH_DDL)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,11 +272,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
                 x = np.frombuffer(row["x"], "<f8").reshape(row["n"], d)
                 vids = np.frombuffer(row["vids"], "<i8")
                 graph = np.frombuffer(row["graph"], "<i4").reshape(row["n"], row["edges"]).astype(np.int64)
-                width = max(beam, k + 1)
-                if row["n"] <= width:
-                    found = np.broadcast_to(np.arange(row["n"]), (len(q), row["n"]))
-                else:
-                    found, _, _ = beam_search(x / np.abs(x).max(), np.zeros(row["n"]), graph, np.frombuffer(row["entry"], "<i8"), q / np.abs(q).max(axis=1, keepdims=True), width)
+                asked = q / np.abs(q).max(axis=1, keepdims=True)
+                if row["width"] >= row["n"]:
+                    yield compared(ids, q, x, vids, k + 1)
+                    continue
+                found = searched(x / np.abs(x).max(), graph, np.frombuffer(row["entry"], "<i8"), asked, row["width"])
                 safe = np.where(found < row["n"], found, 0)
                 score = np.empty(safe.shape)
                 for j in range(0, len(q), 64):
@@ -249,6 +293,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
     return top(told, "query_id", "vec_id", k)
 
 
+def compared(ids: np.ndarray, q: np.ndarray, x: np.ndarray, vids: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best vectors of a shard for each query, by all inner products, a few queries at a time."""
+    out = []
+    for a in range(0, len(q), max(1, SEEN // len(x))):
+        part = slice(a, a + max(1, SEEN // len(x)))
+        score = q[part] @ x.T
+        # vids ascend, so that of equal scores the smaller id is kept
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        # the product's order of additions may differ from that of the answer
+        exact = np.einsum("qkd,qd->qk", x[best], q[part])
+        out.append((np.repeat(ids[part], best.shape[1]), vids[best].ravel(), exact.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vid", "score"])
+
+
 def top(rows: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """The k best rows of each query, ties to the smaller item."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))

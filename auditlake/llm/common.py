@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
+    """The cluster's shared folder. Where none is set, a local session gets a temporary one; a cluster is refused, as its executors would each write to a disk of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -27,6 +27,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return path
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
@@ -42,14 +44,33 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty), and a 16-bit tag of the text, so that rows that repeat a doc_id with another text stay apart. Rows without a doc_id have no identity and take no part."""
+def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """doc_id and text (null: empty). Rows without a doc_id have no identity and take no part."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text.alias("text"), text_tag(text).alias("tag"), *more)
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text.alias("text"), *more)
 
 
-def text_tag(text: Column) -> Column:
-    return F.hash(text).bitwiseAND(0x7FFF).cast("int")
+def tagged_texts(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """As texts, with a tag that keeps the texts of one doc_id apart and in order: 64 bits of the text's hash where any doc_id is repeated, 0 where none is. Only doc_ids are read to tell."""
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long")).count().where("count > 1")
+    rows = texts(docs, *more)
+    tag = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+    return rows.withColumn("tag", tag)
+
+
+#: Of the rows of a table, a key with more than this share is heavy; so there are at most as many heavy keys as its inverse.
+HEAVY = 0.001
+
+
+def look_up(rows: DataFrame, entries: DataFrame, key: str, total: int) -> DataFrame:
+    """rows (`total` of them) with the columns of their entries, one for each key, whose column `n_rows` (which goes) says how many rows have the key. Entries of heavy keys, a thousand at most, are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    many = F.col("n_rows") > max(10_000, int(HEAVY * total))
+    heavy = cut(entries.where(many).drop("n_rows"))
+    light = entries.where(~many).drop("n_rows")
+    if heavy.isEmpty():
+        return rows.join(light, key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rest.unionByName(rows.join(F.broadcast(heavy), key))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,17 @@
 """Language of texts and of spans in mixed-language texts.
 
 Each word gets a score for every language from trigrams of its bytes, learned from labelled texts.
-The script of a word's letters leaves only the languages written in it as candidates. Viterbi's
-algorithm labels the words of a text so that the scores, less a penalty for every switch between
-languages, are largest; runs of a label are spans. A text's language is that of most of its letters.
+The script of a word's letters leaves only the languages written in it as candidates, however the
+others score; a script that no learned language is written in rules none out. Viterbi's algorithm
+labels the words of a text so that the scores, less a penalty for every switch between languages, are
+largest; runs of a label are spans. A text's language is that of most of its letters.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,14 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import bounded_ids, cut, held_out, texts, utf8
 
-#: Texts that the scores are learned from, trigrams kept, cost of a switch, cost of a script that a language isn't written in, and the share of a language's letters that makes a script its own.
-SAMPLE, TRIGRAMS, SWITCH, FOREIGN, OWN = 20_000, 60_000, 6.0, 50.0, 0.01
+#: Texts that the scores are learned from and trigrams kept (both parameters of the model), cost of a switch, and the share of a language's letters that makes a script its own.
+SAMPLE, TRIGRAMS, SWITCH, OWN = 20_000, 60_000, 6.0, 0.01
+#: What is taken from the score of a language that a word's script rules out: more than any text's words add up to.
+FOREIGN = 1e9
 #: Bytes of text that are scored at once.
 PASS_BYTES = 4 << 20
 SCRIPTS = ["none", "latin", "greek", "cyrillic", "hebrew", "arabic", "devanagari", "thai", "kana", "han", "hangul", "other"]
-#: First code points of Unicode blocks (fixed values), each to the next, with the script written in them.
+#: First code points of Unicode blocks (fixed values), each to the next, with the script of the letters in them.
 BLOCKS = [
     (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"),
     (0x00B5, "latin"), (0x00B6, "none"), (0x00BA, "latin"), (0x00BB, "none"), (0x00C0, "latin"), (0x00D7, "none"), (0x00D8, "latin"),
@@ -33,39 +38,29 @@ BLOCKS = [
 ]
 
 
-def byte_scripts() -> np.ndarray:
-    """Script by the first three bytes of a character; ASCII and two-byte characters stand for all their continuations."""
+@lru_cache(maxsize=1)
+def scripts_of() -> np.ndarray:
+    """Script by code point; 0 where Unicode's category isn't that of a letter. Letters of other blocks have the last script."""
     first, names = zip(*BLOCKS)
     code = np.array([SCRIPTS.index(n) for n in names], np.uint8)
-    points = np.arange(0x10000)
+    points = np.arange(sys.maxunicode + 1)
     script = code[np.searchsorted(np.array(first), points, side="right") - 1]
-    out = np.zeros(1 << 16, np.uint8)  # by the code point, below 2**16
-    out[:] = script
-    return out
+    letter = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    script[script == 0] = len(SCRIPTS) - 1
+    return np.where(letter, script, 0).astype(np.uint8)
 
 
-_BLOCK_SCRIPTS = byte_scripts()
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
 
 
 def letters_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first bytes of characters that are letters, and their scripts."""
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    b = padded[lead]
-    point = b.copy()
-    two, three, four = (b >= 0xC0) & (b < 0xE0), (b >= 0xE0) & (b < 0xF0), b >= 0xF0
-    point[two] = ((b[two] & 0x1F) << 6) | (padded[lead[two] + 1] & 0x3F)
-    point[three] = ((b[three] & 0x0F) << 12) | ((padded[lead[three] + 1] & 0x3F) << 6) | (padded[lead[three] + 2] & 0x3F)
-    script = np.empty(len(lead), np.uint8)
-    script[~four] = _BLOCK_SCRIPTS[point[~four]]
-    high = padded[lead[four]] & 7, padded[lead[four] + 1] & 0x3F, padded[lead[four] + 2] & 0x3F, padded[lead[four] + 3 if four.any() else lead[four]] & 0x3F
-    far = (high[0] << 18) | (high[1] << 12) | (high[2] << 6) | high[3]
-    script[four] = np.where((far >= 0x20000) & (far < 0x32000), SCRIPTS.index("han"), np.where((far >= 0x10000) & (far < 0x1F000), SCRIPTS.index("other"), 0))
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    script = scripts_of()[points]
     kept = script > 0
     return lead[kept], script[kept]
 
@@ -119,7 +114,7 @@ class Model:
     def word_scores(self, data: np.ndarray, words: Words) -> np.ndarray:
         """A row for each word, a column for each language; words without letters score nothing."""
         if self.index is None:
-            self.index = np.zeros(1 << 24, np.uint16)
+            self.index = np.zeros(1 << 24, np.uint16 if len(self.code) < 1 << 16 else np.uint32)
             self.index[self.code] = np.arange(1, len(self.code) + 1)
         code, first = trigrams(data, words)
         if not len(first):
@@ -132,7 +127,7 @@ class Model:
 
 def viterbi(score: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
     """Best label of every word. score: words of all texts on end; size: words of each text. Texts advance together, a word a step."""
-    label = np.zeros(len(score), np.uint8)
+    label = np.zeros(len(score), np.int32)
     order = np.argsort(-size, kind="stable")
     length, first = size[order], (np.cumsum(size) - size)[order]
     live = int((length > 0).sum())
@@ -141,7 +136,7 @@ def viterbi(score: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
     first, length = first[:live], length[:live]
     now = score[first].astype(np.float64)
     came = np.zeros(score.shape, bool)
-    best_at = np.zeros(len(score), np.uint8)
+    best_at = np.zeros(len(score), np.int32)
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # texts of at least so many words
     last = np.empty((live, score.shape[1]))
     for t in range(1, int(length[0])):
@@ -157,8 +152,8 @@ def viterbi(score: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
         best_at[rows] = top
         now = np.where(moved, jump, now) + score[rows]
     last[: len(now)] = now
-    state = last.argmax(axis=1).astype(np.uint8)
-    current = np.zeros(live, np.uint8)
+    state = last.argmax(axis=1).astype(np.int32)
+    current = np.zeros(live, np.int32)
     for t in range(int(length[0]) - 1, -1, -1):
         k = int(active[t])
         ending = length[:k] == t + 1
@@ -170,8 +165,8 @@ def viterbi(score: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-def learn(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """Trigram scores and scripts of each language, from at most `most` labelled texts outside the held-out rows."""
+def learn(docs: DataFrame, most: int = SAMPLE, features: int = TRIGRAMS) -> Model:
+    """Trigram scores and scripts of each language, of which there may be any number, from at most `most` labelled texts outside the held-out rows. The `features` commonest trigrams of the sample are kept; others score nothing."""
     known = docs.where("lang is not null and doc_id is not null").where(~held_out(5, 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     ids = bounded_ids(known, most).distinct()
     sample = texts(docs).join(F.broadcast(ids), "doc_id").select("text", "lang")
@@ -187,14 +182,17 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(code) + len(script))), pa.array(np.concatenate((code, -1 - script.astype(np.int64)))), pa.array(np.concatenate((n, k)))], ["lang", "code", "n"])
 
     counted = cut(sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    langs = sorted(r.lang for r in counted.select("lang").distinct().limit(256).collect())
-    top = counted.where("code >= 0").groupBy("code").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "code").limit(TRIGRAMS).select("code")
-    held = counted.join(F.broadcast(top), "code", "left_semi").unionByName(counted.where("code < 0")).collect()  # at most 256 x (TRIGRAMS + scripts) rows
-    code = np.array(sorted({r.code for r in held if r.code >= 0}), np.int64)
-    where = {c: i for i, c in enumerate(code.tolist())}
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    top = counted.where("code >= 0").groupBy("code").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "code").limit(features).select("code")
+    # the model: for each language a number for each trigram kept and each script, as columns
+    held = counted.join(F.broadcast(top), "code", "left_semi").unionByName(counted.where("code < 0")).toArrow()
+    codes, number = held.column("code").to_numpy(), held.column("n").to_numpy()
+    column = np.searchsorted(np.array(langs, object), np.array(held.column("lang").to_pylist(), object)) if langs else np.zeros(0, np.int64)
+    code = np.unique(codes[codes >= 0])
     n, scripts = np.zeros((len(code), len(langs))), np.zeros((len(SCRIPTS), len(langs)))
-    for r in held:
-        (n if r.code >= 0 else scripts)[where[r.code] if r.code >= 0 else -1 - r.code, langs.index(r.lang)] = r.n
+    common = codes >= 0
+    n[np.searchsorted(code, codes[common]), column[common]] = number[common]
+    scripts[-1 - codes[~common], column[~common]] = number[~common]
     share = (n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(code)))
     score = np.log(share) - np.log(share).mean(axis=1, keepdims=True) if len(langs) else share
     allowed = scripts >= OWN * np.maximum(1, scripts.sum(axis=0))
@@ -242,8 +240,9 @@ def identify(docs: DataFrame, most: int = SAMPLE, switch: float = SWITCH) -> Dat
     """doc_id, held_out, lang_pred and score of each document; score is the share of letters with the language.
 
     A null text and one without a letter is `und` with score 0, and so is every text where no labelled
-    one exists. Ties go to the first language in order. Rows without a doc_id take no part; rows that
-    repeat one are all returned. Further columns aren't used. An empty table gives none.
+    one exists. Letters are characters of Unicode's letter categories: digits, marks and symbols of any
+    script are none. Ties go to the first language in order. Texts of any length are labelled whole.
+    Rows without a doc_id take no part; rows that repeat one are all returned. Further columns aren't used. An empty table gives none.
     """
     model = learn(docs, most)
 

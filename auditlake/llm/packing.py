@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, partitions, texts
+from auditlake.llm.common import batched, cut, partitions, tagged_texts
 from auditlake.llm.tokens import encoder
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PIECE_DDL = "doc_id long, tag int, piece int, start long, length long, ids_crc32 long"
+PIECE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECE_DDL = "doc_id long, tag long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -44,7 +44,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
 
         yield from batched(out(), PIECE)
 
-    return texts(docs).mapInArrow(run, PIECE_DDL)
+    return tagged_texts(docs).mapInArrow(run, PIECE_DDL)
 
 
 def fill(sizes: list[int], left: dict[int, int], space: int) -> list[tuple[int, int]]:

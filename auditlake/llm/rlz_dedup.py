@@ -8,12 +8,14 @@ Parsing resumes with the first window that crosses the factor's end, so windows
 between factors are looked up as well and none is missed. The segment then joins the blocks.
 
 Equal segments are collapsed where they arise and where they meet: one block stands for all copies.
+Anchors with more different segments than a task should hold aren't parsed: their windows are looked
+up one by one in an index that is dealt by the windows' digests, which finds the same spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import sha256
+from collections.abc import Callable, Iterator
+from hashlib import blake2b, sha256
 from itertools import accumulate
 
 import numpy as np
@@ -22,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, partitions, texts
-from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, TOGETHER, Marks, crowds, joined, late_marks, late_row, mark_rows, mix, removed_spans, segments
+from auditlake.llm.common import batched, cut, partitions, tagged_texts
+from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, TOGETHER, Marks, crowds, joined, late_row, mark_rows, mix, removed_spans, segments
 
 #: Words in an anchor.
 ANCHOR = 4
@@ -121,7 +123,7 @@ class Run:
 
 def pack(rows: list[tuple]) -> bytes:
     key, left, doc, tag, place, content = zip(*rows)
-    parts = [np.array([len(rows)], "<i8"), np.array(key, "<u8"), np.array(doc, "<i8"), np.array(place, "<i8"), np.array([len(c) for c in content], "<i4"), np.array(tag, "<i2"), np.array(left, "<i2")]
+    parts = [np.array([len(rows)], "<i8"), np.array(key, "<u8"), np.array(doc, "<i8"), np.array(place, "<i8"), np.array([len(c) for c in content], "<i4"), np.array(tag, "<i8"), np.array(left, "<i2")]
     return b"".join([*(p.tobytes() for p in parts), *content])
 
 
@@ -134,7 +136,7 @@ def columns(data: bytes) -> list[np.ndarray]:
     """Of packed rows: key, doc, place, size of the content, tag, and where the content starts."""
     n = int(np.frombuffer(data, "<i8", 1)[0])
     at, out = 8, []
-    for kind in ("<u8", "<i8", "<i8", "<i4", "<i2", "<i2"):
+    for kind in ("<u8", "<i8", "<i8", "<i4", "<i8", "<i2"):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
     size = out[3].astype(np.int64)
@@ -221,6 +223,66 @@ def factor_group(rows: Iterator[tuple], marks: Marks, window: int) -> None:
             marks.add(d, t, p + a, p + b)
 
 
+#: Windows that a task remembers before they are dealt.
+REMEMBERED = 200_000
+
+
+def late_marks(late: DataFrame, pieces: Callable[[bytes, int, int], list[bytes]], window: int, n: int) -> DataFrame:
+    """Marks for the windows of crowded anchors. A task marks all but the earliest of a window that it meets and deals that one by the window's digest, so that a common window is one row a task; what meets there is read in order, and no group is held."""
+    ddl = "pid int, win binary, doc long, tag long, at long, data binary"
+    schema = pa.schema([("pid", pa.int32()), ("win", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(n)
+        first: dict[bytes, tuple[int, int, int]] = {}
+
+        def dealt() -> Iterator[tuple]:
+            for win, where in first.items():
+                yield int.from_bytes(win[:4], "little") % n, win, *where, None
+            first.clear()
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    doc, start, tag, low, high = np.frombuffer(data, "<i8", 5).tolist()
+                    for i, piece in enumerate(pieces(data[40:], low, high), low):
+                        win, here = blake2b(piece, digest_size=16).digest(), (doc, tag, start + i)
+                        was = first.setdefault(win, here)
+                        if was != here:
+                            first[win], (d, t, at) = (was, here) if was < here else (here, was)
+                            marks.add(d, t, at, at + window)
+                    if len(first) >= REMEMBERED:
+                        yield from dealt()
+                for pid, _, _, packed in marks.out():
+                    yield pid, None, None, None, None, packed
+            yield from dealt()
+            for pid, _, _, packed in marks.out(last=True):
+                yield pid, None, None, None, None, packed
+
+        yield from batched(rows(), schema, most_rows=20_000)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(n)
+
+        def rows() -> Iterator[tuple]:
+            was, least = None, None
+            for batch in batches:
+                for win, doc, tag, at, packed in zip(*(batch.column(c).to_pylist() for c in ("win", "doc", "tag", "at", "data"))):
+                    if win is None:
+                        yield from mark_rows(np.frombuffer(packed, MARK), n)
+                    elif win != was:
+                        was, least = win, (doc, tag, at)
+                    elif least < (doc, tag, at):
+                        marks.add(doc, tag, at, at + window)
+                yield from marks.out()
+            yield from marks.out(last=True)
+
+        yield from batched(rows(), PACKED)
+
+    dealt = late.select("data").mapInArrow(expand, ddl).repartitionById(n, "pid").sortWithinPartitions("win", "doc", "tag", "at")
+    return dealt.mapInArrow(pick, PACKED_DDL)
+
+
 def word_duplicates(rows: DataFrame, window: int = 20) -> DataFrame:
     """Packed marks of all windows of `window` words whose words also start earlier, in a smaller doc_id or at a smaller place of the same text. rows: doc_id, text, tag."""
     if window <= ANCHOR:
@@ -306,7 +368,7 @@ def dedup_spans(docs: DataFrame, window: int = 20, keep_text: bool = False, more
     holds the kept words, joined by single spaces, and the text unchanged where none goes. Columns
     named in `more` go along, as the fields of a struct of that name.
     """
-    rows = texts(docs, F.struct(*more).alias("more")) if more else texts(docs)
+    rows = tagged_texts(docs, F.struct(*more).alias("more")) if more else tagged_texts(docs)
     n = partitions(docs.sparkSession)
     result = RESULT.append(pa.field("kept_text", pa.string())) if keep_text else RESULT
 

@@ -2,8 +2,8 @@
 
 Every window of W tokens is assigned the token run of k inside it whose hash is smallest (its
 anchor). Equal windows have equal anchors at equal places, so that it is enough to compare what
-surrounds equal anchors. Rows of one doc_id with different texts stand in the order of their tags, so
-that places have one order: doc_id, tag, place. Consecutive windows with one anchor form a segment; a document of n tokens
+surrounds equal anchors. Rows of one doc_id with different texts stand in the order of their tags (64
+bits of a hash of the text), so that places have one order: doc_id, tag, place. Consecutive windows with one anchor form a segment; a document of n tokens
 has about 2n/(W-k+2) of them. A segment equal to an earlier one repeats in full. The others are
 resolved window by window among the segments with their anchor.
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ PACKED_DDL = "pid int, sub int, kind int, data binary"
 #: Kinds of packed rows. HOT comes before the runs and names an anchor that is crowded.
 HOT, RUN, MARKS, LATE = -1, 0, 1, 2
 #: A mark: document, tag of its text, first and past-the-last token.
-MARK = np.dtype([("doc", "<i8"), ("tag", "<i2"), ("start", "<i8"), ("end", "<i8")])
+MARK = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("end", "<i8")])
 #: Positions that one call looks at; longer inputs are taken in overlapping parts.
 SPAN = 1 << 22
 
@@ -99,7 +98,7 @@ def mark_rows(marks: np.ndarray, n: int) -> Iterator[tuple]:
     """Packed rows of marks by the partition that their documents go to."""
     if not len(marks):
         return
-    pid = doc_place(np.ascontiguousarray(marks["doc"]), n)
+    pid = doc_place(marks["doc"] ^ marks["tag"], n)
     order = np.argsort(pid, kind="stable")
     marks, pid = marks[order], pid[order]
     edges = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1], [True])))
@@ -124,7 +123,7 @@ class Marks:
             yield from mark_rows(joined(a[:, 0], a[:, 1], a[:, 2], a[:, 3]), self.n)
 
 
-#: Segments that share an anchor and may share windows, held at once; of an anchor with more, all are resolved through a second exchange and handed on as they are read.
+#: Segments that share an anchor and may share windows, held at once; those of an anchor with more are handed on as they are read, to a second exchange that deals single windows.
 TOGETHER = 2048
 #: Segments of one anchor in one run from which on (twice as many for certain) they don't go to the anchor's task at all.
 CROWD = 128
@@ -164,12 +163,11 @@ class Windows:
         held, self.held, self.crowded = self.held, [], False
         if len(held) < 2:
             return
-        held.sort(key=lambda x: x[:3])
-        first: dict[bytes, tuple] = {}
-        for doc, tag, start, raw, low, high in held:
-            for i, piece in enumerate(self.pieces(raw, low, high), low):
-                if first.setdefault(piece, (doc, tag, start + i)) < (doc, tag, start + i):
-                    self.marks.add(doc, tag, start + i, start + i + self.window)
+        every = sorted((piece, doc, tag, start + i) for doc, tag, start, raw, low, high in held for i, piece in enumerate(self.pieces(raw, low, high), low))
+        for before, now in zip(every, every[1:]):
+            # what follows the first of equal windows is later, and the same place is not
+            if now[0] == before[0] and now != before:
+                self.marks.add(*now[1:], now[3] + self.window)
 
     def out(self) -> Iterator[tuple]:
         """Rows for the second exchange."""
@@ -178,66 +176,6 @@ class Windows:
             yield late_row(self.n, *x)
 
 
-#: Windows that a task remembers before they are dealt.
-REMEMBERED = 200_000
-
-
-def late_marks(late: DataFrame, pieces: Callable[[bytes, int, int], list[bytes]], window: int, n: int) -> DataFrame:
-    """Marks for the windows of crowded anchors. A task marks all but the earliest of a window that it meets and deals that one by the window's digest, so that a common window is one row a task; what meets there is read in order, and no group is held."""
-    ddl = "pid int, win binary, doc long, tag int, at long, data binary"
-    schema = pa.schema([("pid", pa.int32()), ("win", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("data", pa.binary())])
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(n)
-        first: dict[bytes, tuple[int, int, int]] = {}
-
-        def dealt() -> Iterator[tuple]:
-            for win, where in first.items():
-                yield int.from_bytes(win[:4], "little") % n, win, *where, None
-            first.clear()
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for data in batch.column("data").to_pylist():
-                    doc, start, tag, low, high = np.frombuffer(data, "<i8", 5).tolist()
-                    for i, piece in enumerate(pieces(data[40:], low, high), low):
-                        win, here = blake2b(piece, digest_size=16).digest(), (doc, tag, start + i)
-                        was = first.setdefault(win, here)
-                        if was != here:
-                            first[win], (d, t, at) = (was, here) if was < here else (here, was)
-                            marks.add(d, t, at, at + window)
-                    if len(first) >= REMEMBERED:
-                        yield from dealt()
-                for pid, _, _, packed in marks.out():
-                    yield pid, None, None, None, None, packed
-            yield from dealt()
-            for pid, _, _, packed in marks.out(last=True):
-                yield pid, None, None, None, None, packed
-
-        yield from batched(rows(), schema, most_rows=20_000)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(n)
-
-        def rows() -> Iterator[tuple]:
-            was, least = None, None
-            for batch in batches:
-                for win, doc, tag, at, packed in zip(*(batch.column(c).to_pylist() for c in ("win", "doc", "tag", "at", "data"))):
-                    if win is None:
-                        yield from mark_rows(np.frombuffer(packed, MARK), n)
-                    elif win != was:
-                        was, least = win, (doc, tag, at)
-                    elif least < (doc, tag, at):
-                        marks.add(doc, tag, at, at + window)
-                yield from marks.out()
-            yield from marks.out(last=True)
-
-        yield from batched(rows(), PACKED)
-
-    dealt = late.select("data").mapInArrow(expand, ddl).repartitionById(n, "pid").sortWithinPartitions("win", "doc", "tag", "at")
-    return dealt.mapInArrow(pick, PACKED_DDL)
-
-
 def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, result_ddl: str, result: pa.Schema) -> DataFrame:
     """Bring the marks to their documents. rows: doc_id, text, tag, and maybe a struct `more` that goes along; last(text bytes, starts, ends) gives the result's columns after doc_id.
 
@@ -251,9 +189,9 @@ def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, res
             data = pa.array([packer.compress(t.as_buffer()) for t in batch.column("text")], pa.binary())
             yield batch.set_column(batch.schema.get_field_index("text"), "data", data)
 
-    docs = rows.select("doc_id", "tag", "text", *["more"] * carried).mapInArrow(shut, f"doc_id long, tag int, data binary{more}")
-    docs = docs.select(doc_place(F.col("doc_id"), n).alias("pid"), F.lit(1).alias("late"), *docs.columns)
-    marks = found.select("pid", F.lit(0).alias("late"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("tag"), "data")
+    docs = rows.select("doc_id", "tag", "text", *["more"] * carried).mapInArrow(shut, f"doc_id long, tag long, data binary{more}")
+    docs = docs.select(doc_place(F.col("doc_id").bitwiseXOR(F.col("tag")), n).alias("pid"), F.lit(1).alias("late"), *docs.columns)
+    marks = found.select("pid", F.lit(0).alias("late"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), "data")
     placed = docs.unionByName(marks, allowMissingColumns=True)
     ddl = result_ddl + more
 
@@ -285,7 +223,7 @@ def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, res
 
 
 def doc_place(doc, n: int):
-    """The partition of a document among n: the same arithmetic for a Column and for numpy integers."""
+    """The partition among n of a document, by its doc_id and tag (one XOR the other): the same arithmetic for a Column and for numpy integers."""
     if isinstance(doc, np.ndarray):
         bits = doc.astype(np.int64).view(np.uint64)
         return (bits ^ (bits >> np.uint64(15)) ^ (bits >> np.uint64(31))).view(np.int64) % n

@@ -1,20 +1,25 @@
 """Duplicate substrings of bytes, by a distributed merge sort of suffixes.
 
 Each task sorts the suffixes of its texts (a run), codes each suffix by the length of the prefix that
-it shares with the one before it and the rest, and sends the run cut by the first bytes. The tasks
-that receive the pieces merge them with loser trees whose nodes keep the length of the prefix shared
-with the last suffix given out: of two suffixes the one that shares more comes first, and bytes are
-looked at only past a shared prefix of equal length, so that no known prefix is compared again.
+it shares with the one before it and the rest, and sends the run in pieces; a suffix's piece follows
+from a hash of its first bytes, so that suffixes that share these bytes meet and frequent beginnings
+don't crowd neighbouring ones. The tasks that receive the pieces merge them, at most FAN at a time,
+with loser trees whose nodes keep the length of the prefix shared with the last suffix given out: of
+two suffixes the one that shares more comes first, and bytes are looked at only past a shared prefix
+of equal length, so that no known prefix is compared again.
 
 A window of 100 bytes that occurs twice holds, at the same place, the same anchor of 16 bytes (see
 segments.py), so only the suffixes that begin at anchors are sorted. A suffix reaches to the end of
 the last window of its segment and is followed by what lies before the anchor, reversed. Neighbours
 in the merged order then show which segments are equal, and how much a segment can share with any
-other at most; only segments that may share a window are resolved window by window.
+other at most; of segments that may share a window, the windows are sorted where they are few. The
+segments of a crowded anchor go through the same sort once more, with a suffix at every place instead
+of at anchors only, dealt by a hash of the whole window: equal windows are neighbours there.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -23,12 +28,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from auditlake.llm.common import batched, cut, partitions, texts, utf8
-from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, Marks, Windows, crowds, joined, late_marks, late_row, mark_rows, mix, removed_spans, segments
+from auditlake.llm.common import batched, cut, partitions, tagged_texts, utf8
+from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, Marks, Windows, crowds, joined, late_row, mark_rows, mix, removed_spans, segments
 
 ANCHOR = 16
 #: Bytes of text in a run, in one numpy pass, and pieces of a run for each receiving task (read one after another).
 RUN_BYTES, PASS_BYTES, PIECES = 12 << 20, 2 << 20, 8
+#: Windows of crowded anchors in a run, and runs that are merged at a time.
+RUN_WINDOWS, FAN = 200_000, 64
 
 
 def byte_hashes(data: np.ndarray) -> np.ndarray:
@@ -108,7 +115,7 @@ def whole_late(key: bytes, doc: int, tag: int, place: int, window: int, n: int)
 
 
 def front_code(keys: list[bytes], held: dict[bytes, tuple]) -> bytes:
-    """Counts, shared lengths, lengths of the rest, places and the rests of sorted keys."""
+    """Sorted keys in a coded run. held: of each key, a bucket and its document, tag and place."""
     size = np.array([len(k) for k in keys], np.int32)
     wide = np.frombuffer(b"".join(k.ljust(256, b"\0") for k in keys), np.uint8).reshape(len(keys), 256)
     shared = np.zeros(len(keys), np.int32)
@@ -116,10 +123,14 @@ def front_code(keys: list[bytes], held: dict[bytes, tuple]) -> bytes:
         differ = wide[1:] != wide[:-1]
         shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), 256)
         shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
-    at = [held[k] for k in keys]
-    doc, place, tag = (np.array([x[i] for x in at], t) for i, t in ((1, "<i8"), (3, "<i8"), (2, "<i2")))
+    return coded(shared, keys, *zip(*((x[1], x[3], x[2]) for x in map(held.__getitem__, keys))))
+
+
+def coded(shared: np.ndarray, keys: list[bytes], doc: tuple, place: tuple, tag: tuple) -> bytes:
+    """Counts, shared lengths, lengths of the rest, places and the rests of sorted keys."""
+    more = np.array([len(k) for k in keys], np.int32) - shared
     rests = b"".join(k[c:] for k, c in zip(keys, shared.tolist()))
-    return b"".join([np.array([len(keys)], "<i8").tobytes(), shared.astype(np.uint8).tobytes(), (size - shared).astype("<u2").tobytes(), doc.tobytes(), place.tobytes(), tag.tobytes(), rests])
+    return b"".join([np.array([len(keys)], "<i8").tobytes(), shared.astype(np.uint8).tobytes(), more.astype("<u2").tobytes(), *(np.array(x, "<i8").tobytes() for x in (doc, place, tag)), rests])
 
 
 def decode(data: bytes) -> Iterator[tuple]:
@@ -132,8 +143,8 @@ def decode(data: bytes) -> Iterator[tuple]:
     at += 2 * n
     doc = np.frombuffer(data, "<i8", n, at).tolist()
     place = np.frombuffer(data, "<i8", n, at + 8 * n).tolist()
-    tag = np.frombuffer(data, "<i2", n, at + 16 * n).tolist()
-    at += 18 * n
+    tag = np.frombuffer(data, "<i8", n, at + 16 * n).tolist()
+    at += 24 * n
     key = b""
     for c, m, d, p, t in zip(shared, more, doc, place, tag):
         key = key[:c] + data[at : at + m]
@@ -190,6 +201,17 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node >>= 1
 
 
+def merged(runs: list[bytes]) -> Iterator[tuple]:
+    """The entries of coded runs in order, by passes that merge FAN runs at a time."""
+    while len(runs) > FAN:
+        passed = []
+        for at in range(0, len(runs), FAN):
+            shared, *columns = zip(*merge([decode(r) for r in runs[at : at + FAN]]))
+            passed.append(coded(np.array(shared, np.int32), *columns))
+        runs = passed
+    return merge([decode(r) for r in runs])
+
+
 def slices(window: int):
     def pieces(raw: bytes, low: int, high: int) -> list[bytes]:
         return [raw[i : i + window] for i in range(low, high)]
@@ -278,12 +300,12 @@ def suffix_duplicates(rows: DataFrame, window: int = 100) -> DataFrame:
                         yield -1, 0, MARKS, data  # its partition is set below
                         continue
                     if s != sub and held:
-                        yield from resolve(merge([decode(opener.decompress(x)) for x in held]), marks, single, window, hot)
+                        yield from resolve(merged([opener.decompress(x) for x in held]), marks, single, window, hot)
                         held = []
                     sub = s
                     held.append(data)
             if held:
-                yield from resolve(merge([decode(opener.decompress(x)) for x in held]), marks, single, window, hot)
+                yield from resolve(merged([opener.decompress(x) for x in held]), marks, single, window, hot)
             yield from marks.out(last=True)
             yield from single.out()
 
@@ -297,9 +319,80 @@ def suffix_duplicates(rows: DataFrame, window: int = 100) -> DataFrame:
         yield from batched(placed(), PACKED)
 
     runs = rows.select("doc_id", "text", "tag").mapInArrow(sort_runs, PACKED_DDL)
-    merged = cut(runs.repartitionById(n, "pid").sortWithinPartitions("kind", "sub").mapInArrow(merge_runs, PACKED_DDL))
-    late = late_marks(merged.where(merged.kind == LATE), slices(window), window, n)
-    return merged.where(merged.kind == MARKS).unionByName(late)
+    found = cut(runs.repartitionById(n, "pid").sortWithinPartitions("kind", "sub").mapInArrow(merge_runs, PACKED_DDL))
+    return found.where(found.kind == MARKS).unionByName(crowded_duplicates(found.where(found.kind == LATE), window, n))
+
+
+def crowded_duplicates(late: DataFrame, window: int, n: int) -> DataFrame:
+    """Marks for the windows of crowded anchors: the suffixes of one window's length at all their places are sorted in runs, in which equal ones are held once, and the runs are merged."""
+    pieces = slices(window)
+
+    def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, packer = Marks(n), zstandard.ZstdCompressor(level=3)
+        held: dict[bytes, tuple] = {}
+
+        def run() -> Iterator[tuple]:
+            by: dict[int, list[bytes]] = {}
+            for key, x in held.items():
+                by.setdefault(x[0], []).append(key)
+            for bucket, keys in by.items():
+                keys.sort()
+                yield bucket % n, bucket // n, RUN, packer.compress(front_code(keys, held))
+            held.clear()
+
+        def out() -> Iterator[tuple]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    doc, start, tag, low, high = np.frombuffer(data, "<i8", 5).tolist()
+                    for i, key in enumerate(pieces(data[40:], low, high), low):
+                        here, was = (doc, tag, start + i), held.get(key)
+                        if was is None:
+                            held[key] = (zlib.crc32(key) % (n * PIECES), *here)
+                        elif was[1:] != here:
+                            first, (d, t, at) = (was[1:], here) if was[1:] < here else (here, was[1:])
+                            held[key] = (was[0], *first)
+                            marks.add(d, t, at, at + window)
+                    if len(held) >= RUN_WINDOWS:
+                        yield from run()
+                yield from marks.out()
+            yield from run()
+            yield from marks.out(last=True)
+
+        yield from batched(out(), PACKED)
+
+    def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, opener = Marks(n), zstandard.ZstdDecompressor()
+
+        def repeats(runs: list[bytes]) -> Iterator[tuple]:
+            first: tuple = ()
+            for shared, key, d, p, t in merged([opener.decompress(x) for x in runs]):
+                if shared < window:
+                    first = (d, t, p)
+                elif first != (d, t, p):
+                    first, (d, t, p) = (first, (d, t, p)) if first < (d, t, p) else ((d, t, p), first)
+                    marks.add(d, t, p, p + window)
+                yield from marks.out()
+
+        def out() -> Iterator[tuple]:
+            sub, runs = -1, []
+            for batch in batches:
+                for s, kind, data in zip(*(batch.column(c).to_pylist() for c in ("sub", "kind", "data"))):
+                    if kind == MARKS:
+                        yield from mark_rows(np.frombuffer(data, MARK), n)
+                        continue
+                    if s != sub and runs:
+                        yield from repeats(runs)
+                        runs = []
+                    sub = s
+                    runs.append(data)
+            if runs:
+                yield from repeats(runs)
+            yield from marks.out(last=True)
+
+        yield from batched(out(), PACKED)
+
+    runs = late.select("data").mapInArrow(sort_runs, PACKED_DDL)
+    return runs.repartitionById(n, "pid").sortWithinPartitions("kind", "sub").mapInArrow(merge_runs, PACKED_DDL)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -310,11 +403,12 @@ def dedup_substrings(docs: DataFrame, window: int = 100, keep_text: bool = False
 
     Nulls and empty texts: 0 bytes, none removed. Rows without a doc_id take no part and aren't
     returned. Rows that repeat a doc_id are all returned; equal texts under one doc_id aren't earlier
-    than each other, different ones come in the order of their tags. Further columns, whatever their names, aren't used. An
-    empty table gives an empty result. With keep_text, a column kept_text holds what is left (bytes
+    than each other, different ones come in the order of their tags. A window has 17 to 120 bytes (a
+    suffix is at most 255 long); others are refused. Further columns, whatever their names, aren't
+    used. An empty table gives an empty result. With keep_text, a column kept_text holds what is left (bytes
     that are no longer valid UTF-8 are replaced).
     """
-    rows = texts(docs)
+    rows = tagged_texts(docs)
     n = partitions(docs.sparkSession)
     result = RESULT.append(pa.field("kept_text", pa.string())) if keep_text else RESULT
 

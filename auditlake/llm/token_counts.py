@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, ensure_checkpoint_dir, texts
+from auditlake.llm.common import cut, ensure_checkpoint_dir, look_up, texts
 from auditlake.llm.tokens import encoder
 
 CACHE_DDL = "tokenizer string, digest binary, n_tokens long"
@@ -46,7 +46,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     The content that is digested is the UTF-8 text with null made empty; any other normalisation
     could change a count. cache: a folder that all executors reach, kept from call to call; without
     one a new cache is laid under the shared checkpoint folder. Empty texts count 0. Rows without a
-    doc_id take no part; rows that repeat a doc_id are all returned, each with its own text's count.
+    doc_id take no part; rows that repeat a doc_id are all returned, each with its own text's count,
+    which is found by the text's SHA-256 alone. However often a text is repeated, under one doc_id or
+    many, it is encoded once and makes one row of the cache.
     Texts of any length are encoded whole. Further columns aren't used. An empty table gives none.
     """
     spark = docs.sparkSession
@@ -54,9 +56,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     name = version(tokenizer)
     rows = texts(docs)
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-    keys = cut(rows.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")))
-    first = keys.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("at"))
-    misses = first.join(stored(docs, cache, name), "digest", "left_anti").select("at.*", "digest")
+    keys = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")))
+    by_row = keys.groupBy("digest", "doc_id").agg(F.count("*").alias("n_rows"))
+    texts_of = cut(by_row.groupBy("digest").agg(F.sum("n_rows").alias("n_rows"), F.min(F.struct("doc_id", F.col("n_rows").alias("same"))).alias("at")))
+    misses = cut(texts_of.join(stored(docs, cache, name), "digest", "left_anti").select("at.*", "digest"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(tokenizer).ids
@@ -64,9 +67,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             n = [len(count(t.as_py())) // 4 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    # two texts of one doc_id may share a tag
-    todo = rows.join(misses.hint("shuffle_hash"), ["doc_id", "tag"]).where(digest == F.col("digest")).select("digest", "text")
+    # a doc_id may have other texts as well
+    asked = rows.join(misses.hint("shuffle_hash"), "doc_id").where(digest == F.col("digest"))
+    todo = asked.where("same = 1").select("digest", "text")
+    if not misses.where("same > 1").isEmpty():
+        todo = todo.unionByName(asked.where("same > 1").select("digest", "text").dropDuplicates(["digest"]))
     new = todo.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(name).alias("tokenizer"), "digest", "n_tokens")
     new.write.mode("append").parquet(cache)
-    counts = stored(docs, cache, name)
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = stored(docs, cache, name).join(texts_of.select("digest", "n_rows"), "digest")
+    counted = look_up(keys, counts, "digest", keys.count())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -2,12 +2,15 @@
 
 Rolling hashes over the ids cut each document's stream where its content says so, so that shared
 passages give shared chunks. A chunk is stored once under its digest; a document is a recipe, the
-list of its chunks, with the root of a Merkle tree over their digests; recipes are written in order of
-doc_id, with the number of ids before each, and a manifest holds the root over the recipes of each
-file and over all files. The reader recomputes every digest and root from what it reads.
+list of its chunks, with the root of a Merkle tree over their digests. Recipes are written in order of
+doc_id, with the number of ids before each. The manifest holds a Merkle tree over them: the leaves
+are recipes with their doc_id, start and length, in order; blocks of them have a root, a file has the
+root over its blocks, and the store has one over its files. The reader recomputes all of these from
+the recipes that it finds, and the digests of the chunks and the roots of the recipes from what they
+hold, so that a lost, swapped, repeated or altered recipe, chunk or manifest fails the read.
 
 Layout of a store: objects/kind=chunk (digest, ids), objects/kind=recipe (as encoded), recipes/
-(ordered, with starts), manifest/ (file number, recipes, ids, root).
+(ordered, with starts), manifest/ (file, recipes, ids, root; file -1 is the whole store).
 """
 
 from __future__ import annotations
@@ -23,19 +26,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, ensure_checkpoint_dir, partitions, texts
+from auditlake.llm.common import batched, cut, ensure_checkpoint_dir, partitions, tagged_texts
 from auditlake.llm.segments import doc_place, mix
 from auditlake.llm.tokens import encoder
 
 #: Ids of the least and of the longest chunk, the expected distance between cuts past the least, and the ids that a rolling hash sees.
 LEAST, MOST, EVERY, SEEN = 64, 4096, 512, 8
 DIGEST = 16
-OBJECT = pa.schema([("pid", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("data", pa.binary())])
-OBJECT_DDL = "pid int, kind string, doc_id long, tag int, n_tokens long, digest binary, data binary"
+OBJECT = pa.schema([("pid", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("data", pa.binary())])
+OBJECT_DDL = "pid int, kind string, doc_id long, tag long, n_tokens long, digest binary, data binary"
 #: Bytes of ids that are looked through at once.
 TOGETHER = 2 << 20
 #: Digests that a task remembers to send a chunk once.
 REMEMBERED = 200_000
+#: Recipes of a block of the manifest's tree, and the file number of the root over all files.
+LEAVES, WHOLE = 1024, -1
 
 
 def digest_of(data: bytes) -> bytes:
@@ -158,7 +163,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
         def out() -> Iterator[tuple]:
             rows, streams, size = [], [], 0
             for batch in batches:
-                place = doc_place(batch.column("doc_id").to_numpy(), n).tolist()
+                place = doc_place(batch.column("doc_id").to_numpy() ^ batch.column("tag").to_numpy(), n).tolist()
                 for pid, doc, tag, text in zip(place, batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")):
                     rows.append((pid, doc, tag))
                     streams.append(ids_of(text.as_py()) + close)
@@ -182,7 +187,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
             # chunks come before recipes
             was = digest[-1].as_py()
 
-    objects = texts(docs).select("doc_id", "tag", "text").mapInArrow(encode, OBJECT_DDL)
+    objects = tagged_texts(docs).select("doc_id", "tag", "text").mapInArrow(encode, OBJECT_DDL)
     objects = objects.repartitionById(n, "pid").sortWithinPartitions("kind", "digest").mapInArrow(once, OBJECT_DDL).drop("pid")
     objects.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
 
@@ -196,37 +201,70 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
         at += ids
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
+        at, place = None, 0
         for batch in batches:
             size = batch.column("n_tokens").to_numpy()
             if not len(size):
                 continue
             at = before[batch.column("file")[0].as_py()] if at is None else at
             ends = at + np.cumsum(size)
-            yield batch.append_column("start", pa.array(ends - size, pa.int64()))
-            at = int(ends[-1])
+            yield batch.append_column("start", pa.array(ends - size, pa.int64())).append_column("place", pa.array(np.arange(place, place + len(size)), pa.int64()))
+            at, place = int(ends[-1]), place + len(size)
 
-    ddl = "doc_id long, tag int, n_tokens long, root binary, chunks binary, file int, start long"
-    ordered.mapInArrow(number, ddl).write.parquet(f"{path}/recipes")
-    spark.read.schema(ddl).parquet(f"{path}/recipes").select("file", "start", "n_tokens", "root").mapInArrow(roots, "file int, recipes long, ids long, root binary").groupBy("file").agg(F.sum("recipes").alias("recipes"), F.sum("ids").alias("ids"), F.max("root").alias("root")).write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(number, RECIPE_DDL).write.parquet(f"{path}/recipes")
+    files = roots(spark.read.schema(RECIPE_DDL).parquet(f"{path}/recipes"))
+    spark.createDataFrame([*files, whole_root(files)], MANIFEST_DDL).coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Root over the recipes of each file, which a task reads whole and in order. The tree grows level by level, so that it holds one digest a level."""
-    schema = pa.schema([("file", pa.int32()), ("recipes", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())])
-    held: dict[int, list] = {}
-    for batch in batches:
-        for file, n, root in zip(*(batch.column(c).to_pylist() for c in ("file", "n_tokens", "root"))):
-            x = held.setdefault(file, [0, 0, blake2b(digest_size=DIGEST)])
-            x[0] += 1
-            x[1] += n
-            x[2].update(root)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((k, x[0], x[1], x[2].digest()) for k, x in held.items())), schema)], schema=schema)
+RECIPE_DDL = "doc_id long, tag long, n_tokens long, root binary, chunks binary, file int, start long, place long"
+MANIFEST_DDL = "file int, recipes long, ids long, root binary"
+
+
+def leaf(doc_id: int, tag: int, start: int, n_tokens: int, root: bytes) -> bytes:
+    return digest_of(np.array([doc_id, tag, start, n_tokens], "<i8").tobytes() + root)
+
+
+def roots(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """File, recipes, ids and root of each file of recipes, ordered. A task reads one block of leaves at a time; a row for each file, of which there are as many as partitions, comes to the driver."""
+
+    def block_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = batch.column("leaves").to_pylist()
+            whole = [[x["place"] for x in block] == list(range(b * LEAVES, b * LEAVES + len(block))) for b, block in zip(batch.column("block").to_pylist(), leaves)]
+            root = [merkle([leaf(x["doc_id"], x["tag"], x["start"], x["n_tokens"], x["root"]) for x in block]) if ok else None for block, ok in zip(leaves, whole)]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array([len(x) for x in leaves], pa.int64()), pa.array([sum(x["n_tokens"] for x in block) for block in leaves], pa.int64()), pa.array(root, pa.binary())], ["file", "block", "recipes", "ids", "root"])
+
+    def file_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("blocks").to_pylist()
+            # a block that isn't whole, or is missing, leaves the file without a root
+            root = [merkle([x["root"] for x in part]) if all(x["root"] and x["block"] == i for i, x in enumerate(part)) and all(x["recipes"] == LEAVES for x in part[:-1]) else None for part in blocks]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([sum(x["recipes"] for x in part) for part in blocks], pa.int64()), pa.array([sum(x["ids"] for x in part) for part in blocks], pa.int64()), pa.array(root, pa.binary())], ["file", "recipes", "ids", "root"])
+
+    together = lambda key, *fields: F.sort_array(F.collect_list(F.struct(key, *fields)))
+    block = recipes.groupBy("file", F.floor(F.col("place") / LEAVES).cast("long").alias("block")).agg(together("place", "doc_id", "tag", "start", "n_tokens", "root").alias("leaves"))
+    blocks = block.mapInArrow(block_roots, "file int, block long, recipes long, ids long, root binary")
+    file = blocks.groupBy("file").agg(together("block", "recipes", "ids", "root").alias("blocks"))
+    return sorted(tuple(r) for r in file.mapInArrow(file_roots, MANIFEST_DDL).collect())
+
+
+def whole_root(files: list[tuple[int, int, int, bytes]]) -> tuple[int, int, int, bytes]:
+    held = [digest_of(np.array([file, recipes, ids], "<i8").tobytes() + (root or b"")) for file, recipes, ids, root in files]
+    return WHOLE, sum(f[1] for f in files), sum(f[2] for f in files), merkle(held)
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Compare the manifest with the tree over the recipes that are there; a difference is an error."""
+    stated = sorted(tuple(r) for r in spark.read.schema(MANIFEST_DDL).parquet(f"{path}/manifest").collect())
+    files = roots(spark.read.schema(RECIPE_DDL).parquet(f"{path}/recipes"))
+    found = sorted([*files, whole_root(files)])
+    if any(root is None for *_, root in files) or [(*x[:3], bytes(x[3])) for x in stated] != [(*x[:3], bytes(x[3])) for x in found]:
+        raise ValueError("the recipes don't match the manifest")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files. Every chunk's digest and every recipe's root is verified; a chunk that is missing or doesn't match fails the job."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files. The manifest's tree is verified first, and every chunk's digest and every recipe's root as they are read; what is missing or doesn't match is an error."""
+    verify(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +295,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids of each document, put together from the chunks."""
+    """doc_id, start and the ids of each document, put together from the chunks, once the manifest's tree is verified."""
+    verify(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     n = F.expr(f"cast(length(chunks) / {DIGEST} as int)")
     parts = recipes.select("doc_id", "start", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("chunks"), i * DIGEST + 1, F.lit(DIGEST)))).alias("i", "digest"))

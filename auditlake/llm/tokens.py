@@ -72,6 +72,8 @@ class Encoder:
             normal.get("normalizers") == BY_RUNS["normalizer"]
             and steps[0].get("pattern") == {"Regex": BY_RUNS["split"]}
             and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+            and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+            and (steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == (False, False)
             and held.get("post_processor") is None
             and all(s.startswith("<|") for s in special)
         )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import batched, bounded_ids, cut, held_out, texts
 
-#: Labelled texts that a model is fitted on, terms that a lexicon holds, texts that a term must be in, letters of a stem.
+#: Labelled texts that a model is fitted on and terms that its lexicon holds (both parameters of the model), texts that a term must be in, letters of a stem.
 SAMPLE, TERMS, SEEN, STEM = 20_000, 3000, 4, 5
 #: Words of the second person in the languages of the corpus, and how many words away they still count.
 YOU = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti tuyo vosotros".split())
@@ -127,14 +127,11 @@ class Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the non-decreasing function of the score that fits y best (pool adjacent violators), each with one observation of the mean of all mixed in, so that no step is at 0 or 1."""
-    order = np.argsort(score, kind="stable")
+    # equal scores are one observation with a weight
+    values, at = np.unique(score, return_inverse=True)
     pools: list[list[float]] = []  # sum, number, first and last score
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        if pools and pools[-1][3] == s:
-            pools[-1][0] += v
-            pools[-1][1] += 1
-        else:
-            pools.append([v, 1, s, s])
+    for s, v, n in zip(values.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        pools.append([v, n, s, s])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             v2, n2, _, last = pools.pop()
             pools[-1][0] += v2
@@ -146,8 +143,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.maximum.accumulate(ys)
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that occur in toxic texts far more often than in others, by smoothed log odds of texts. sample: text, toxic."""
+def learn_lexicon(sample: DataFrame, most: int = TERMS) -> tuple[dict[str, float], dict[str, float]]:
+    """The `most` words and stems that occur in toxic texts far more often than in others, by smoothed log odds of texts times the root of their number, ties in order. sample: text, toxic."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], list[int]] = {}
@@ -171,7 +168,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
     counted = sample.mapInArrow(terms, "kind string, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counted.where(F.col("toxic") >= SEEN).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "kind", "term").limit(TERMS).collect()
+    kept = counted.where(F.col("toxic") >= SEEN).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "kind", "term").limit(most).collect()
     return {r.term: r.odds for r in kept if r.kind == "word"}, {r.term: r.odds for r in kept if r.kind == "stem"}
 
 
@@ -190,8 +187,8 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), *self.steps), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fit on at most `most` labelled texts outside the held-out rows; texts and their labels alone are used. Rows with a null label or doc_id take no part; of repeated labels of a document the larger counts."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, terms: int = TERMS) -> Model:
+    """Fit on at most `most` labelled doc_ids outside the held-out rows, with a lexicon of at most `terms`; texts and their labels alone are used. Rows with a null label or doc_id take no part; of repeated labels of a document the larger counts. Where doc_ids repeat, the first `most` texts by a hash of their doc_id and by their features are fitted on."""
     known = labels.where("toxic is not null and doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = bounded_ids(known.where(~held_out(4, 2)), most)
     # the bound keeps this side small
@@ -202,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     model = Model(float(share.m))
     # the last part of the sample calibrates; lexicon and trees don't see it
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    model.lexicon, model.stems = learn_lexicon(sample.where(~apart))
-    rows = extracted(sample.withColumn("apart", apart.cast("int")), model, ["toxic", "apart"]).limit(2 * most).toPandas().sort_values("doc_id")
+    model.lexicon, model.stems = learn_lexicon(sample.where(~apart), terms)
+    rows = extracted(sample.withColumn("apart", apart.cast("int")), model, ["toxic", "apart"]).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(most).toPandas()
     x, y, late = np.array(rows["x"].tolist()), rows["toxic"].to_numpy(float), rows["apart"].to_numpy(bool)
     if y[~late].min(initial=1) == y[~late].max(initial=0) or not late.any():
         return Model(float(share.m))
@@ -239,7 +236,14 @@ def apply(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted of each document. Rows without a doc_id take no part; rows that repeat one are all scored. An empty table gives none; without labels of both kinds every score is the share of toxic ones (0 without any)."""
-    model = fit(docs, labels, most)
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE, terms: int = TERMS) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document.
+
+    A text of any length is scored whole, as densities over all its words; null and empty texts are
+    scored as texts without a word. A score of exactly the threshold is predicted 1; texts with equal
+    features have equal scores. Rows without a doc_id take no part; rows that repeat one are all
+    scored. An empty table gives none; without labels of both kinds every score is the share of toxic
+    ones (0 without any).
+    """
+    model = fit(docs, labels, most, terms)
     return apply(texts(docs).select("doc_id", "text"), model, threshold).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")

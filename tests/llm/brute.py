@@ -39,9 +39,9 @@ def odd_texts():
 
 def tagged(df):
     """(doc_id, text, tag of the text) of each row: places are ordered by doc_id, tag, place."""
-    from auditlake.llm.common import texts
+    from auditlake.llm.common import tagged_texts
 
-    return [(r.doc_id, r.text, r.tag) for r in texts(df.select("doc_id", "text")).collect()]
+    return [(r.doc_id, r.text, r.tag) for r in tagged_texts(df.select("doc_id", "text")).collect()]
 
 
 def repeated(tokens_of, window, rows):
@@ -101,6 +101,23 @@ def components(rows, most=3):
     return [(d, f"{f:016x}", least[of[f]]) for d, f in rows]
 
 
+def near_groups(rows, k=5, least=0.8):
+    """The smallest doc_id of each document's group: those whose sets of shingles of ASCII-lower-cased words are similar enough are linked."""
+    sets = {}
+    for d, t in rows:
+        words = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+    group = {d: d for d in sets}
+    held = sorted(sets)
+    for n, a in enumerate(held):
+        for b in held[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= least * max(len(x), len(y)) and group[a] != group[b] and len(x & y) >= least * len(x | y):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    return group
+
+
 def edit_distance_inside(item, text):
     """Least edit distance of the item to any substring of the text."""
     a, t = np.frombuffer(item.encode("latin-1"), np.uint8), np.frombuffer(text.encode("latin-1"), np.uint8)

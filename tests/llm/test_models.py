@@ -34,6 +34,108 @@ def test_toxicity_of_odd_rows(odd, spark, larger):
     assert toxicity.apply(odd, model).count() == odd.count()
 
 
+def test_ties_and_long_texts(spark, larger):
+    """Equal texts score alike, however long, and a score of the threshold is predicted."""
+    docs, labels = larger["documents"], larger["labels"]
+    model = toxicity.fit(docs, labels)
+    some = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(40).collect()]
+    rows = [(i, t) for i, t in enumerate([*some, *some, " ".join(some * 60), "", None])]
+    got = {r.doc_id: r for r in toxicity.apply(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[i].score == got[i + 40].score for i in range(40)) and got[81].score == got[82].score
+    tie = got[3].score
+    assert all(r.predicted == (r.score >= tie) for r in toxicity.apply(spark.createDataFrame(rows, "doc_id long, text string"), model, threshold=tie).collect())
+
+
+def test_lexicon_is_bounded_and_ordered(spark):
+    rows = [(i, f"bad{i % 7} worse{i % 11} plain" if i % 2 else "plain words here", i % 2) for i in range(400)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    few = toxicity.learn_lexicon(sample, most=5)
+    assert sum(map(len, few)) == 5
+    assert all(few[0].items() <= toxicity.learn_lexicon(sample)[0].items() for _ in few)
+
+
+def test_trees_follow_their_nodes():
+    """Scores are the base and the value of the leaf that each tree's questions lead to; a split is the best that an exhaustive search finds."""
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] < -0.2) ^ (rng.random(400) < 0.05)).astype(float)
+    model = toxicity.Trees(trees=12, depth=3, least=10).fit(x, y)
+    raw = model.raw(x)
+    for row, got in zip(x, raw):
+        total = model.base
+        for tree in model.nodes:
+            at = 0
+            while tree[at][0] >= 0:
+                feature, bound, left, right, _ = tree[at]
+                at = left if np.searchsorted(model.edges[feature], row[feature], side="left") <= bound else right
+            total += model.rate * tree[at][4]
+        assert abs(total - got) < 1e-9
+    assert np.mean((raw > 0) == (y > 0.5)) > 0.85
+    b, p = model.binned(x), y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+    best = max((gain(b[:, j] <= k) + gain(b[:, j] > k), -j, -k) for j in range(5) for k in range(b[:, j].max()) if 10 <= (b[:, j] <= k).sum() <= len(y) - 10)
+    feature, bound = model.nodes[0][0][:2]
+    assert abs(gain(b[:, feature] <= bound) + gain(b[:, feature] > bound) - best[0]) < 1e-9
+
+
+def test_isotonic_is_the_best_fit():
+    """The pooled means are, at each score, the largest over lower ends of the smallest over upper ends of the means between."""
+    rng = np.random.default_rng(1)
+    score = np.round(rng.random(120), 2)
+    y = (rng.random(120) < score).astype(float)
+    xs, ys = toxicity.isotonic(score, y)
+    values = np.unique(score)
+    mean = lambda a, b: y[(score >= a) & (score <= b)].mean()
+    want = np.array([max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values])
+    pools = {v: [s for s, w in zip(values, want) if w == v] for v in want}
+    smoothed = [(want[i] * (n := sum(np.isin(score, pools[want[i]]))) + y.mean()) / (n + 1) for i in range(len(values))]
+    assert np.allclose(np.interp(values, xs, ys), np.maximum.accumulate(smoothed))
+
+
+@pytest.mark.parametrize("switch", [0.0, 1.5, 6.0])
+def test_viterbi_against_all_labellings(switch):
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    size = np.array([4, 0, 1, 6, 2])
+    score = rng.normal(size=(size.sum(), 3))
+    got, at = langid.viterbi(score, size, switch), 0
+    value = lambda part, path: sum(part[i, k] for i, k in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:]))
+    for n in size:
+        part, path = score[at : at + n], got[at : at + n].tolist()
+        assert n == 0 or abs(value(part, path) - max(value(part, p) for p in product(range(3), repeat=int(n)))) < 1e-9
+        at += n
+
+
+def test_letters_are_unicodes(spark):
+    """Digits, marks and symbols of a script are no letters; letters of scripts that few fonts have are."""
+    rows = [(i, f"wort{i} und satz", "aa") for i in range(1, 40)]
+    none = ["٣٤٥", "१२३", "・・", "䷀", "\u0301\u0302", "12 --"]
+    some = ["ⵜⵉⴼ", "ⲁⲃⲅ", "ꓐ", "wort", "𐌰𐌱"]
+    rows += [(1000 + i, t, None) for i, t in enumerate(none + some)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[1000 + i] for i in range(len(none))] == ["und"] * len(none)
+    assert "und" not in [got[1000 + len(none) + i] for i in range(len(some))]
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    rows = [(5 * i + k, f"w{i:03d}x " * 9, f"l{i}") for i in range(300) for k in range(1, 5)]
+    rows += [(10_000 + i, f"w{i:03d}x " * 4, None) for i in range(0, 300, 37)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    hit = [got[10_000 + i] == f"l{i}" for i in range(0, 300, 37)]
+    assert np.mean(hit) >= 0.8
+
+
+def test_script_outvotes_length(spark):
+    """A long word is labelled by the languages of its script only."""
+    rows = [(i, "longandlonger wordsofall kinds", "aa") for i in range(1, 60, 2)] + [(i, "а б в г слово ж", "bb") for i in range(2, 60, 2)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    word = "ж" + "longandlonger" * 40
+    [span] = langid.spans(spark.createDataFrame([(1, word)], "doc_id long, text string"), model).collect()
+    assert span.lang == "bb"
+
+
 def test_isotonic_steps():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(y) >= 0).all() and x[0] == 1 and 0 < y[0] < y[-1] < 1
@@ -130,6 +232,26 @@ def test_outlying_norms_blur_no_other(spark):
     assert np.mean([len(by[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["clusters", "jittered copies", "no structure"])
+def test_recall_at_the_registered_setting(spark, kind):
+    rng = np.random.default_rng(9)
+    n, d = 4500, 64
+    base = rng.normal(size=(n, d))
+    if kind == "clusters":
+        base = base[rng.integers(0, 60, n)] + 0.4 * base
+    if kind == "jittered copies":
+        base = base[rng.integers(0, 300, n)] + 0.01 * base
+    rows = [(i, v) for i, v in enumerate(base.astype(np.float32).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = exact(rows, range(0, n, 20), 20)
+    by = {}
+    for r in ann_graph.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20).collect():
+        by.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(by) == set(want) and all(len(f) == 20 for f in by.values())
+    # an answer as near as the last of the true ones counts
+    assert np.mean([sum(s >= want[q][-1][1] - 1e-9 for s in by[q].values()) / 20 for q in want]) >= 0.9
+
+
 def items(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet")
 

@@ -1,12 +1,13 @@
 """The corpus pipeline against a plain composition of its stages."""
 
-import json
+from collections import Counter
 
 import brute
+import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-from test_tokens import WORDS, verify_packing
+from test_models import exact
+from test_tokens import WORDS, stored, verify_packing
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -17,7 +18,7 @@ def plain(spark, docs, sf):
     """doc_id and text of what comes to be packed."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = [(r.doc_id, r.text) for r in toxicity.apply(docs, model).where("score < 0.3").collect()]
-    group = {d: c for d, _, c in brute.components(rows)}
+    group = brute.near_groups(rows)
     rows = [(d, t) for d, t in rows if group[d] == d]
     cut = {d: (n, kept.decode()) for d, _, n, _, kept in brute.spans(rows)}
     rows = [(d, cut[d][1] if cut[d][0] else t) for d, t in rows]
@@ -65,13 +66,7 @@ def test_near_copies_of_few_changed_words(spark, docs):
             words = list(words)
             for at in rng.integers(0, len(words), 1 + k % 3):
                 words[at] = f"new{k}_{copy}_{at}"
-    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
-    group = {d: d for d in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                old, new = max(group[a], group[b]), min(group[a], group[b])
-                group = {d: new if g == old else g for d, g in group.items()}
+    group = brute.near_groups(rows)
     made = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], docs.schema)
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, made, "").collect()}
     assert got == {d for d, g in group.items() if d == g}
@@ -89,3 +84,44 @@ def test_near_copies_under_one_doc_id(spark, docs):
 def test_queries_are_named_and_whole(spark, sf):
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_against_sql(spark, sf, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = db.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = Counter(map(tuple, queries.QUERIES[name](spark, sf).select(*columns).collect()))
+    assert got == Counter(want.fetchall())
+
+
+def test_registered_queries_against_plain_ones(spark, sf, docs, rows):
+    """Each query as it is registered, over the whole of its small table."""
+    library = Tokenizer.from_file(WORDS)
+    ids_of = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    run = lambda name: queries.QUERIES[name](spark, sf)
+    told = lambda name, *columns: Counter(map(tuple, run(name).select(*columns).collect()))
+    assert told("op1_suffix_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.substrings(rows))
+    assert told("op4_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(x[:4] for x in brute.spans(rows))
+    assert told("op9_simhash", "doc_id", "fingerprint", "component_id") == Counter(brute.components(rows))
+    assert told("op3_token_counts", "doc_id", "n_bytes", "n_tokens", "over_limit") == Counter((d, len((t or "").encode()), n, n > 2048) for d, t in rows for n in [len(ids_of(t))])
+    assert told("op6_token_store", "doc_id", "start", "n_tokens", "ids_crc32") == Counter(stored(rows, ids_of))
+    verify_packing(run("op7_packing").collect(), rows, ids_of, 4096)
+    scored, spoken = run("op2_toxicity").collect(), run("op5_language_id").collect()
+    assert sorted(r.doc_id for r in scored) == sorted(r.doc_id for r in spoken) == sorted(d for d, _ in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (brute.remainder(r.doc_id, 4) == 2) for r in scored)
+    langs = {r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()}
+    assert all(0 <= r.score <= 1 and r.lang_pred in langs | {"und"} and r.held_out == (brute.remainder(r.doc_id, 5) == 0) for r in spoken)
+    short = [(d, t) for d, t in rows if len(t or "") < 4000]
+    some = {d for d, _ in short}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {(r.doc_id, r.item_id, r.distance) for r in run("op10_decontamination").collect() if r.doc_id in some} == brute.leaks(short, items)
+    vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    vectors = [(i, v) for i, v in vectors if v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    want = exact(vectors, [i for i, _ in vectors if i % 20 == 0], 20)
+    by = {}
+    for r in run("op8_nearest").collect():
+        by.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(by) == set(want)
+    assert np.mean([sum(s >= want[q][-1][1] - 1e-9 for s in by[q].values()) / len(want[q]) for q in want]) >= 0.9

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from auditlake.llm import packing, token_counts, token_store
+from auditlake.llm import common, packing, token_counts, token_store
 from auditlake.llm.tokens import Encoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -94,19 +94,39 @@ def test_store_of_odd_texts(spark, ids_of, tmp_path):
     ids = {r.doc_id: r.ids for r in token_store.read_ids(spark, path).collect()}
     assert ids == {d: [*ids_of(t), 1] for d, t in single if d is not None}
     assert spark.read.parquet(f"{path}/objects").where("kind = 'chunk'").groupBy("digest").count().where("count > 1").count() == 0
-    manifest = spark.read.parquet(f"{path}/manifest").agg({"ids": "sum", "recipes": "sum"}).first()
-    assert set(manifest) == {sum(map(len, ids.values())), len(ids)}
+    manifest = spark.read.parquet(f"{path}/manifest")
+    whole = manifest.where("file = -1").first()
+    assert (whole.ids, whole.recipes) == (sum(map(len, ids.values())), len(ids))
+    assert set(manifest.where("file >= 0").agg({"ids": "sum", "recipes": "sum"}).first()) == {whole.ids, whole.recipes}
 
 
 def test_damaged_store_is_refused(docs, spark, tmp_path):
+    """A lost, swapped or repeated recipe, an altered chunk and a changed manifest each fail the read."""
     path = str(tmp_path / "store")
-    token_store.write_store(docs.limit(20), WORDS, path)
-    objects = spark.read.parquet(f"{path}/objects")
-    bad = objects.selectExpr("kind", "doc_id", "tag", "n_tokens", "digest", "case when kind = 'chunk' then concat(data, unhex('0000')) else data end as data")
-    bad.write.partitionBy("kind").parquet(f"{path}-2/objects")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{path}-2/recipes")
-    with pytest.raises(Exception, match="doesn't match"):
-        token_store.read_digests(spark, f"{path}-2").collect()
+    token_store.write_store(docs.limit(30), WORDS, path)
+    held = {n: spark.read.parquet(f"{path}/{n}") for n in ("objects", "recipes", "manifest")}
+    gone = held["recipes"].agg({"doc_id": "max"}).first()[0]
+    one = held["recipes"].where(f"doc_id = {gone}")
+    damages = {
+        "chunk": ("objects", held["objects"].selectExpr("doc_id", "tag", "n_tokens", "digest", "case when kind = 'chunk' then concat(data, unhex('0000')) else data end as data", "kind")),
+        "no_chunk": ("objects", held["objects"].where("kind = 'recipe'").select("doc_id", "tag", "n_tokens", "digest", "data", "kind")),
+        "lost": ("recipes", held["recipes"].where(f"doc_id <> {gone}")),
+        "repeated": ("recipes", held["recipes"].unionByName(one)),
+        "swapped": ("recipes", held["recipes"].selectExpr("if(doc_id = 0, 1, if(doc_id = 1, 0, doc_id)) as doc_id", *held["recipes"].columns[1:])),
+        "starts": ("recipes", held["recipes"].selectExpr("doc_id", "tag", "n_tokens", "root", "chunks", "file", "start + 1 as start", "place")),
+        "lost_file": ("recipes", held["recipes"].where("file <> 1")),
+        "manifest": ("manifest", held["manifest"].selectExpr("file", "recipes", "if(file = 0, ids + 1, ids) as ids", "root")),
+        "lost_entry": ("manifest", held["manifest"].where("file <> 0")),
+    }
+    assert token_store.read_digests(spark, path).count() == 30
+    for name, (table, damaged) in damages.items():
+        at = str(tmp_path / name)
+        for other, whole in held.items():
+            rows = damaged if other == table else whole
+            rows = rows.write if other != "objects" else rows.write.partitionBy("kind")
+            rows.parquet(f"{at}/{other}")
+        with pytest.raises(Exception, match="match"):
+            token_store.read_digests(spark, at).collect()
 
 
 def test_crc_of_joined_parts():
@@ -180,8 +200,19 @@ def test_chunks_depend_on_their_stream_alone():
         at += len(stream)
 
 
-def test_counts_of_texts_that_share_a_tag(spark):
+def test_counts_of_many_texts_of_one_doc_id(spark, tmp_path):
     library = Tokenizer.from_file(WORDS)
-    texts = [f"text {i} " + "again and " * (i % 9) for i in range(900)]
-    got = Counter(tuple(r) for r in token_counts.count_tokens(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"), WORDS).select("n_bytes", "n_tokens").collect())
+    texts = [f"text {i} " + "again and " * (i % 9) for i in range(900)] + ["one"] * 5
+    cache = str(tmp_path / "cache")
+    got = Counter(tuple(r) for r in token_counts.count_tokens(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"), WORDS, cache).select("n_bytes", "n_tokens").collect())
     assert got == Counter((len(t), len(library.encode(t, add_special_tokens=False).ids)) for t in texts)
+    assert spark.read.parquet(cache).count() == 901
+
+
+def test_a_heavy_text_is_looked_up_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 0.2)
+    rows = spark.range(50_000).selectExpr("if(id % 3 = 0, 0, id % 100) as key", "id")
+    entries = rows.groupBy("key").count().selectExpr("key", "count as n_rows", "key * 2 as said")
+    got = common.look_up(rows, entries, "key", 50_000)
+    assert "n_rows" not in got.columns
+    assert got.selectExpr("count(*)", "count_if(said = key * 2)", "count(distinct id)").first() == (50_000,) * 3
