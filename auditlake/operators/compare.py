@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.numeric import crosses, implied_pct, is_missing, operator_of, parse_cell, relative_error, self_consistent
+from auditlake.functions.numeric import crosses, implied_pct, is_missing, relative_error, self_consistent, with_cells
 from auditlake.functions.units import units_differ
 
 #: Bands of relative error for means, spreads and bounds of intervals, and of absolute error for thresholds (fixed values).
@@ -16,10 +16,10 @@ def compare_values(rows: DataFrame, review: str, source: str, review_unit: str,
     """rows with label, mode, review_required. In this order: a missing value, units that differ, an unparsed one, structure (bounds, proportions, intervals), means, spreads.
 
     Where an interval agrees on both sides the point estimates aren't compared. What one side states and the other doesn't is left unconsumed: it asks for a review, and makes the pair not comparable where the source is known to have left it out (`omitted`)."""
-    held = rows.withColumns({"_a": parse_cell(F.col(review)), "_b": parse_cell(F.col(source))})
+    held = with_cells(rows, _a=F.col(review), _b=F.col(source))
     a, b = F.col("_a"), F.col("_b")
     within = lambda x, y, band: relative_error(x, y) <= band
-    op_a, op_b = operator_of(a), operator_of(b)
+    op_a, op_b = a["operator"], b["operator"]
     pct_a, pct_b = F.coalesce(a["pct"], implied_pct(a)), F.coalesce(b["pct"], implied_pct(b))
     both_ci = a["ci_lower"].isNotNull() & b["ci_lower"].isNotNull()
     one_ci = a["ci_lower"].isNotNull() != b["ci_lower"].isNotNull()

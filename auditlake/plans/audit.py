@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.numeric import operator_of, parse_cell, relative_error
+from auditlake.functions.numeric import relative_error, with_cells
 from auditlake.functions.units import normal_unit, unit_kind, units_differ
 from auditlake.operators.compare import MEAN, compare_values, scope_verdict, verdict
 from auditlake.operators.matching import duplicate_keys, pair_or_refuse
@@ -106,10 +106,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = cells(spark, sf_dir).select("k", "a").distinct().withColumn("c", parse_cell(F.col("a")))
+    distinct = with_cells(cells(spark, sf_dir).select("k", "a").distinct(), c=F.col("a"))
     c = F.col("c")
     doubles = ("primary", "spread", "lower", "upper", "ci_lower", "ci_upper", "ci_level", "pct")
-    return distinct.select("k", F.col("a").alias("cell"), operator_of(c).alias("operator"), c["spread_kind"].alias("spread_kind"), c["events"].alias("events"), c["total"].alias("total"), *(F.round(c[d], 6).alias(d) for d in doubles))
+    return distinct.select("k", F.col("a").alias("cell"), c["operator"].alias("operator"), c["spread_kind"].alias("spread_kind"), c["events"].alias("events"), c["total"].alias("total"), *(F.round(c[d], 6).alias(d) for d in doubles))
 
 
 PARSE_SQL = """
@@ -126,7 +126,9 @@ FROM (SELECT DISTINCT * FROM c)
 
 def structured_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir).withColumns({"ua": F.lit("cm3"), "ub": F.expr("case u when 0 then 'cc' when 1 then 'mL' else 'mm' end")})
-    return compare_values(rows, "a", "b", "ua", "ub").groupBy("k", "m", "u", "label", "mode", "review_required").agg(F.count("*").alias("n"))
+    # equal pairs are compared once
+    pairs = rows.groupBy("k", "m", "u", "a", "b", "ua", "ub").agg(F.count("*").alias("rows"))
+    return compare_values(pairs, "a", "b", "ua", "ub").groupBy("k", "m", "u", "label", "mode", "review_required").agg(F.sum("rows").alias("n"))
 
 
 def unit_check(spark: SparkSession, sf_dir: str) -> DataFrame:

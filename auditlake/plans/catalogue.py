@@ -1,6 +1,6 @@
 """All queries over the driver's tables, and their statements in SQL."""
 
-from auditlake.plans import audit, evidence, ordered
+from auditlake.plans import audit, capture, evidence, ordered
 
-QUERIES = audit.QUERIES | ordered.QUERIES | evidence.QUERIES
-ORACLE_SQL = audit.ORACLE_SQL | ordered.ORACLE_SQL | evidence.ORACLE_SQL
+QUERIES = audit.QUERIES | ordered.QUERIES | evidence.QUERIES | capture.QUERIES
+ORACLE_SQL = audit.ORACLE_SQL | ordered.ORACLE_SQL | evidence.ORACLE_SQL | capture.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.numeric import parse_cell
+from auditlake.functions.numeric import with_cells
 from auditlake.functions.text import words
 from auditlake.operators import judgement
 from auditlake.operators.identity import best_identity
@@ -33,7 +33,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _verdicts(spark, sf_dir)
     verdict = F.struct("relation", "side", "equivalent", "confidence", "span")
-    cells = rows.withColumns({"verdict": verdict, "a": parse_cell(F.col("review")), "b": parse_cell(F.col("source"))})
+    cells = with_cells(rows.withColumn("verdict", verdict), a=F.col("review"), b=F.col("source"))
     told = cells.withColumn("agree", judgement.numbers_agree(F.col("a"), F.col("b"), 0.01))
     told = told.select(judgement.semantic_control(F.col("verdict"), F.col("review"), F.col("source"), F.col("agree"), F.col("quote")).alias("o")).select("o.*")
     return told.groupBy("label", "failed", "review_required").agg(F.count("*").alias("n"))

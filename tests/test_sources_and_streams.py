@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.functions.numeric import is_missing, operator_of, parse_cell, plain_commas
-from auditlake.functions.text import letter, shared_share, supports
+from auditlake.functions.numeric import coarser, components, is_missing, plain_commas, with_cells
+from auditlake.functions.text import clean_pdf, contains_words, flat, folded, kept_doi, letter, normal, normal_pmid, occurrences, printed_dois, printed_pmid, shared_share, supports
 from auditlake.operators.compare import compare_values
 from auditlake.operators.matching import pair_or_refuse, unique_or_refuse
 from auditlake.sources.tables import read_claims, read_knowledge, read_studies
@@ -31,29 +31,65 @@ def one(spark, column, value):
     return spark.createDataFrame([(value,)], "v string").select(column(F.col("v")).alias("x")).first().x
 
 
-@pytest.mark.parametrize("text,want", [("1,234", "1234"), ("12,345,678", "12345678"), ("52,3", "52.3"), ("0,001", "0.001"), ("12,90", "12.90"), ("a, b", "a, b")])
+@pytest.mark.parametrize(
+    "text,want",
+    [("7,310", "7310"), ("2,005,117,940", "2005117940"), ("31,870,226,904 kg", "31870226904 kg"), ("45,1278", "451278"), ("8,4", "8.4"), ("0,250", "0.250"), ("77,05", "77.05"), ("9876,543", "9876543"), ("x, y", "x, y"), ("3,141 and 2,7", "3141 and 2.7")],
+)
 def test_commas(spark, text, want):
     assert one(spark, plain_commas, text) == want
 
 
 @pytest.mark.parametrize(
     "text,want",
-    [("6.60 ± 0.71", ("spread", 6.6, 0.71)), ("55 (38.3-79.6), IQR", ("reach", 55.0, 20.65)), ("0.62 [95%CI: 0.48 to 0.81]", ("interval", 0.62, None)), ("p < 0.001", ("bound", 0.001, None)), ("none here", ("none", None, None)), ("45/120 (37.5%)", ("events", 45.0, None)), ("3.4 +/- 1", ("spread", 3.4, 1.0))],
-)
+    [
+        ("8.14 ± 2.05", ("spread", 8.14, 2.05)), ("61 (44.0-70.5), iqr", ("reach", 61.0, 13.25)), ("-7 (-11--2)", ("reach", -7.0, 4.5)), ("1.31 (90 % CI 1.02 to 1.69)", ("interval", 1.31, None)),
+        ("1.31 [90% confidence interval (1.02, 1.69]", ("interval", 1.31, None)), ("rate < 0.04", ("bound", 0.04, None)), ("rate<0.04", ("plain", 0.04, None)), ("blank", ("none", None, None)),
+        ("18/72 (25%)", ("events", 18.0, None)), ("9.9 +- 3", ("spread", 9.9, 3.0)), ("3 / 4 / 5", ("plain", 3.0, None)), ("12.5 %", ("percentage", 12.5, None)), (None, ("none", None, None)),
+    ],
+)
 def test_cells(spark, text, want):
-    got = one(spark, parse_cell, text)
+    got = with_cells(spark.createDataFrame([(text,)], "v string"), x=F.col("v")).first().x
     assert (got.form, got.primary, got.spread and round(got.spread, 6)) == want
 
 
+def test_intervals_and_parts(spark):
+    rows = spark.createDataFrame([("1.31 (90% CI 1.69 to 1.02)",), ("18/72 (25%)",), ("≥ 3",), ("4 ± 1",)], "v string")
+    got = [(r.x, r.parts) for r in with_cells(rows, x=F.col("v")).withColumn("parts", components(F.col("x"))).collect()]
+    assert (got[0][0].ci_lower, got[0][0].ci_upper, got[0][0].ci_level) == (1.02, 1.69, 90.0)
+    assert (got[1][0].events, got[1][0].total, got[1][0].pct) == (18, 72, 25.0)
+    assert got[2][0].operator == ">="
+    assert [p for _, p in got] == [["ci", "ci_level"], ["events", "pct"], ["operator"], ["sd"]]
+
+
+@pytest.mark.parametrize("a,b,want", [("4.25 ± 1.18", "4.2 ± 1.2", True), ("4.25", "4.3", False), ("4.31", "4.3", True), ("4.3", "4.31", False), ("4.31", "4.31", False), ("x", "4", False), ("4.31 ± 0.5", "4.3 ± 0.9", False)])
+def test_coarser_numbers(spark, a, b, want):
+    rows = with_cells(spark.createDataFrame([(a, b)], "a string, b string"), x=F.col("a"), y=F.col("b"))
+    assert rows.select(coarser(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("c")).first().c is want
+
+
 def test_small_expressions(spark):
-    assert one(spark, lambda c: operator_of(parse_cell(c)), "≤ 5") == "<=" and one(spark, is_missing, " Not Reported ")
+    assert one(spark, is_missing, " Not Reported ")
     letters = [r.x for r in spark.range(0, 20000).select(letter(F.col("id")).alias("x")).collect()]
-    assert letters[:2] + letters[25:28] + [letters[701], letters[702]] == ["A", "B", "Z", "AA", "AB", "ZZ", "AAA"] and len(set(letters[:18278])) == 18278
+    assert letters[:2] + letters[25:28] + [letters[i] for i in (701, 702, 18277, 18278)] == ["A", "B", "Z", "AA", "AB", "ZZ", "AAA", "ZZZ", "AAAA"] and len(set(letters)) == 20000
     share = lambda a, b: spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(shared_share(F.col("a"), F.col("b")).alias("x")).first().x
-    assert share(["nivolumab"], ["nivolumab", "plus", "ipilimumab"]) == 0.5 and share(["x"], []) == 0
-    quote = "11.5 months (95% confidence interval [CI], 8.9 to 16.7)"
-    assert one(spark, lambda c: supports(F.lit(quote), c), "11.5 (95% CI 8.9-16.7)") is False  # a hyphen before a digit is a sign
-    assert one(spark, lambda c: supports(F.lit(quote), c), "95 8.9 16.7")
+    assert share(["red"], ["red", "over", "green"]) == 0.5 and share(["x"], []) == 0
+    quote = "the gap was 7.2 days (90% range as stated, 5.1 to 12.8)"
+    assert one(spark, lambda c: supports(F.lit(quote), c), "7.2 (90% range 5.1-12.8)") is False  # a hyphen before a digit is a sign
+    assert one(spark, lambda c: supports(F.lit(quote), c), "90 5.1 12.8")
+    assert one(spark, lambda c: supports(c, F.lit("5 9")), "between 5\n and 9 of Größe")
+
+
+def test_names_and_identifiers(spark):
+    assert one(spark, folded, "Çağlar Ørsted-Łukasz ﬁne Straße") == "Caglar Orsted-Lukasz fine Strasse"
+    assert one(spark, normal, "Äpfel con-\n   tain ½ fluß²") == "apfel contain 1 2 flu 2"
+    assert one(spark, flat, "A  B\tcon-\n tain") == "a b con-tain"
+    assert one(spark, clean_pdf, "4\x01 1\u2009kg\x03\tx") == "4± 1 kg\tx"
+    assert one(spark, printed_dois, "as in <https://doi.org/10.5072/Q-1.>, doi:10.50721/z(7)]; 10.1/no 10.5072/Q-1/ .") == ["10.5072/q-1", "10.50721/z(7", "10.5072/q-1"]
+    kept = lambda a, b, c: spark.createDataFrame([(a, b, c)], "a string, b string, c string").select(kept_doi(F.col("a"), F.col("b"), F.col("c")).alias("x")).first().x
+    assert [kept("10.5072/AA", "see 10.5072/ aa", ""), kept("10.5072/zz", "only 10.5072/b.", ""), kept("10.5072/zz", "10.5072/b 10.5072/c", ""), kept(None, None, None)] == ["10.5072/aa", "10.5072/b", "", ""]
+    assert [one(spark, printed_pmid, "A study. PMID: 1234567."), one(spark, normal_pmid, "https://pubmed.ncbi.nlm.nih.gov/987654"), one(spark, normal_pmid, "1234")] == ["1234567", "987654", ""]
+    assert one(spark, lambda c: occurrences(c, F.lit("a.b")), "a.b xa.b axb") == [0, 5]
+    assert one(spark, lambda c: contains_words(c, F.lit("dm")), "admission of dm") and not one(spark, lambda c: contains_words(c, F.lit("dm")), "admission")
 
 
 def test_an_agreeing_interval_settles_a_pair(spark):
