@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import folded
+
 #: Words that say nothing about an identity, and the form of a year.
 STOPWORDS = ("et", "al", "and", "the")
 YEAR = r"(?:19|20)\d{2}"
@@ -15,12 +17,12 @@ def year_of(text: Column) -> Column:
 
 
 def label_tokens(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
+    found = F.regexp_extract_all(F.lower(folded(text)), F.lit("([a-z0-9]+)"))
     return F.array_distinct(F.filter(found, lambda t: ~t.isin(*STOPWORDS) & ~F.rlike(t, F.lit(f"^{YEAR}$"))))
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), YEAR, ""), "[^a-z0-9]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(folded(text)), YEAR, ""), "[^a-z0-9]", "")
 
 
 def identities_match(query: str, candidate: str) -> Column:
@@ -71,3 +73,58 @@ def best_identity(queries: DataFrame, candidates: DataFrame, key: str, label: st
     best = F.when(F.col("same").isNotNull(), F.col("same")).when(F.col("n") == 1, F.col("only")).when(F.col("n_holds") == 1, F.col("holder"))
     reason = F.when(F.col("same").isNotNull(), "exact").when(F.col("n") == 1, "only").when(F.col("n_holds") == 1, "only_holder").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return queries.select(F.col(key).alias("query")).join(told, "query", "left").select("query", best.alias("candidate"), reason.alias("reason"))
+
+
+#: Particles that belong to the surname behind them (fixed values).
+PARTICLES = ["van", "von", "de", "del", "della", "der", "den", "di", "da", "dos", "du", "el", "al", "la", "le", "bin", "ibn", "mac", "mc", "st"]
+
+
+def surname(citation: Column) -> Column:
+    """The surname that a citation begins with, particles included, as one word of ASCII letters."""
+    words = F.transform(F.regexp_extract_all(folded(F.coalesce(citation, F.lit(""))), F.lit("([A-Za-z][A-Za-z'-]*)")), F.lower)
+    # words up to the first that is no particle; boilerplate ends the name
+    state = lambda said, done: F.struct(said.alias("said"), done.alias("done"))
+    step = lambda acc, w: F.when(acc["done"], acc).when(w.isin(*STOPWORDS), state(acc["said"], F.lit(True))).otherwise(state(F.concat(acc["said"], w), ~w.isin(PARTICLES)))
+    found = F.aggregate(words, state(F.lit(""), F.lit(False)), step, lambda acc: acc["said"])
+    return F.regexp_replace(found, "[^a-z0-9]", "")
+
+
+def study_base(citation: Column) -> Column:
+    """A citation as a short name: surname and year, else its letters."""
+    short = F.concat_ws("_", F.nullif(surname(citation), F.lit("")), year_of(F.coalesce(citation, F.lit(""))))
+    letters_ = F.btrim(F.regexp_replace(F.lower(folded(F.coalesce(citation, F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(short, F.lit("")), F.nullif(letters_, F.lit("")), F.lit("study"))
+
+
+def study_slugs(rows: DataFrame, citation: str, order: list[str]) -> DataFrame:
+    """rows with slug: the short name of a citation, of which the second in order is told by _b, the third by _c and so on to _z; later ones keep the bare name."""
+    held = rows.withColumn("_base", study_base(F.col(citation)))
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
+    letters_ = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), nth, F.lit(1))
+    return held.withColumn("slug", F.when((nth == 1) | (nth > 26), F.col("_base")).otherwise(F.concat("_base", F.lit("_"), letters_))).drop("_base")
+
+
+def slug_parts(slug: Column) -> Column:
+    """Surname and year of a short name."""
+    low = F.lower(F.trim(folded(F.coalesce(slug, F.lit("")))))
+    return F.struct(F.regexp_replace(F.regexp_replace(low, r"_(19|20)\d{2}.*$", ""), "[^a-z0-9]", "").alias("surname"), F.coalesce(year_of(low), F.lit("")).alias("year"))
+
+
+def row_key(label: Column, year: Column) -> Column:
+    """A row's own words, with the year of another column where they have none."""
+    said = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " "))
+    other = F.coalesce(year_of(F.coalesce(year, F.lit(""))), F.lit(""))
+    return F.coalesce(F.nullif(F.when((other != "") & year_of(said).isNull(), F.trim(F.concat(said, F.lit(" "), other))).otherwise(said), F.lit("")), F.lit("study"))
+
+
+def relabelled(claims: DataFrame, studies: DataFrame, study: str = "study_id", label: str = "label") -> DataFrame:
+    """claims with the id of the study that their own names (study and a label); those that name none or several keep theirs. And `resolved`."""
+    asked = claims.select(F.col(study).alias("key"), F.col(study).alias("label")).where("key is not null").distinct()
+    found = best_identity(asked, studies.select(F.col(study).alias("key"), F.concat_ws(" ", study, label).alias("label")), "key", "label")
+    both = claims.join(found.select(F.col("query").alias(study), F.col("candidate").alias("_to")), study, "left")
+    return both.withColumns({"resolved": F.col("_to").isNotNull(), study: F.coalesce("_to", study)}).drop("_to")
+
+
+def uncited(claims: DataFrame, studies: DataFrame, study: str = "study_id") -> DataFrame:
+    """Studies that claims name and the list doesn't hold, with the number of their claims."""
+    return claims.join(studies.select(study).distinct(), study, "left_anti").groupBy(study).agg(F.count("*").alias("claims"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.numeric import with_cells
-from auditlake.functions.text import words
+from auditlake.functions.text import plain_words
 from auditlake.operators import judgement
 from auditlake.operators.identity import best_identity
 from auditlake.operators.retrieval import by_keywords, excerpt_blocks, longest_phrase
@@ -60,8 +60,8 @@ def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that share most words with each benchmark item."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), words(F.col("text")).alias("words"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), words(F.col("text")).alias("words"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), plain_words(F.col("text")).alias("words"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), plain_words(F.col("text")).alias("words"))
     return by_keywords(items, docs).select("query", "name", "shared", F.col("rank").cast("long").alias("rank"))
 
 
