@@ -36,6 +36,11 @@ def matching_claims(claims: DataFrame, items: DataFrame) -> DataFrame:
     return met.where(good).select("claim", "study_id", "group", "item", "pos", "scope").distinct()
 
 
+def status_of(expected: Column, found: Column, required: Column | None = None) -> Column:
+    missing = F.lit("missing") if required is None else F.when(required, "missing_required").otherwise("missing_optional")
+    return F.when(expected == 0, "not_applicable").when(found == expected, "covered").when(found > 0, "partial").otherwise(missing)
+
+
 def coverage(claims: DataFrame, items: DataFrame, studies: DataFrame | None = None) -> DataFrame:
     """For each item: status (covered, partial, missing_required, missing_optional, not_applicable), targets expected and found.
 
@@ -50,8 +55,7 @@ def coverage(claims: DataFrame, items: DataFrame, studies: DataFrame | None = No
     hit = found.select("item", F.when(F.col("scope") == "review", "").otherwise(F.col("study_id")).alias("study_id"), F.when(F.col("scope") == "per_cohort", F.col("group")).otherwise("").alias("group"), F.lit(1).alias("hit")).distinct()
     expected = items.join(every, "scope", "left").join(hit, ["item", "study_id", "group"], "left")
     counted = expected.groupBy("item", "scope", "required").agg(F.count("study_id").alias("expected"), F.count("hit").alias("found"))
-    status = F.when(F.col("expected") == 0, "not_applicable").when(F.col("found") == F.col("expected"), "covered").when(F.col("found") > 0, "partial").when(F.col("required"), "missing_required").otherwise("missing_optional")
-    return counted.withColumn("status", status)
+    return counted.withColumn("status", status_of(F.col("expected"), F.col("found"), F.col("required")))
 
 
 def gaps(claims: DataFrame, items: DataFrame) -> DataFrame:

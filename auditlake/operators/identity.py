@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import folded
+from auditlake.functions.text import folded, letter
+from auditlake.operators.ordered import numbered
 
 #: Words that say nothing about an identity, and the form of a year.
 STOPWORDS = ("et", "al", "and", "the")
@@ -128,3 +129,12 @@ def relabelled(claims: DataFrame, studies: DataFrame, study: str = "study_id", l
 def uncited(claims: DataFrame, studies: DataFrame, study: str = "study_id") -> DataFrame:
     """Studies that claims name and the list doesn't hold, with the number of their claims."""
     return claims.join(studies.select(study).distinct(), study, "left_anti").groupBy(study).agg(F.count("*").alias("claims"))
+
+
+def claim_ids(rows: DataFrame, part: str, study: str, order: str) -> DataFrame:
+    """rows with claim_id: within a part, studies are lettered by their first row, and the rows of a study numbered, with two digits at least. A study is of one part."""
+    first = rows.groupBy(part, study).agg(F.min(order).alias("_first"))
+    lettered = numbered(first, [part], "_first", "_place").select(study, letter(F.col("_place") - 1).alias("_letter"))
+    number = F.row_number().over(Window.partitionBy(study).orderBy(order))
+    shown = F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))
+    return rows.join(lettered, study).withColumn("claim_id", F.concat("_letter", F.lit("_"), shown)).drop("_letter")

@@ -83,6 +83,18 @@ def gate_status(hard_failed: Column, hard_missing: Column, floor_unmet: Column,
     return F.when(hard_failed, "FAIL").when(hard_missing | floor_unmet, "NOT_ESTIMABLE").when(under_bar, "FAIL").otherwise("PASS")
 
 
+def flag_of(label: Column, reason: Column, outcome: Column, review_required: Column) -> Column:
+    """What is flagged about a claim: a mismatch; a match only if it asks for a review; what wasn't comparable or had no evidence by what became of its collection, where that is known; any other reason as it is."""
+    silent = (label == "not_comparable") | (label.isNull() & (reason == "no_source_evidence"))
+    known = F.coalesce(outcome, F.when(label == "not_comparable", "not_comparable").otherwise("missing_source"))
+    return F.when(label == "mismatch", "detected_error").when(label == "match", F.when(review_required, "review_required")).when(F.coalesce(silent, F.lit(False)), known).when(label.isNull(), reason)
+
+
+def grouped_flags(flags: DataFrame, by: list[str], study: str = "study_id") -> DataFrame:
+    """Flags about one thing as one, with the cells and studies that they concern."""
+    return flags.groupBy(*by).agg(F.count("*").alias("cells"), F.count_distinct(study).alias("studies"))
+
+
 def accept_reference(candidates: DataFrame, key: str, threshold: float = 0.72, bonus: float = 0.1) -> DataFrame:
     """The best candidate (score, resolver, doi) of each key; one that several resolvers name by its DOI gains a bonus. Of equal scores the first resolver's and then the first DOI counts.
 

@@ -41,12 +41,12 @@ def resolve_names(asked: DataFrame, names: DataFrame, rules: DataFrame) -> DataF
 
 def merge(seed: DataFrame, later: DataFrame, fields: list[str], key: str = "field_type") -> DataFrame:
     """Entries of both sources, each field as the later one states it, else as the seed does; synonyms of both, the seed's first; status and the fields on which both state something else."""
-    both = seed.alias("a").join(later.alias("b"), key, "full")
+    both = seed.withColumn("_there", F.lit(True)).alias("a").join(later.withColumn("_there", F.lit(True)).alias("b"), key, "full")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     none = F.array().cast("array<string>")
     synonyms = F.array_distinct(F.concat(F.coalesce(a("synonyms"), none), F.coalesce(b("synonyms"), none)))
     conflicts = F.array_compact(F.array(*(F.when(a(c) != b(c), c) for c in fields)))
-    new, old = F.coalesce(*(a(c) for c in fields), F.array_join(a("synonyms"), "")).isNull(), F.coalesce(*(b(c) for c in fields), F.array_join(b("synonyms"), "")).isNull()
+    new, old = a("_there").isNull(), b("_there").isNull()
     status = F.when(old, "provisional").otherwise("authoritative")
     return both.select(key, *(F.coalesce(b(c), a(c)).alias(c) for c in fields), synonyms.alias("synonyms"), status.alias("status"), F.when(new, "added").when(old, "kept").otherwise("merged").alias("change"), conflicts.alias("conflicts"))
 

@@ -68,8 +68,8 @@ def capture_score(gold: DataFrame, got: DataFrame) -> DataFrame:
 
 
 def gold_pairs(gold: DataFrame, got: DataFrame, key: list[str]) -> DataFrame:
-    """Both sides by key: value and got_value with status found, wrong, missing or extra. Of rows of one key the last in order (pos) counts; how many there were is kept as `n_gold` and `n_got`."""
-    last = lambda rows, v, n: rows.groupBy(*key).agg(F.max_by("value", "pos").alias(v), F.count("*").alias(n))
+    """Both sides by key: value and got_value with status found, wrong, missing or extra. Of rows of one key the last in order (pos, then value) counts; how many there were is kept as `n_gold` and `n_got`."""
+    last = lambda rows, v, n: rows.groupBy(*key).agg(F.max(F.struct("pos", "value"))["value"].alias(v), F.count("*").alias(n))
     both = last(gold, "value", "n_gold").join(last(got, "got_value", "n_got"), key, "full")
     status = F.when(F.col("n_got").isNull(), "missing").when(F.col("n_gold").isNull(), "extra").when(F.col("value").eqNullSafe(F.col("got_value")), "found").otherwise("wrong")
     return both.select(*key, "value", "got_value", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce("n_got", F.lit(0)).alias("n_got"), status.alias("status"))

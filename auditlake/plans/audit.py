@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.numeric import relative_error, with_cells
 from auditlake.functions.units import normal_unit, unit_kind, units_differ
-from auditlake.operators.compare import MEAN, compare_values, scope_verdict, verdict
+from auditlake.operators.compare import MEAN, compare_values, scope_verdict, verdict, with_tolerances
+from auditlake.operators.judgement import flag_of
 from auditlake.operators.matching import duplicate_keys, pair_or_refuse
 from auditlake.sources.tables import table
 
@@ -78,7 +79,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag for each claim that wasn't released, with what it is about."""
     found = outcomes(spark, sf_dir).where("side <> 'source' and (label is null or label <> 'match')")
-    flag = F.when(F.col("label") == "mismatch", "detected_error").when(F.col("reason") == "no_source_evidence", "missing_source").otherwise(F.col("reason"))
+    flag = flag_of(F.col("label"), F.col("reason"), F.lit(None).cast("string"), F.lit(False))
     return found.groupBy("study_id", flag.alias("flag")).agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
 
@@ -147,12 +148,8 @@ def scope_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tolerance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A band for each type of part, with a default for those that have none."""
-    bands = spark.createDataFrame([("ECONOMY", 0.02), ("STANDARD", 0.005), ("*", 0.01)], "field_type string, rel double")
-    parts = table(spark, sf_dir, "part")
-    default = bands.where("field_type = '*'").select(F.col("rel").alias("default_rel"))
-    # two tables of fixed size
-    joined = parts.join(F.broadcast(bands), parts.p_type == bands.field_type, "left").join(F.broadcast(default))
-    return joined.select("p_partkey", "p_type", F.coalesce("rel", "default_rel").alias("rel"))
+    bands = spark.createDataFrame([("ECONOMY", 0.02), ("STANDARD", 0.005), ("*", 0.01)], "p_type string, rel double")
+    return with_tolerances(table(spark, sf_dir, "part"), bands, "p_type").select("p_partkey", "p_type", "rel")
 
 
 QUERIES = {f.__name__: f for f in (pair_labels, refusal_reasons, audit_verdict, label_counts, judge_flags, duplicate_line_keys, unmatched_sides, parse_cells, structured_compare, unit_check, scope_verdicts, tolerance_lookup)}

@@ -1,6 +1,6 @@
 """All queries over the driver's tables, and their statements in SQL."""
 
-from auditlake.plans import audit, capture, evidence, ordered, review
+from auditlake.plans import audit, capture, evidence, ordered, review, scores
 
-QUERIES = audit.QUERIES | ordered.QUERIES | evidence.QUERIES | capture.QUERIES | review.QUERIES
-ORACLE_SQL = audit.ORACLE_SQL | ordered.ORACLE_SQL | evidence.ORACLE_SQL | capture.ORACLE_SQL | review.ORACLE_SQL
+QUERIES = audit.QUERIES | ordered.QUERIES | evidence.QUERIES | capture.QUERIES | review.QUERIES | scores.QUERIES
+ORACLE_SQL = audit.ORACLE_SQL | ordered.ORACLE_SQL | evidence.ORACLE_SQL | capture.ORACLE_SQL | review.ORACLE_SQL | scores.ORACLE_SQL

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import contains_normally, letter, printed_dois, shared_share, supports
+from auditlake.functions.text import contains_normally, printed_dois, shared_share, supports
+from auditlake.operators import batches, checklist, gates, identity, knowledge, scoring
 from auditlake.operators.matching import unique_or_refuse
 from auditlake.operators.ordered import fill_down, first_values, top, within_budget
 from auditlake.sources.tables import table
@@ -15,10 +16,7 @@ def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation's customers are lettered by their first order, and each one's orders numbered."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey).select("c_nationkey", "o_custkey", "o_orderkey")
-    first = rows.groupBy("c_nationkey", "o_custkey").agg(F.min("o_orderkey").alias("first"))
-    lettered = first.select("o_custkey", letter(F.row_number().over(Window.partitionBy("c_nationkey").orderBy("first")) - 1).alias("letter"))
-    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return rows.join(lettered, "o_custkey").select("c_nationkey", "o_orderkey", F.concat("letter", F.lit("_"), F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))).alias("claim_id"))
+    return identity.claim_ids(rows, "c_nationkey", "o_custkey", "o_orderkey").select("c_nationkey", "o_orderkey", "claim_id")
 
 
 def study_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def fill_down_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def within_block_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's longest documents, while those before hold under 20,000 characters."""
     docs = table(spark, sf_dir, "documents").where("n_chars is not null").select("source", "doc_id", "n_chars")
-    return within_budget(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], "n_chars", 20_000)
+    return within_budget(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], "n_chars", 20_000, -F.col("n_chars"))
 
 
 def top_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,30 +55,29 @@ def forest_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every tenth part the brand of its size whose names describe it best, refused where brands tie."""
+    """For every tenth part the brand of its size whose names describe it best, refused where brands tie. Equal names are scored once."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.split("p_name", " ").alias("tokens"))
     brands = parts.select("p_size", "p_brand", "tokens").distinct()
     asked = parts.where("p_partkey % 10 = 0").select("p_partkey", "p_size", F.col("tokens").alias("wanted"))
-    scored = asked.join(brands, "p_size").select("p_partkey", "p_brand", F.round(shared_share(F.col("wanted"), F.col("tokens")), 6).alias("score"))
-    return unique_or_refuse(scored, ["p_partkey"], "score", "p_brand")
+    names = asked.select("p_size", "wanted").distinct().join(brands, "p_size")
+    scored = names.select("p_size", "wanted", "p_brand", F.round(shared_share(F.col("wanted"), F.col("tokens")), 6).alias("score")).distinct()
+    best = unique_or_refuse(scored, ["p_size", "wanted"], "score", "p_brand")
+    return asked.join(best, ["p_size", "wanted"]).select("p_partkey", "score", "n_tied", "p_brand", "reason")
 
 
 def ontology_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the later source states goes before the seed; where both state something else, that is a conflict."""
-    seed = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.expr("if(c_custkey % 2 = 0, c_mktsegment, null)").alias("a"))
-    later = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"), F.expr("if(c_custkey % 7 < 4, upper(substr(c_mktsegment, 1, 4)), c_mktsegment)").alias("b"))
-    both = seed.join(later, "key", "full")
-    return both.select("key", F.coalesce("b", "a").alias("value"), F.coalesce(F.col("a") != F.col("b"), F.lit(False)).alias("conflict"))
+    none = F.array().cast("array<string>").alias("synonyms")
+    seed = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.expr("if(c_custkey % 2 = 0, c_mktsegment, null)").alias("value"), none)
+    later = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"), F.expr("if(c_custkey % 7 < 4, upper(substr(c_mktsegment, 1, 4)), c_mktsegment)").alias("value"), none)
+    return knowledge.merge(seed, later, ["value"], "key").select("key", "value", (F.size("conflicts") > 0).alias("conflict"))
 
 
 def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many keys of two sets agree: found, missing and made up."""
     lines = table(spark, sf_dir, "lineitem")
-    gold = lines.where("l_quantity > 10").select("l_orderkey", "l_linenumber").distinct().withColumn("gold", F.lit(1))
-    got = lines.where("l_partkey % 7 <> 0").select("l_orderkey", "l_linenumber").distinct().withColumn("got", F.lit(1))
-    both = gold.join(got, ["l_orderkey", "l_linenumber"], "full")
-    counted = both.agg(F.count_if(F.col("gold").isNotNull() & F.col("got").isNotNull()).alias("tp"), F.count_if(F.col("gold").isNotNull() & F.col("got").isNull()).alias("fn"), F.count_if(F.col("gold").isNull()).alias("fp"))
-    return counted.withColumns({"precision": F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), 6), "recall": F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), 6)})
+    n = scoring.set_scores(lines.where("l_quantity > 10"), lines.where("l_partkey % 7 <> 0"), ["l_orderkey", "l_linenumber"])
+    return n.withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
 def value_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +97,14 @@ def inverted_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts put together again from the places of their words."""
     places = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = places.groupBy("conv_id", "turn", "word").agg(F.collect_list("pos").alias("at"))
-    back = index.select("conv_id", "turn", "word", F.explode("at").alias("pos")).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("all"))
-    return back.select("conv_id", "turn", F.array_join(F.col("all.word"), " ").alias("text"))
+    return batches.text_from_index(index, ["conv_id", "turn"], "word", "at")
 
 
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects from answers that wrap them in thoughts, fences or prose."""
     raw = F.concat(F.when(F.col("event_id") % 3 == 0, "<think>maybe {\"k\": 0}</think>").otherwise(""), F.when(F.col("event_id") % 2 == 0, "Answer: ").otherwise("```json\n"), F.col("props"), F.lit("\n```"))
-    events = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
-    bare = F.regexp_replace("raw", r"(?s)<think>.*?</think>", "")
-    found = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    return events.select("event_id", F.from_json(found, "k int")["k"].cast("long").alias("k"))
+    events = table(spark, sf_dir, "events").select("event_id", batches.answer_json(raw).alias("answer"))
+    return events.select("event_id", F.from_json("answer", "k int")["k"].cast("long").alias("k"))
 
 
 def journal_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +116,7 @@ def telemetry_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums that stay null where nothing was reported, apart from zero."""
     k = F.get_json_object("props", "$.k").cast("long")
     rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("batch"), F.when((F.col("user_id") % 10 > 2) & (F.col("event_id") % 3 > 0), k).alias("tokens"))
-    return rows.groupBy("event_type", "batch").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.count("tokens").alias("reported"))
+    return batches.rollup(rows, ["event_type", "batch"], "tokens")
 
 
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,57 +136,49 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule's labels against those given: counts, accuracy, precision, recall and F1, null where undefined."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = labels.join(docs.select("doc_id", "n_chars", "lang"), "doc_id").select("lang", (F.col("n_chars") > 500).alias("said"), (F.col("quality") == 1).alias("is"))
-    n = rows.groupBy("lang").agg(F.count_if(F.col("said") & F.col("is")).alias("tp"), F.count_if(F.col("said") & ~F.col("is")).alias("fp"), F.count_if(~F.col("said") & F.col("is")).alias("fn"), F.count_if(~F.col("said") & ~F.col("is")).alias("tn"))
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    ratio = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
-    return n.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    rows = labels.join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
+    n = scoring.binary_metrics(rows, ["lang"], F.col("n_chars") > 500, F.col("quality") == 1)
+    return n.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
 
 
 def domain_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean over languages of their rates, so that a large one doesn't decide."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    by = labels.join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").groupBy("lang").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
-    return by.agg(F.count("*").alias("domains"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
+    rows = labels.join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null")
+    by = scoring.domain_weighted(rows, "lang", quality=F.avg("quality"), toxic=F.avg("toxic"))
+    return by.select("domains", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"))
 
 
-def bootstrap_interval(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
-    """Sources drawn again within each language, by integer arithmetic instead of a random generator; the interval's ends are picked by index."""
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources drawn again within each language."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     clusters = labels.join(docs.select("doc_id", "lang", "source"), "doc_id").where("lang is not null and source is not null").groupBy("lang", "source").agg(F.sum("quality").alias("good"), F.count("*").alias("n"))
-    place = Window.partitionBy("lang")
-    clusters = clusters.withColumns({"at": F.row_number().over(place.orderBy("source")) - 1, "k": F.count("*").over(place)})
-    picks = clusters.select("lang", F.col("at").alias("slot"), "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("at", ((F.col("draw") * 7919 + F.col("slot") * 104_729 + F.col("draw") * F.col("slot")) % F.col("k")).cast("int"))
-    rates = picks.join(clusters.select("lang", "at", "good", "n"), ["lang", "at"]).groupBy("draw", "lang").agg((F.sum("good") / F.sum("n")).alias("rate"))
-    stat = rates.groupBy("draw").agg(F.round(F.avg("rate"), 9).alias("stat")).agg(F.array_sort(F.collect_list("stat")).alias("all"))
-    return stat.select(F.size("all").cast("long").alias("draws"), F.round(F.element_at("all", max(0, int(0.025 * draws) - 1) + 1), 6).alias("lower"), F.round(F.element_at("all", min(draws - 1, int(0.975 * draws)) + 1), 6).alias("upper"))
+    return gates.bootstrap(clusters, "lang", "source").drop("note")
 
 
 def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types that enough users agree on are promoted."""
     events = table(spark, sf_dir, "events").select("event_type", "user_id", (F.get_json_object("props", "$.k").cast("long") % 20).alias("proposal"))
-    votes = events.groupBy("event_type", "proposal").agg(F.countDistinct("user_id").alias("runs"))
-    return votes.withColumn("promoted", F.col("runs") >= 3)
+    return knowledge.agreed_runs(events, ["event_type", "proposal"], "user_id")
 
 
 def search_count_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts that differ by over 30% are major, by over 5% minor."""
+    """How far counts without errors are from all counts; here one of zero has a flag of its own."""
     n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("actual"), F.count_if(F.col("event_type") != "error").alias("reported"))
-    off = F.abs(F.col("reported") - F.col("actual")) / F.col("actual")
-    return n.withColumn("flag", F.when(F.col("reported") == 0, "zero").when(off > 0.3, "major").when(off > 0.05, "minor").otherwise("none"))
+    return n.withColumn("flag", F.when(F.col("reported") == 0, "zero").otherwise(batches.count_difference(F.col("reported"), F.col("actual"))))
 
 
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that one reading answers, by paper and field; how many there are, and of one claim only."""
-    batches = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("claims"))
-    return batches.groupBy("l_returnflag").agg(F.count("*").alias("batches"), F.sum("claims").alias("claims"), F.count_if(F.col("claims") == 1).alias("singletons"), F.max("claims").alias("largest"))
+    held = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("claims"))
+    return batches.plan_counts(held, ["l_returnflag"])
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source's documents, how many carry a label."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     n = docs.join(labels.select("doc_id", "quality").withColumn("found", F.lit(1)), "doc_id", "left").groupBy("source").agg(F.count("*").alias("expected"), F.count("found").alias("found"))
-    return n.withColumn("status", F.when(F.col("found") == 0, "missing").when(F.col("found") < F.col("expected"), "partial").otherwise("covered"))
+    return n.withColumn("status", checklist.status_of(F.col("expected"), F.col("found")))
 
 
 QUERIES = {
@@ -200,7 +186,7 @@ QUERIES = {
     for f in (claim_ids, study_dedupe, fill_down_labels, within_block_budget, top_parts, unpivot_long, forest_checksum, unique_best, ontology_merge, set_scores, value_supported, doi_scan, inverted_index_text, json_recovery, journal_latest, telemetry_rollup, windowed_events, sessions, score_metrics, domain_weighted, bootstrap_interval, promotions, search_count_flags, batch_plan, coverage_gaps)
 }
 
-LETTER_SQL = "CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN concat(chr(CAST(64 + i // 26 AS INTEGER)), chr(CAST(65 + i % 26 AS INTEGER))) ELSE concat(chr(CAST(65 + (i - 702) // 676 AS INTEGER)), chr(CAST(65 + ((i - 702) // 26) % 26 AS INTEGER)), chr(CAST(65 + (i - 702) % 26 AS INTEGER))) END"
+LETTER_SQL = "CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN concat(chr(CAST(64 + i // 26 AS INTEGER)), chr(CAST(65 + i % 26 AS INTEGER))) WHEN i < 18278 THEN concat(chr(CAST(65 + (i - 702) // 676 AS INTEGER)), chr(CAST(65 + ((i - 702) // 26) % 26 AS INTEGER)), chr(CAST(65 + (i - 702) % 26 AS INTEGER))) ELSE concat(chr(CAST(65 + (i - 18278) // 17576 AS INTEGER)), chr(CAST(65 + ((i - 18278) // 676) % 26 AS INTEGER)), chr(CAST(65 + ((i - 18278) // 26) % 26 AS INTEGER)), chr(CAST(65 + (i - 18278) % 26 AS INTEGER))) END"
 LABELLED = "labels JOIN (SELECT doc_id, n_chars, lang, source FROM documents) d USING (doc_id)"
 
 ORACLE_SQL = {

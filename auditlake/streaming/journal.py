@@ -35,3 +35,24 @@ def latest(steps: DataFrame) -> DataFrame:
 def write_once(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what is there now, exactly once over restarts, and stop."""
     return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_steps(steps: DataFrame, path: str) -> None:
+    """Steps of runs as lines of the journal, numbered on in each run from what is there; one file for each task."""
+    steps.select("run_id", "index", "ts", "stage", "title", "warnings").write.mode("append").json(path)
+
+
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """All steps of a journal at rest, in no order."""
+    return spark.read.schema(LINE).json(path)
+
+
+#: What happens at a checkpoint of a kind in a mode of running (fixed values).
+POLICY = {("gate", "interactive"): "ask", ("gate", "auto"): "pass", ("show", "interactive"): "show", ("show", "auto"): "pass"}
+
+
+def decided(steps: DataFrame, decisions: DataFrame, mode: str = "interactive") -> DataFrame:
+    """steps (run_id, index, kind) with what was decided on each, the last word counting; where nothing was, what the policy says for the mode, and silent for kinds that it doesn't name."""
+    last = decisions.groupBy("run_id", "index").agg(F.max_by("decision", "at").alias("decision"))
+    policy = F.coalesce(*(F.when(F.col("kind") == kind, said) for (kind, when), said in POLICY.items() if when == mode), F.lit("silent"))
+    return steps.join(last, ["run_id", "index"], "left").withColumn("decision", F.coalesce("decision", policy))
