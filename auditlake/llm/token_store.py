@@ -211,8 +211,25 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
             yield batch.append_column("start", pa.array(ends - size, pa.int64())).append_column("place", pa.array(np.arange(place, place + len(size)), pa.int64()))
             at, place = int(ends[-1]), place + len(size)
 
-    ordered.mapInArrow(number, RECIPE_DDL).write.parquet(f"{path}/recipes")
-    files = roots(spark.read.schema(RECIPE_DDL).parquet(f"{path}/recipes"))
+    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The root of a file, which a task holds whole and in order."""
+        file, recipes, ids, leaves, blocks = 0, 0, 0, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "tag", "start", "n_tokens", "root")]
+            for row in zip(*columns):
+                leaves.append(leaf(*row))
+                if len(leaves) == LEAVES:
+                    blocks.append(merkle(leaves))
+                    leaves = []
+            if batch.num_rows:
+                file, recipes, ids = batch.column("file")[0].as_py(), recipes + batch.num_rows, ids + sum(columns[3])
+        if recipes:
+            row = (file, recipes, ids, merkle(blocks + ([merkle(leaves)] if leaves else [])))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["file", "recipes", "ids", "root"])
+
+    numbered = ordered.mapInArrow(number, RECIPE_DDL)
+    numbered.write.parquet(f"{path}/recipes")
+    files = sorted(tuple(r) for r in numbered.mapInArrow(tree, MANIFEST_DDL).collect())
     spark.createDataFrame([*files, whole_root(files)], MANIFEST_DDL).coalesce(1).write.parquet(f"{path}/manifest")
 
 

@@ -88,20 +88,25 @@ class Encoder:
             # each byte stands for itself where it prints, else for a character from 256 on
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = iter(range(256, 512))
-            self.letters = {b: chr(b if b in shown else next(rest)) for b in range(256)}
+            self.shown = {b: b if b in shown else next(rest) for b in range(256)}
 
     def _learn(self, run: str) -> bytes:
         """The ids of a run that isn't among those of late."""
         ids = self.before.get(run)
         if ids is not None:
             return ids
-        if not (run.isascii() and run.isprintable()) and UNUSUAL.search(run):
+        plain = run.isascii()
+        if not (plain and run.isprintable()) and UNUSUAL.search(run):
             raise Unusual(run)
-        if run.isalpha() or len(words := self.pieces(run)) == 1:
-            shown = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-            tokens = self.tokenize(shown)
-            return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return b"".join(map(self.runs.__getitem__, words))
+        if not run.isalpha():
+            head = run[:-1]
+            if head.isalpha():
+                # a sign or digit behind a word is a word of its own
+                return self.runs[head] + self.runs[run[-1]]
+            if len(words := self.pieces(run)) > 1:
+                return b"".join(map(self.runs.__getitem__, words))
+        tokens = self.tokenize(run if plain else run.encode().decode("latin-1").translate(self.shown))
+        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def ids(self, text: str) -> bytes:
         if not self.by_runs or any(a in text for a in APART):
