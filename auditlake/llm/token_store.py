@@ -227,9 +227,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
             row = (file, recipes, ids, merkle(blocks + ([merkle(leaves)] if leaves else [])))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["file", "recipes", "ids", "root"])
 
-    numbered = ordered.mapInArrow(number, RECIPE_DDL)
-    numbered.write.parquet(f"{path}/recipes")
-    files = sorted(tuple(r) for r in numbered.mapInArrow(tree, MANIFEST_DDL).collect())
+    ordered.mapInArrow(number, RECIPE_DDL).write.parquet(f"{path}/recipes")
+    files = sorted(tuple(r) for r in ordered.mapInArrow(lambda batches: tree(number(batches)), MANIFEST_DDL).collect())
     spark.createDataFrame([*files, whole_root(files)], MANIFEST_DDL).coalesce(1).write.parquet(f"{path}/manifest")
 
 
