@@ -11,7 +11,7 @@ from test_tokens import WORDS, stored, verify_packing
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auditlake.llm import queries, toxicity
+from auditlake.llm import near_copies, queries, toxicity
 
 
 def plain(spark, docs, sf):
@@ -73,6 +73,42 @@ def test_near_copies_of_few_changed_words(spark, docs):
     assert len(got) < 60
 
 
+def test_near_copies_in_large_groups(spark, docs):
+    """Copies of one text, each with words of its own; chains in which only neighbours are similar; unlike texts that share a passage."""
+    rng = np.random.default_rng(5)
+    line = lambda n: [f"w{i}" for i in rng.integers(0, 9000, n)]
+    rows, first, passage = [], line(200), line(30)
+    for copy in range(120):
+        words = list(first)
+        for at in rng.integers(0, 200, copy % 5):
+            words[at] = f"copy{copy}_{at}"
+        rows.append((1000 + copy, " ".join(words)))
+    for chain in range(3):
+        words = line(150)
+        for step in range(45):
+            words = words[3:] + line(3)
+            rows.append((2000 + 100 * chain + step, " ".join(words)))
+    rows += [(3000 + k, " ".join(line(20) + passage + line(20))) for k in range(60)]
+    group = brute.near_groups(rows)
+    found = near_copies.near_copies(spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.first_id for r in found} == group
+    assert len(set(group.values())) < 80
+
+
+def test_pairs_between_groups():
+    rng = np.random.default_rng(7)
+    e = np.zeros(1500, near_copies.ENTRY)
+    e["h"], e["set"], e["size"] = rng.choice([1, 2, 3, 3, 3], 1500) * 10 + (rng.integers(0, 40, 1500) == 0), np.arange(1500), rng.integers(50, 90, 1500)
+    e["at"] = rng.integers(0, e["size"] // 5)
+    group = rng.choice([0, 0, 0, 1, 2, 3], 1500)
+    order = np.lexsort((group, e["h"]))
+    e, group = e[order], group[order]
+    got = [tuple(sorted(p)) for i, j in near_copies.pairs_between(e, group) for p in zip(i.tolist(), j.tolist())]
+    i, j = np.triu_indices(1500, 1)
+    good = (e["h"][i] == e["h"][j]) & (group[i] != group[j]) & near_copies.may_be_similar(e, i, j)
+    assert sorted(got) == sorted(zip(i[good].tolist(), j[good].tolist()))
+
+
 def test_near_copies_under_one_doc_id(spark, docs):
     a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
     rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a)]
