@@ -58,6 +58,17 @@ def tagged_texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     return rows.withColumn("tag", tag)
 
 
+#: Rows of a few numbers each that may be broadcast.
+TOLD = 1 << 20
+
+
+def small(rows: DataFrame, otherwise: str | None = None) -> DataFrame:
+    """rows, of a few numbers each, to be broadcast if they are counted to be at most TOLD; else with the given join hint, or none."""
+    if rows.count() <= TOLD:
+        return F.broadcast(rows)
+    return rows.hint(otherwise) if otherwise else rows
+
+
 #: Of the rows of a table, a key with more than this share is heavy; so there are at most as many heavy keys as its inverse.
 HEAVY = 0.001
 
