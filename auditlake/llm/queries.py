@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import ann_graph, decontam, langid, packing, rlz_dedup, simhash, suffix_dedup, token_counts, token_store, toxicity
+from auditlake.llm import ann_graph, decontam, langid, packing, rlz_dedup, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_codes
 from auditlake.llm.common import table
 
 
@@ -58,9 +58,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_with_digest(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_substring_dedup, op5_language_id, op6_token_store, op7_packing, op8_nearest, op9_simhash, op10_decontamination)
+    for f in (op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_substring_dedup, op5_language_id, op6_token_store, op7_packing, op8_nearest, op9_simhash, op10_decontamination, op11_vector_codes)
 }
 
 #: Bytes are pairs of hexadecimal digits; windows are cut from stretches of 1,000 bytes, so that no long text is gone through for each of them.
@@ -87,5 +91,25 @@ k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-#: Statements of the two operators over windows, for tables whose doc_ids don't repeat. The others rest on hashes, tokenizers, trained models, sequences that may be numbered in any way or an approximate search, which DuckDB has not got or can't decide; tests hold those against brute force, the libraries, round trips and held-out rows.
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op4_substring_dedup": SPAN_SQL}
+#: Parts of four components. A distance and its entry are one number, so that its least has the first of equals; sums are made divisible before they are divided, as floors go down.
+ASSIGNED_SQL = "SELECT p.part, p.r, p.v, min((({v}[1] - {c}[1])**2 + ({v}[2] - {c}[2])**2 + ({v}[3] - {c}[3])**2 + ({v}[4] - {c}[4])**2)::BIGINT * 64 + b.entry) AS best FROM p JOIN {book} b USING (part) GROUP BY ALL".replace("{v}", "p.v").replace("{c}", "b.c")
+REFINED_SQL = """
+SELECT b.part, b.entry, CASE WHEN s.n IS NULL THEN b.c ELSE list_transform(s.sums, lambda x: (x - ((x % s.n) + s.n) % s.n) // s.n) END AS c
+FROM {book} b LEFT JOIN (SELECT part, best % 64 AS entry, count(*) AS n, [sum(v[1])::BIGINT, sum(v[2])::BIGINT, sum(v[3])::BIGINT, sum(v[4])::BIGINT] AS sums FROM {found} GROUP BY ALL) s USING (part, entry)
+"""
+CODES_SQL = f"""
+WITH k AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+e AS (SELECT r, embedding, unnest(range(16)) AS part FROM k),
+p AS (SELECT r, part, list_transform(embedding[4 * part + 1 : 4 * part + 4], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM e),
+b0 AS (SELECT part, r AS entry, v AS c FROM p WHERE r < 64),
+f0 AS ({ASSIGNED_SQL.format(book="b0")}),
+b1 AS ({REFINED_SQL.format(book="b0", found="f0")}),
+f1 AS ({ASSIGNED_SQL.format(book="b1")}),
+b2 AS ({REFINED_SQL.format(book="b1", found="f1")}),
+f2 AS ({ASSIGNED_SQL.format(book="b2")}),
+c AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM f2 GROUP BY r)
+SELECT vec_id, code, error, label, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY part, entry) FROM b2)) AS codebooks_sha256 FROM k JOIN c USING (r)
+"""
+
+#: Statements of the two operators over windows and of vector codes, for tables whose ids don't repeat. The others rest on hashes, tokenizers, trained models, sequences that may be numbered in any way or an approximate search, which DuckDB has not got or can't decide; tests hold those against brute force, the libraries, round trips and held-out rows.
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op4_substring_dedup": SPAN_SQL, "op11_vector_codes": CODES_SQL}
