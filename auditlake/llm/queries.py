@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import ann_graph, decontam, langid, packing, rlz_dedup, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_codes
+from auditlake.llm import alignment, ann_graph, decontam, langid, packing, rlz_dedup, simhash, sketches, suffix_dedup, token_counts, token_store, toxicity, vector_codes
 from auditlake.llm.common import table
 
 
@@ -62,9 +62,20 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes_with_digest(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op12_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_substring_dedup, op5_language_id, op6_token_store, op7_packing, op8_nearest, op9_simhash, op10_decontamination, op11_vector_codes)
+    for f in (op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_substring_dedup, op5_language_id, op6_token_store, op7_packing, op8_nearest, op9_simhash, op10_decontamination, op11_vector_codes, op12_sketches, op13_alignment)
 }
 
 #: Bytes are pairs of hexadecimal digits; windows are cut from stretches of 1,000 bytes, so that no long text is gone through for each of them.

@@ -118,7 +118,7 @@ def test_near_copies_under_one_doc_id(spark, docs):
 
 
 def test_queries_are_named_and_whole(spark, sf):
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 12)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
