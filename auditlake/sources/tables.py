@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Compute once what several branches use, in the shared folder of spark.checkpoint.dir, which outlives a lost executor. A local session without one gets a folder of its own; a cluster is refused, as its executors would each write to their own disk."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def first_stated(df: DataFrame, *names: str, default: str | None = None) -> Column:
     """The first of several columns that is there and not blank, untrimmed."""
     held = [F.when(F.trim(F.col(f"`{n}`")) != "", F.col(f"`{n}`")) for n in names if n in df.columns]
