@@ -2,27 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def bootstrap(clusters: DataFrame, domain: str | None, cluster: str, draws: int = 200, tail: float = 0.025, least: float = 0.9) -> DataFrame:
-    """One row: draws, the interval's ends and a note. clusters: a row for each (domain and) cluster with `good` and `n`; clusters are drawn again within each domain, and the mean over domains of their rates is the statistic.
-
-    Draws are made by integer arithmetic instead of a random generator, so that they are the same everywhere; the ends are picked by index. Where fewer than `least` of the draws have a defined statistic there is a note instead of an interval."""
-    rows = clusters if domain else clusters.withColumn("_all", F.lit(0))
-    domain = domain or "_all"
-    place = Window.partitionBy(domain)
-    held = rows.withColumns({"_at": F.row_number().over(place.orderBy(cluster)) - 1, "_k": F.count("*").over(place)})
-    slot, draw = F.col("_slot"), F.col("draw")
-    picks = held.select(domain, F.col("_at").alias("_slot"), "_k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_at", ((draw * 7919 + slot * 104_729 + draw * slot) % F.col("_k")).cast("int"))
-    rates = picks.join(held.select(domain, "_at", "good", "n"), [domain, "_at"]).groupBy("draw", domain).agg((F.sum("good") / F.nullif(F.sum("n"), F.lit(0))).alias("rate"))
-    stat = rates.groupBy("draw").agg(F.round(F.avg("rate"), 9).alias("stat")).agg(F.array_sort(F.collect_list("stat")).alias("all"))
+from auditlake.sources.tables import settled
+
+
+#: Clusters that are told to all tasks, and of them those whose picks are worked out at once.
+TOLD, SLOTS = 1 << 20, 1024
+#: What counters are spread by, and the factors of their mixing.
+SPREAD, MIXING = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    for shift, factor in MIXING:
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(31))
+
+
+def picks(seed: int, draws: int, domain: int, slots: np.ndarray, k: int) -> np.ndarray:
+    """Which of k clusters each slot of a domain takes in each draw (slots x draws): a generator without state, so that a pick depends on its counters alone, wherever it is made."""
+    step = np.uint64(SPREAD)
+    z = np.full(1, seed, np.uint64)
+    for count in (np.arange(draws, dtype=np.uint64)[None, :], np.uint64(domain), slots.astype(np.uint64)[:, None]):
+        z = mixed(z + step * (count + np.uint64(1)))
+    return (z % np.uint64(k)).astype(np.int64)
+
+
+def numbered_clusters(rows: DataFrame) -> DataFrame:
+    """rows (domain, cluster, good, n) with at, their place by domain and cluster over all, from 0: counted within sorted stretches, so that no task gets all rows of a domain."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(rows.repartitionByRange(parts, F.col("domain").asc_nulls_first(), F.col("cluster").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
+    before = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts, at = {}, 0
+    for part in sorted(before):
+        starts[part], at = at, at + before[part]
+    first = F.get(F.lit([starts.get(p, 0) for p in range(max(starts, default=0) + 1)]), F.col("part"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(F.col("domain").asc_nulls_first(), F.col("cluster").asc_nulls_first(), "good", "n"))
+    return ranged.withColumn("at", (first + inner - 1).cast("long")).drop("part")
+
+
+def bootstrap(clusters: DataFrame, domain: str | None, cluster: str, draws: int = 2000, tail: float = 0.025, least: float = 0.95, seed: int = 20_260_810) -> DataFrame:
+    """One row: point, draws that are defined, lower, upper and note. clusters: a row for each (domain and) cluster with `good` and `n`.
+
+    Within each domain as many clusters are drawn, with replacement, as it has; the statistic is the mean over domains of sum(good) / sum(n), without those that have no n. Ends are picked by index from the sorted draws. Where no domain has two clusters, or fewer than `least` of the draws are defined, a note says so instead of an interval. Null domains and clusters are ones of their own.
+
+    A task works out all draws for some slots and gives one row of sums for each draw and domain. The clusters' numbers are told to all tasks where they are counted to be at most TOLD; beyond that, picks are rows and joined to their clusters.
+    """
+    spark = clusters.sparkSession
+    named = (F.col(domain) if domain else F.lit(0)).alias("domain")
+    rows = clusters.select(named, F.col(cluster).alias("cluster"), F.col("good").cast("long").alias("good"), F.col("n").cast("long").alias("n"))
+    sizes = [r.k for r in rows.groupBy("domain").agg(F.count("*").alias("k")).orderBy(F.col("domain").asc_nulls_first()).collect()]
+    held = numbered_clusters(rows)
+    total = sum(sizes)
+    slots = spark.range(0, total, SLOTS, max(1, min(total // SLOTS, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))).select("id")
+    starts = np.cumsum([0, *sizes])
+
+    def parts(lo: int, hi: int):
+        """Domains of a stretch of all slots, with the slots' numbers in them."""
+        for d in range(int(np.searchsorted(starts, lo, "right")) - 1, len(sizes)):
+            a, b = max(lo, int(starts[d])), min(hi, int(starts[d + 1]))
+            if a >= hi:
+                break
+            yield d, np.arange(a, b) - starts[d]
+
+    if total <= TOLD:
+        told = held.orderBy("at").select("good", "n").toArrow()
+        good, n = (told.column(c).fill_null(0).to_numpy() for c in ("good", "n"))
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in batch.column("id").to_pylist():
+                    for d, some in parts(lo, min(lo + SLOTS, total)):
+                        at = picks(seed, draws, d, some, sizes[d]) + starts[d]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(np.full(draws, d)), pa.array(good[at].sum(axis=0)), pa.array(n[at].sum(axis=0))], ["draw", "d", "good", "n"])
+
+        drawn = slots.mapInArrow(summed, "draw long, d long, good long, n long")
+    else:
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in batch.column("id").to_pylist():
+                    for d, some in parts(lo, min(lo + SLOTS, total)):
+                        at = picks(seed, draws, d, some, sizes[d]) + starts[d]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(draws), len(some))), pa.array(np.full(at.size, d)), pa.array(at.ravel())], ["draw", "d", "at"])
+
+        drawn = slots.mapInArrow(every, "draw long, d long, at long").join(held.select("at", "good", "n"), "at")
+    rate = F.sum("good") / F.nullif(F.sum("n"), F.lit(0))
+    point = rows.groupBy("domain").agg(rate.alias("rate")).agg(F.avg("rate").alias("point"))
+    stat = drawn.groupBy("draw", "d").agg(rate.alias("rate")).groupBy("draw").agg(F.round(F.avg("rate"), 9).alias("stat")).agg(F.array_sort(F.collect_list("stat")).alias("all"))
     size = F.size("all")
     low, high = F.greatest(F.lit(0), (size * tail).cast("int") - 1), F.least(size - 1, (size * (1 - tail)).cast("int"))
-    enough = size >= least * draws
-    pick = lambda i: F.when(enough, F.round(F.get("all", i), 6))
-    return stat.select(size.cast("long").alias("draws"), pick(low).alias("lower"), pick(high).alias("upper"), F.when(~enough, "too many undefined draws").alias("note"))
+    note = F.when(F.lit(max(sizes, default=0) < 2), "no domain has two clusters").when(size < max(1, least * draws), "too many undefined draws")
+    pick = lambda i: F.when(note.isNull(), F.round(F.get("all", i), 6))
+    return stat.crossJoin(F.broadcast(point)).select(F.round("point", 6).alias("point"), size.cast("long").alias("draws"), pick(low).alias("lower"), pick(high).alias("upper"), note.alias("note"))
 
 
 def gate_checks(found: DataFrame, gate: DataFrame) -> DataFrame:

@@ -153,7 +153,13 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources drawn again within each language."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     clusters = labels.join(docs.select("doc_id", "lang", "source"), "doc_id").where("lang is not null and source is not null").groupBy("lang", "source").agg(F.sum("quality").alias("good"), F.count("*").alias("n"))
-    return gates.bootstrap(clusters, "lang", "source").drop("note")
+    return gates.bootstrap(clusters, "lang", "source", draws=400).drop("note")
+
+
+def cluster_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of finished orders, customers drawn again."""
+    clusters = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("good"), F.count("*").alias("n"))
+    return gates.bootstrap(clusters, None, "o_custkey", draws=200).drop("note")
 
 
 def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +189,29 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (claim_ids, study_dedupe, fill_down_labels, within_block_budget, top_parts, unpivot_long, forest_checksum, unique_best, ontology_merge, set_scores, value_supported, doi_scan, inverted_index_text, json_recovery, journal_latest, telemetry_rollup, windowed_events, sessions, score_metrics, domain_weighted, bootstrap_interval, promotions, search_count_flags, batch_plan, coverage_gaps)
+    for f in (claim_ids, study_dedupe, fill_down_labels, within_block_budget, top_parts, unpivot_long, forest_checksum, unique_best, ontology_merge, set_scores, value_supported, doi_scan, inverted_index_text, json_recovery, journal_latest, telemetry_rollup, windowed_events, sessions, score_metrics, domain_weighted, bootstrap_interval, cluster_interval, promotions, search_count_flags, batch_plan, coverage_gaps)
 }
 
 LETTER_SQL = "CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN concat(chr(CAST(64 + i // 26 AS INTEGER)), chr(CAST(65 + i % 26 AS INTEGER))) WHEN i < 18278 THEN concat(chr(CAST(65 + (i - 702) // 676 AS INTEGER)), chr(CAST(65 + ((i - 702) // 26) % 26 AS INTEGER)), chr(CAST(65 + (i - 702) % 26 AS INTEGER))) ELSE concat(chr(CAST(65 + (i - 18278) // 17576 AS INTEGER)), chr(CAST(65 + ((i - 18278) // 676) % 26 AS INTEGER)), chr(CAST(65 + ((i - 18278) // 26) % 26 AS INTEGER)), chr(CAST(65 + (i - 18278) % 26 AS INTEGER))) END"
 LABELLED = "labels JOIN (SELECT doc_id, n_chars, lang, source FROM documents) d USING (doc_id)"
 
+_MOD = "18446744073709551616::UHUGEINT"
+
+
+def _interval(clusters: str, draws: int, seed: int = 20_260_810) -> str:
+    """Every pick a row here, joined to its cluster; the mixing goes step by step, as each step names the one before it several times."""
+    steps, last = [], f"SELECT *, {seed}::UHUGEINT AS z FROM c, range({draws}) x(draw)"
+    for name, count in (("a", "draw"), ("b", "d"), ("e", "slot")):
+        steps.append(f"{name}0 AS ({last}), {name}1 AS (SELECT * REPLACE ((z + {gates.SPREAD}::UHUGEINT * ({count} + 1)::UHUGEINT) % {_MOD} AS z) FROM {name}0)")
+        for i, (shift, factor) in enumerate(gates.MIXING):
+            steps.append(f"{name}{i + 2} AS (SELECT * REPLACE (xor(z, z // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT % {_MOD} AS z) FROM {name}{i + 1})")
+        last = f"SELECT * REPLACE (xor(z, z // {1 << 31}::UHUGEINT) AS z) FROM {name}3"
+    return f"""WITH g AS ({clusters}), c AS (SELECT *, dense_rank() OVER (ORDER BY domain NULLS FIRST) - 1 AS d, row_number() OVER (PARTITION BY domain ORDER BY cluster NULLS FIRST) - 1 AS slot, count(*) OVER (PARTITION BY domain) AS k FROM g),
+        {", ".join(steps)}, p AS (SELECT d, draw, CAST(z % k::UHUGEINT AS BIGINT) AS slot FROM ({last})), r AS (SELECT draw, d, sum(good)::DOUBLE / nullif(sum(n), 0)::DOUBLE AS rate FROM p JOIN c USING (d, slot) GROUP BY ALL), s AS (SELECT list_sort(list(stat)) AS l FROM (SELECT draw, round(avg(rate), 9) AS stat FROM r GROUP BY draw) WHERE stat IS NOT NULL),
+        o AS (SELECT avg(rate) AS point FROM (SELECT sum(good)::DOUBLE / nullif(sum(n), 0)::DOUBLE AS rate FROM g GROUP BY domain))
+        SELECT round(point, 6) AS point, CAST(len(l) AS BIGINT) AS draws, round(l[greatest(1, len(l) * 25 // 1000)], 6) AS lower, round(l[least(len(l), len(l) * 975 // 1000 + 1)], 6) AS upper FROM s, o"""
+
+
 ORACLE_SQL = {
     "claim_ids": f"""WITH r AS (SELECT c_nationkey, o_custkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), f AS (SELECT c_nationkey, o_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY min(o_orderkey)) - 1 AS i FROM r GROUP BY c_nationkey, o_custkey)
         SELECT r.c_nationkey, o_orderkey, concat({LETTER_SQL}, '_', lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0')) AS claim_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM r) r JOIN f USING (o_custkey)""",
@@ -217,9 +240,8 @@ ORACLE_SQL = {
     "score_metrics": f"""WITH r AS (SELECT lang, n_chars > 500 AS said, quality = 1 AS yes FROM {LABELLED}), n AS (SELECT lang, count(*) FILTER (said AND yes) AS tp, count(*) FILTER (said AND NOT yes) AS fp, count(*) FILTER (NOT said AND yes) AS fn, count(*) FILTER (NOT said AND NOT yes) AS tn FROM r GROUP BY lang)
         SELECT *, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM n""",
     "domain_weighted": f"SELECT count(*) AS domains, round(avg(q), 6) AS quality, round(avg(t), 6) AS toxic FROM (SELECT lang, avg(quality) AS q, avg(toxic) AS t FROM {LABELLED} WHERE lang IS NOT NULL GROUP BY lang)",
-    "bootstrap_interval": f"""WITH c AS (SELECT lang, source, CAST(sum(quality) AS BIGINT) AS good, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS k FROM {LABELLED} WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source),
-        p AS (SELECT lang, draw, (draw * 7919 + slot * 104729 + draw * slot) % k AS slot FROM c, range(200) d(draw)), r AS (SELECT draw, lang, sum(good)::DOUBLE / sum(n)::DOUBLE AS rate FROM p JOIN c USING (lang, slot) GROUP BY ALL), s AS (SELECT list_sort(list(stat)) AS l FROM (SELECT draw, round(avg(rate), 9) AS stat FROM r GROUP BY draw))
-        SELECT CAST(len(l) AS BIGINT) AS draws, round(l[5], 6) AS lower, round(l[196], 6) AS upper FROM s""",
+    "bootstrap_interval": _interval(f"SELECT lang AS domain, source AS cluster, CAST(sum(quality) AS BIGINT) AS good, count(*) AS n FROM {LABELLED} WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source", 400),
+    "cluster_interval": _interval("SELECT 0 AS domain, o_custkey AS cluster, count(*) FILTER (o_orderstatus = 'F') AS good, count(*) AS n FROM orders GROUP BY o_custkey", 200),
     "promotions": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS proposal, count(DISTINCT user_id) AS runs, count(DISTINCT user_id) >= 3 AS promoted FROM events GROUP BY 1, 2",
     "search_count_flags": "SELECT user_id, actual, reported, CASE WHEN reported = 0 THEN 'zero' WHEN abs(reported - actual) / actual > 0.3 THEN 'major' WHEN abs(reported - actual) / actual > 0.05 THEN 'minor' ELSE 'none' END AS flag FROM (SELECT user_id, count(*) AS actual, count(*) FILTER (event_type <> 'error') AS reported FROM events GROUP BY user_id)",
     "batch_plan": "SELECT l_returnflag, count(*) AS batches, CAST(sum(c) AS BIGINT) AS claims, count(*) FILTER (c = 1) AS singletons, max(c) AS largest FROM (SELECT l_partkey, l_returnflag, l_linestatus, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY l_returnflag",

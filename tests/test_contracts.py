@@ -146,3 +146,29 @@ def test_intervals_need_defined_draws(spark):
     rows = spark.createDataFrame([(1, "e", 2), (2, "e", 1), (3, "f", 3)], "v int, execution_id string, at int")
     assert {r.execution_id: r.v for r in batches.once(rows, "execution_id", "at").collect()} == {"e": 2, "f": 3}
     assert gates.added_columns(rows, rows.withColumn("w", F.lit(1))) == ["w"]
+
+
+@pytest.mark.parametrize("k", [7, 100, 101])
+def test_intervals_are_as_wide_as_theory_says(spark, k):
+    """Clusters of one claim each: the mean of k of them deviates by the root of p(1 - p) / k."""
+    clusters = spark.createDataFrame([(i, int(i % 10 < 3), 1) for i in range(k)], "c int, good int, n int")
+    got = gates.bootstrap(clusters, None, "c").first()
+    p = sum(i % 10 < 3 for i in range(k)) / k
+    assert abs(got.point - p) < 1e-6 and got.draws == 2000 and got.note is None and got.lower <= p <= got.upper
+    assert abs((got.upper - got.lower) / (2 * 1.96 * (p * (1 - p) / k) ** 0.5) - 1) < (0.25 if k < 10 else 0.1)
+
+
+def test_draws_are_the_same_however_they_are_made(spark, monkeypatch):
+    rows = [(d, i, i % 3, 2 + i % 2) for d, k in ((None, 1), ("a", 40), ("b", 3), ("c", 2100)) for i in range(k)]
+    clusters = spark.createDataFrame([*rows, ("e", 1, 0, 0)], "d string, c int, good int, n int")
+    got = [gates.bootstrap(clusters, "d", "c", draws=60).first()]
+    monkeypatch.setattr(gates, "SLOTS", 17)
+    got.append(gates.bootstrap(clusters.repartition(7), "d", "c", draws=60).first())
+    monkeypatch.setattr(gates, "TOLD", 5)
+    got.append(gates.bootstrap(clusters.repartition(3), "d", "c", draws=60).first())
+    assert got[0] == got[1] == got[2] and got[0].note is None
+    assert gates.bootstrap(clusters.where("c = 0"), "d", "c", draws=60).first().note == "no domain has two clusters"
+    empty = gates.bootstrap(clusters.where("false"), "d", "c", draws=60).first()
+    assert empty.lower is None and empty.note and empty.point is None
+    other = gates.bootstrap(clusters, "d", "c", draws=60, seed=5).first()
+    assert (other.lower, other.upper) != (got[0].lower, got[0].upper)
