@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,13 +31,17 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import TOLD, cut, ensure_checkpoint_dir, look_up, texts
 
 #: Runs that a worker remembers, and once more those of before.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 #: Texts whose new runs are aligned at once, by their characters.
 TOGETHER = 1 << 20
 RUN = re.compile(r"[ \n]+[^ \n]+|[ \n]+")
 #: White space beside spaces and line ends; at such a place runs may not be independent.
 OTHER_SPACE = re.compile(r"[^\S \n]")
 SPACE = "▁"
+#: Signs behind a word, which are aligned apart from it where neither tokenizer merges over the two.
+SIGNS = ",.;:!?"
+#: ASCII characters of which libraries may not agree whether they are white space.
+CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -59,14 +64,33 @@ class ByteLevel:
         self.data = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.data[i] = bytes(byte_of[c] for c in token)
+        self.text = [str(i) for i in range(len(self.data))]
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
+        self.plain = self._plain(held["model"])
         words = held.get("pre_tokenizer") or {}
         self.by_runs = held.get("normalizer") is None and (words.get("type"), words.get("add_prefix_space"), words.get("use_regex")) == ("ByteLevel", False, True)
 
+    def _plain(self, model: dict):
+        """The same merges for ASCII texts from a library that is quicker at short ones, if a token's id says when it was merged; else None."""
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model.get("merges", []))
+        if model.get("type") != "BPE" or any(model["vocab"].get("".join(p)) != 256 + i for i, p in enumerate(pairs)):
+            return None
+        import tiktoken
+
+        words = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+        ranks = {data: i for i, data in enumerate(self.data) if i < 256 + len(model["merges"])}
+        return tiktoken.Encoding("merges", pat_str=words, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def encode(self, held: list[str]) -> list[list[int]]:
         """Ids of texts as they are."""
-        return [e.ids for e in self.lib.encode_batch_fast(held, add_special_tokens=False)]
+        if self.plain is None:
+            return [e.ids for e in self.lib.encode_batch_fast(held, add_special_tokens=False)]
+        out = [self.plain(t) if t.isascii() and not CONTROL.search(t) else None for t in held]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.lib.encode_batch_fast([held[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
 
 class Pieces:
@@ -78,9 +102,12 @@ class Pieces:
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
         self.data = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in names]
+        self.text = [str(i) for i in range(len(names))]
         # nothing is merged over the beginning of a run if no piece has a space behind another character, or a line end at all
         plain = [p for i, p in enumerate(names) if not (self.lib.is_byte(i) or self.lib.is_control(i) or self.lib.is_unknown(i))]
         self.by_runs = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain) and self.lib.encode("a\nb  c") == [*self.lib.encode("a"), *self.lib.encode("\nb  c")[1:]]
+        merged = {d for p in plain for c, d in zip(p, p[1:]) if c.isalpha()}
+        self.signs = [c for c in SIGNS if c not in merged]
 
     def encode(self, held: list[str]) -> list[list[int]]:
         """Ids of texts that begin with a space, which the library adds, or with a line end, where the space it adds is a token of its own."""
@@ -88,7 +115,7 @@ class Pieces:
         return [ids if t[0] == " " else ids[1:] for t, ids in zip(held, found)]
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Aligned:
     """A run or text: numbers of A tokens, B tokens and groups; groups as text; id pairs of all links, as signed 64-bit numbers with A's id in the upper half."""
 
@@ -98,6 +125,9 @@ class Aligned:
     groups: str
     links: bytes
 
+    def followed(self, by: Aligned) -> Aligned:
+        return Aligned(self.n_a + by.n_a, self.n_b + by.n_b, self.n_groups + by.n_groups, f"{self.groups};{by.groups}", self.links + by.links)
+
 
 def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many A and how many B tokens each group has. Ends of tokens over the same bytes, ascending."""
@@ -127,43 +157,81 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t.data], np.int64) for t in (self.a, self.b))
         self.runs: dict[str, Aligned | None] = {}
         self.before: dict[str, Aligned | None] = {}
+        # a sign as it is behind a word: what stands behind the line end's own tokens
+        self.signs = {c: sign for c in self.b.signs if (sign := self._sign(c)) is not None} if self.by_runs else {}
+
+    def _sign(self, c: str) -> Aligned | None:
+        line = self.align(["\n" + c])[0]
+        if line is None or not line.groups.count(";"):
+            return None
+        end, sign = self.align(["\n"])[0], line.groups.split(";", 1)
+        if end is None or end.groups != sign[0]:
+            return None
+        return Aligned(line.n_a - end.n_a, line.n_b - end.n_b, line.n_groups - end.n_groups, sign[1], line.links[len(end.links) :])
 
     def align(self, held: list[str]) -> list[Aligned | None]:
         """Of texts that begin with a space or line end; None where a side's tokens don't join to the text."""
         a_of, b_of = self.a.encode(held), self.b.encode(held)
-        good = [i for i, t in enumerate(held) if b"".join(map(self.a.data.__getitem__, a_of[i])) == (raw := t.encode()) == b"".join(map(self.b.data.__getitem__, b_of[i]))]
-        out: list[Aligned | None] = [None] * len(held)
-        if not good:
-            return out
-        a, b = (np.concatenate([np.array(x[i], np.int64) for i in good]) for x in (a_of, b_of))
-        n_a, n_b = groups_of(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
+        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (a_of, b_of))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        raw = [t.encode() for t in held]
+        ends = np.cumsum([len(r) for r in raw])
+        a_last, b_last = (np.cumsum([len(ids) for ids in x]) for x in (a_of, b_of))
+        whole = b"".join(raw)
+        bad = any(not len(x) or last[0] < 1 or not np.array_equal(x[last - 1], ends) for x, last in ((a_ends, a_last), (b_ends, b_last)))
+        if bad or any(b"".join(map(t.data.__getitem__, ids.tolist())) != whole for t, ids in ((self.a, a), (self.b, b))):
+            return [None] if len(held) == 1 else [x for t in self._halves(held) for x in self.align(t)]
+        n_a, n_b = groups_of(a_ends, b_ends)
         pairs, n_links = linked(a, b, n_a, n_b)
         # a text ends where both sides do, so no group goes beyond it
-        group = np.searchsorted(np.cumsum(n_a), np.cumsum([len(a_of[i]) for i in good]), "left") + 1
-        first = np.concatenate(([0], group[:-1]))
-        link_at = np.concatenate(([0], np.cumsum(n_links)))
+        group = np.searchsorted(np.cumsum(n_a), a_last, "left") + 1
+        link_at = np.concatenate(([0], np.cumsum(n_links)))[group] * 8
+        links = pairs.tobytes()
+        a_text, b_text = self.a.text, self.b.text
         sizes = list(zip(n_a.tolist(), n_b.tolist()))
-        for i, x, y in zip(good, first.tolist(), group.tolist()):
-            a_text, b_text = list(map(str, a_of[i])), list(map(str, b_of[i]))
-            at = to = 0
-            shown = []
-            for p, q in sizes[x:y]:
-                shown.append(f"{','.join(a_text[at : at + p])}|{','.join(b_text[to : to + q])}")
-                at, to = at + p, to + q
-            out[i] = Aligned(at, to, y - x, ";".join(shown), pairs[link_at[x] : link_at[y]].tobytes())
+        out: list[Aligned | None] = []
+        x = begin = 0
+        for a_ids, b_ids, y, end in zip(a_of, b_of, group.tolist(), link_at.tolist()):
+            if y - x == 1:
+                said = f"{','.join([a_text[i] for i in a_ids])}|{','.join([b_text[i] for i in b_ids])}"
+            else:
+                at = to = 0
+                shown = []
+                for p, q in sizes[x:y]:
+                    shown.append(f"{','.join([a_text[i] for i in a_ids[at : at + p]])}|{','.join([b_text[i] for i in b_ids[to : to + q]])}")
+                    at, to = at + p, to + q
+                said = ";".join(shown)
+            out.append(Aligned(len(a_ids), len(b_ids), y - x, said, links[begin:end]))
+            x, begin = y, end
         return out
 
+    @staticmethod
+    def _halves(held: list[str]) -> tuple[list[str], list[str]]:
+        """Texts among which one has no tokens are looked at in halves."""
+        return held[: len(held) // 2], held[len(held) // 2 :]
+
     def learn(self, met: set[str]) -> None:
         """Align the runs that aren't remembered."""
         if len(self.runs) >= REMEMBERED:
             self.before, self.runs = self.runs, {}
-        new = []
+        new, signed = set(), []
         for run in met.difference(self.runs):
             if run in self.before:
                 self.runs[run] = self.before[run]
+            elif run[-1] in self.signs and run[-2].isalpha():
+                signed.append(run)
+                word = run[:-1]
+                if word in self.before:
+                    self.runs[word] = self.before[word]
+                elif word not in self.runs:
+                    new.add(word)
             else:
-                new.append(run)
-        self.runs.update(zip(new, self.align(new)))
+                new.add(run)
+        if new:
+            self.runs.update(zip(new, self.align(list(new))))
+        for run in signed:
+            word = self.runs[run[:-1]]
+            self.runs[run] = None if word is None else word.followed(self.signs[run[-1]])
 
     def texts(self, held: list[str]) -> list[list[Aligned] | None]:
         """The alignments of a text's runs, or of the text as one; None for a text without tokens."""
