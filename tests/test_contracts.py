@@ -172,3 +172,37 @@ def test_draws_are_the_same_however_they_are_made(spark, monkeypatch):
     assert empty.lower is None and empty.note and empty.point is None
     other = gates.bootstrap(clusters, "d", "c", draws=60, seed=5).first()
     assert (other.lower, other.upper) != (got[0].lower, got[0].upper)
+
+
+def test_places_are_found_once_and_fast(spark):
+    """Places of many matches in one long text, against Python's, in time that grows with the text."""
+    import re
+    import time
+
+    from auditlake.functions import text as T
+    from auditlake.operators import anchoring
+
+    long = " ".join(f"n {i % 97} x" for i in range(8000))
+    held = spark.createDataFrame([(long,), ("",), (None,), ("7",), ("a 7 7a",)], "t string")
+    began = time.time()
+    got = [[tuple(m) for m in r[0]] for r in held.select(T.matches(F.col("t"), "[0-9]+")).collect()]
+    assert got == [[(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", t or "")] for t in (long, "", None, "7", "a 7 7a")]
+    got = [r[0] for r in held.select(T.occurrences(F.col("t"), F.lit("n 7 x"))).collect()]
+    assert got[0] == [m.start() for m in re.finditer("n 7 x", long)] and got[1:] == [[], [], [], []]
+    places = held.select(anchoring.nearest(T.occurrences(F.col("t"), F.lit("7")), T.occurrences(F.col("t"), F.lit("a")))).collect()
+    assert [tuple(r[0]) if r[0] else None for r in places] == [None, None, None, None, (1, 4, 5)]
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize(
+    "said, want",
+    [
+        ("hr 0.5 (95% ci 0.4-0.7)", [(95, 0.4, 0.7)]), ("95 % confidence interval: -1.2 to -0.3", [(95, -1.2, -0.3)]), ("90.5% ci 2, 3 and 99%ci 1–4", [(90.5, 2, 3), (99, 1, 4)]), ("95% cigarettes 1 to 2", []),
+        ("95% ci of the whole population 1 to 2", []), ("5% ci 1 to 2", []), ("95% ci 1 or 2", []), ("95% ci -1--2", [(95, -1, -2)]), ("95% ci", []), ("", []),
+    ],
+)
+def test_printed_intervals(spark, said, want):
+    from auditlake.operators import anchoring
+
+    [row] = spark.createDataFrame([(said,)], "t string").select(anchoring.printed_intervals(F.col("t"))).collect()
+    assert [(x.level, x.lower, x.upper) for x in row[0]] == want
