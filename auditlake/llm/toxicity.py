@@ -220,19 +220,23 @@ def extracted(rows: DataFrame, model: Model, more: list[str]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} int, " for c in more) + "x array<double>")
 
 
-def apply(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All columns of docs with score and predicted; clashing names of docs are replaced. A null text is scored as an empty one."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+def apply(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs with a score and what it predicts, under the given names, which must not be among them (ValueError). A null text is scored as an empty one."""
+    kept = docs.columns
+    if {n.lower() for n in names} & {c.lower() for c in kept}:
+        raise ValueError(f"docs have a column {' or '.join(names)}")
+
+    text = next(c for c in kept if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py() or "", model.lexicon, model.stems) for t in batch.column("text")]).reshape(batch.num_rows, len(NAMES))
+            x = np.array([features(t.as_py() or "", model.lexicon, model.stems) for t in batch.column(text)]).reshape(batch.num_rows, len(NAMES))
             score = model.score(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, *names])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    schema = StructType([docs.schema[c] for c in kept]).add("score", DoubleType()).add("predicted", IntegerType())
+    schema = StructType([docs.schema[c] for c in kept]).add(names[0], DoubleType()).add(names[1], IntegerType())
     return docs.select(*kept).mapInArrow(run, schema)
 
 

@@ -43,6 +43,19 @@ def test_stages_keep_the_columns(spark, docs, sf, tmp_path):
     assert [t for _, t in now.dtypes] == [t for _, t in docs.dtypes]
 
 
+def test_stages_keep_what_other_columns_hold(spark, docs, sf):
+    """Columns of names that the stages might use themselves, upper case among them, come back as they were."""
+    from pyspark.sql import functions as F
+
+    names = ["Key", "score", "predicted", "toxic", "toxicity", "more", "tag", "kept_text", "pid", "item_id", "distance", "set", "data", "hash", "group", "at", "n", "id", "first_id", "component"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns, name
+        rows = got.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
+
+
 def test_stages_on_odd_rows(spark, docs, sf):
     odd = spark.createDataFrame([(d, t, None, None, None) for d, t in brute.odd_texts()], docs.schema)
     for name, stage in corpus_pipeline.STAGES[1:4]:
