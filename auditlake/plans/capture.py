@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.operators import anchoring, cohorts, tables
+from auditlake.operators import anchoring, cohorts, tables, targets
 from auditlake.sources.tables import table
 
 
@@ -123,7 +123,34 @@ def arm_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     theirs = F.when(s % 3 == 0, F.array(F.lit("Red group (n=9)"), F.lit("red + blue plus"), F.lit("placebo arm"))).when(s % 3 == 1, F.array(F.lit("green"), F.lit("yellow"))).otherwise(F.array(F.lit("Red"), F.lit("red arm")))
     review = supplier.select("study", F.explode(ours).alias("x")).select("study", "x.*")
     paper = supplier.where("study % 7 <> 0").select("study", F.explode(theirs).alias("label"))
-    return cohorts.assign_arms(review, paper)
+    return targets.assign_arms(review, paper)
+
+
+def arm_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each supplier's paper reports for three arms of its review, and for one that the review doesn't have."""
+    s = F.col("study")
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("study"))
+    ours = F.array(F.struct(F.lit("a").alias("arm"), F.lit("red dose").alias("label")), F.struct(F.lit("b").alias("arm"), F.lit("red plus blue").alias("label")), F.struct(F.lit("c").alias("arm"), F.when(s % 5 == 0, "unlike").otherwise("placebo").alias("label")))
+    theirs = F.when(s % 3 == 0, F.array(F.lit("Red group (n=9)"), F.lit("red + blue plus"), F.lit("placebo arm"))).when(s % 3 == 1, F.array(F.lit("green"), F.lit("yellow"))).otherwise(F.array(F.lit("Red"), F.lit("red arm")))
+    review = supplier.select("study", F.explode(ours).alias("x")).select("study", "x.*")
+    arms = supplier.where("study % 7 <> 0").select("study", F.posexplode(theirs).alias("pos", "label"))
+    value = F.when((s % 4 == 3) & (F.col("pos") == 1), None).otherwise((s * 3 + F.col("pos") + 10).cast("string"))
+    quote = F.when(s % 2 == 0, F.concat_ws(" ", F.lit("red"), (s * 3 + 10 + (s % 4 == 2).cast("int")).cast("string"), F.lit("against red blue plus"), (s * 3 + 11 - (s % 4 == 2).cast("int")).cast("string"))).otherwise("")
+    arms = arms.select("study", "pos", "label", value.alias("value"), F.lit("n").alias("unit"), quote.alias("quote"))
+    requests = supplier.select(F.explode(F.array(*map(F.lit, "abcz"))).alias("target"), "study").select(F.concat_ws("|", F.col("study").cast("string"), "target").alias("id"), "study", "target", F.lit("").alias("quote"))
+    return targets.resolve_arms(requests, review, arms).select("id", "status", "paper_label", "value", F.array_join("rivals", ",").alias("rivals"))
+
+
+def value_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two values stand by the arms they are given to, in sentences of several orders."""
+    k = F.col("c_custkey")
+    one, two = (k % 90 + 10).cast("string"), (k % 700 + 200).cast("string")
+    said = lambda *parts: F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+    label = F.lower("c_mktsegment")
+    text = F.when(k % 4 == 0, said(label, one, ", control", two)).when(k % 4 == 1, said(label, "and control had", one, "and", two)).when(k % 4 == 2, said("control", one, "but", label, two)).otherwise(said(one, label, two, "control"))
+    claims = F.array(F.struct(label.alias("label"), one.alias("value")), F.struct(F.lit("control").alias("label"), two.alias("value")))
+    rows = table(spark, sf_dir, "customer").select(k, F.upper(text).alias("text"), claims.alias("claims"))
+    return targets.by_their_labels(rows, "text", "claims").select("c_custkey", "locality")
 
 
 def cohort_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +225,7 @@ def evidence_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (captured_cells, header_paths, table_labels, shape_checks, table_text, header_arms, cohort_registry, cohort_resolution, comparison_targets, arm_assignment, cohort_conflicts, witness_coverage, binding_verdicts, interval_owner, evidence_adequacy)
+    for f in (captured_cells, header_paths, table_labels, shape_checks, table_text, header_arms, cohort_registry, cohort_resolution, comparison_targets, arm_assignment, arm_targets, value_locality, cohort_conflicts, witness_coverage, binding_verdicts, interval_owner, evidence_adequacy)
 }
 
 LABEL_SQL = "SELECT p_size AS review, p_partkey AS pos, CASE WHEN p_partkey % 9 = 0 THEN ' Overall' WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN concat('  ', upper(p_brand)) WHEN p_partkey % 7 = 0 THEN concat('the ', p_brand, ' arm') ELSE p_brand END AS label FROM part"
@@ -230,6 +257,16 @@ ORACLE_SQL = {
         SELECT p_partkey, l AS left_side, r AS right_side, array_to_string(list_distinct_in_order, ' ') AS tokens FROM (SELECT *, CASE WHEN l IS NULL THEN [] ELSE list_filter(regexp_extract_all(l, '[a-z0-9]+'), lambda t: NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ('mg', 'group')) END AS list_distinct_in_order FROM s)""",
     "arm_assignment": """SELECT s_suppkey AS study, v.arm, v.label, NULL AS reason FROM supplier, (VALUES ('a', 'Red group (n=9)'), ('b', 'red + blue plus'), ('c', 'placebo arm')) v(arm, label) WHERE s_suppkey % 7 <> 0 AND s_suppkey % 3 = 0 AND NOT (v.arm = 'c' AND s_suppkey % 5 = 0)
         UNION ALL SELECT s_suppkey, NULL, NULL, CASE WHEN s_suppkey % 7 = 0 THEN 'nothing to assign' WHEN s_suppkey % 3 = 1 THEN 'no likeness' ELSE 'ambiguous' END FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 3 <> 0""",
+    "arm_targets": """WITH r AS (SELECT s_suppkey AS k, v.t, v.i, v.l FROM supplier, (VALUES ('a', 0, 'Red group (n=9)'), ('b', 1, 'red + blue plus'), ('c', 2, 'placebo arm'), ('z', NULL, NULL)) v(t, i, l)),
+        s AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'not_reported' WHEN t = 'z' THEN 'unsupported' WHEN k % 3 <> 0 THEN 'ambiguous' WHEN t = 'c' AND k % 5 = 0 THEN 'not_reported' WHEN k % 4 = 3 AND i = 1 THEN 'not_reported' WHEN k % 4 = 2 THEN 'inconsistent' ELSE 'ok' END AS status FROM r)
+        SELECT concat(k, '|', t) AS id, status, CASE WHEN status IN ('ok', 'inconsistent') OR status = 'not_reported' AND k % 7 <> 0 AND k % 4 = 3 AND i = 1 THEN l END AS paper_label, CASE WHEN status = 'ok' THEN CAST(k * 3 + i + 10 AS VARCHAR) END AS value,
+            CASE WHEN status = 'ok' THEN array_to_string(list_transform(list_filter([0, 1, 2], lambda j: j <> i AND NOT (k % 4 = 3 AND j = 1)), lambda j: CAST(k * 3 + j + 10 AS VARCHAR)), ',') END AS rivals FROM s""",
+    "value_locality": """WITH t AS (SELECT c_custkey, lower(c_mktsegment) AS l, CAST(c_custkey % 90 + 10 AS VARCHAR) AS one, CAST(c_custkey % 700 + 200 AS VARCHAR) AS two FROM customer),
+        x AS (SELECT *, CASE c_custkey % 4 WHEN 0 THEN concat_ws(' ', l, one, ', control', two) WHEN 1 THEN concat_ws(' ', l, 'and control had', one, 'and', two) WHEN 2 THEN concat_ws(' ', 'control', one, 'but', l, two) ELSE concat_ws(' ', one, l, two, 'control') END AS text FROM t),
+        p AS (SELECT c_custkey, unnest([{'a': l, 'b': one, 'w': 'ii'}, {'a': 'control', 'b': two, 'w': 'ii'}, {'a': l, 'b': two, 'w': 'swap'}, {'a': 'control', 'b': one, 'w': 'swap'}]) AS q, text FROM x),
+        d AS (SELECT c_custkey, q.w AS w, instr(text, q.a) - 1 AS s, instr(text, q.a) - 1 + length(q.a) AS e, instr(concat(' ', text, ' '), concat(' ', q.b, ' ')) - 1 AS v FROM p),
+        g AS (SELECT c_custkey, sum(CASE WHEN v BETWEEN s AND e THEN 0 ELSE least(abs(v - s), abs(v - e)) END) FILTER (w = 'ii') AS mine, sum(CASE WHEN v BETWEEN s AND e THEN 0 ELSE least(abs(v - s), abs(v - e)) END) FILTER (w = 'swap') AS other FROM d GROUP BY c_custkey)
+        SELECT c_custkey, CASE WHEN other < mine THEN 'other' WHEN other - mine < 4 THEN 'close' ELSE 'ok' END AS locality FROM g""",
     "cohort_conflicts": """WITH c AS (SELECT o_orderkey % 2 AS review, CASE o_orderkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'all' ELSE 'green' END AS target, CASE o_orderkey % 5 WHEN 0 THEN 'red arm' WHEN 1 THEN 'Blue Ring' WHEN 2 THEN '' WHEN 3 THEN 'purple' ELSE 'red blue' END AS label FROM orders)
         SELECT review, target, label, CASE WHEN review = 1 OR target = 'all' OR label = '' THEN 'ok' WHEN target = 'green' THEN 'ambiguous' WHEN label = 'purple' THEN 'ambiguous' WHEN label = 'red arm' THEN CASE WHEN target = 'red' THEN 'ok' ELSE 'wrong_cohort' END WHEN label = 'Blue Ring' THEN CASE WHEN target = 'blue' THEN 'ok' ELSE 'wrong_cohort' END
           ELSE CASE WHEN target = 'red' THEN 'ok' ELSE 'wrong_cohort' END END AS verdict, count(*) AS n FROM c GROUP BY ALL""",

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import batches, cohorts, forest, gates, knowledge, ordered, references, retrieval, sections, tables, totals
+from auditlake.operators import batches, cohorts, forest, gates, knowledge, ordered, references, retrieval, sections, tables, targets, totals
 from auditlake.plans.ordered import LETTER_SQL
 from auditlake.sources import contracts
 from auditlake.streaming import journal
@@ -107,7 +107,7 @@ def test_places_in_a_large_part(spark):
 def test_arms_are_assigned_all_at_once(spark):
     review = spark.createDataFrame([(1, "a", "red"), (1, "b", "red plus blue"), (2, "a", "x"), (3, "a", "red"), (3, "b", "blue")] + [(4, f"k{i}", f"w{i}") for i in range(8)], "study int, arm string, label string")
     paper = spark.createDataFrame([(1, "Blue plus red group"), (1, "red group"), (2, "y"), (3, "red blue"), (3, "blue red arm"), (4, "w1")], "study int, label string")
-    got = {(r.study, r.arm): (r.label, r.reason) for r in cohorts.assign_arms(review, paper).collect()}
+    got = {(r.study, r.arm): (r.label, r.reason) for r in targets.assign_arms(review, paper).collect()}
     assert got == {(1, "a"): ("red group", None), (1, "b"): ("Blue plus red group", None), (2, None): (None, "no likeness"), (3, None): (None, "ambiguous"), (4, None): (None, "too many arms")}
 
 
