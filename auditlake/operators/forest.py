@@ -36,9 +36,20 @@ def kind_note(label: Column, kind: Column) -> Column:
 
 
 def has_grid(text: Column) -> Column:
-    """Whether any line names a study with its year and at least two whole numbers behind it."""
-    after = lambda line: F.regexp_extract(line, r"[A-Za-z][A-Za-z'-]+(?:\s+et\s+al\.?)?\s+(?:19|20)\d{2}(?!\d)(.*)$", 1)
-    return F.exists(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: F.size(F.regexp_extract_all(after(line), F.lit(r"(?<!\S)(\d+)(?!\S)"))) >= 2)
+    """Whether any line names a study with its year and at least two whole numbers behind it. A line is read by its words: the year begins one, and the word before it, or before `et al`, ends as a name or an initial does."""
+
+    def grid(words: Column) -> Column:
+        def names(i: Column) -> Column:
+            before = F.get(words, i - 1)
+            also = before.isin("al", "al.") & (F.get(words, i - 2) == "et") & (i > 2)
+            name = F.when(also, F.get(words, i - 3)).otherwise(before)
+            return (i > 0) & name.rlike("(?<![a-z0-9])[a-z][a-z'.-]*$")
+
+        year = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(w.rlike("^(19|20)[0-9]{2}([^0-9]|$)") & names(i), i)), lambda i: i.isNotNull()))
+        numbers = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("^[0-9]+$"), i)), lambda i: i > year)
+        return F.coalesce(F.size(numbers) >= 2, F.lit(False))
+
+    return F.exists(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\r?\n"), lambda line: F.get(F.transform(F.array(F.split(F.trim(line), r"\s+")), grid), F.lit(0)))
 
 
 def count_cells(cells: DataFrame, table: list[str]) -> DataFrame:

@@ -124,6 +124,8 @@ def test_small_decisions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = F.lit
     assert one(forest.has_grid(lit("Forest\nBerg et al. 2001 3 10 0.5\n"))) and not one(forest.has_grid(lit("Berg 2001 3.5 x")))
+    grids = {"Smith J 2010 3 40": True, "Smith J et al. 2010 3 40": True, "Smith J. K. 2010 3 40": True, "van Berg 2010a 3 40": True, "2010 3 40": False, "Smith 2010 3": False, "Smith 20101 3 40": False, "12 2010 3 40": False, "et al 2010 3 4": True, "(Smith 2010 3.5 4 5 6": True}
+    assert {t: one(forest.has_grid(lit(t))) for t in grids} == grids
     assert [one(forest.kind_note(lit("Total"), lit("study"))), one(forest.kind_note(lit("Berg"), lit("summary"))), one(forest.kind_note(lit("Berg"), lit("")))] == ["looks like a summary", "looks like a study", None]
     assert one(sections.missed_forest(lit("a Forest plot"), F.array(lit("table")))) and one(sections.clipped(lit(" a  b c"), 2)) == "a b"
     assert one(sections.without_references(lit("x" * 300 + "\nReferences\n1"))) == "x" * 300 + "\n"
