@@ -48,6 +48,17 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bytes of a batch that goes to a Python worker. An executor holds a few of them for each of its cores, beside its heap.
+BATCH_BYTES = 8 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on this session's batches of rows for Python have BATCH_BYTES at most, if they may have more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

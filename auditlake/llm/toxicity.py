@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, bounded_ids, cut, held_out, texts
+from auditlake.llm.common import batched, bounded_ids, cut, held_out, short_batches, texts
 
 #: Labelled texts that a model is fitted on and terms that its lexicon holds (both parameters of the model), texts that a term must be in, letters of a stem.
 SAMPLE, TERMS, SEEN, STEM = 20_000, 3000, 4, 5
@@ -226,6 +226,7 @@ def apply(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[st
     if {n.lower() for n in names} & {c.lower() for c in kept}:
         raise ValueError(f"docs have a column {' or '.join(names)}")
 
+    short_batches(docs.sparkSession)
     text = next(c for c in kept if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
