@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.tables import column_paths, row_labels
 
-#: Beginnings of labels of printed totals (fixed values).
-SUMMARY = r"(?i)^\s*(?:total(?:\s+events)?|subtotal|heterogeneity|test\s+for)\b"
+#: First words of labels of printed totals (fixed values).
+SUMMARY = ["total", "subtotal", "heterogeneity", "test for"]
 
 
 def _header(h: Column) -> Column:
@@ -22,7 +22,8 @@ def count_field(header: Column) -> Column:
 
 
 def is_summary(label: Column) -> Column:
-    return F.trim(F.coalesce(label, F.lit(""))).rlike(SUMMARY)
+    words = F.concat(F.array_join(F.regexp_extract_all(_header(label), F.lit("([a-z0-9_]+|[^a-z0-9_ ]+)")), " "), F.lit(" "))
+    return F.exists(F.array(*map(F.lit, SUMMARY)), lambda first: F.startswith(words, F.concat(first, F.lit(" "))))
 
 
 def whole_number(cell: Column) -> Column:

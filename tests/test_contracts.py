@@ -208,3 +208,20 @@ def test_printed_intervals(spark, said, want):
 
     [row] = spark.createDataFrame([(said,)], "t string").select(anchoring.printed_intervals(F.col("t"))).collect()
     assert [(x.level, x.lower, x.upper) for x in row[0]] == want
+
+
+def test_restated_readings(spark):
+    """Titles, ids and headers are read as before, accents composed or not."""
+    one = lambda c: spark.range(1).select(c).first()[0]
+    from auditlake.functions import text as T
+
+    lit = F.lit
+    assert one(references.title_key(lit("Caf\u0065\u0301 &amp; \u03b2-blockers\u2014why?"))) == one(references.title_key(lit("CAF\u00c9 & \u03b2-Blockers-Why"))) == "caf\u00e9 & beta-blockers-why"
+    assert one(T.composed(lit("o\u0308ne \u00e9 n\u0303 x\u0301"))) == "\u00f6ne \u00e9 \u00f1 x\u0301" and one(T.composed(lit(None).cast("string"))) is None
+    assert one(references.title_key(lit("a &amp;lt; b"))) == "a < b"
+    ids = {"PMID: 12345": "12345", "x pmid 123456789; PMID:  234567.": "234567", "XPMID: 12345": "", "PMID 1234": "", "pmid12345678": "12345678", "PMID 12345a": "", "": ""}
+    assert {t: one(T.printed_pmid(lit(t))) for t in ids} == ids
+    heads = {"Events drug": ("events", "drug"), "Drug - Events": ("events", "Drug"), "total": ("total", ""), "n Drug": ("n", "Drug"), "n": None, "Events x Total": ("events", "x Total"), "Mean": None, "": None}
+    assert {h: (x := one(tables.measure_of(lit(h)))) and tuple(x) for h in heads} == heads
+    summaries = {"Total": True, " total  events ": True, "Totals": False, "Test for overall effect": True, "Testing": False, "Heterogeneity: Tau": True, "Subtotal (95% CI)": True, "Berg total": False, "": False}
+    assert {t: one(forest.is_summary(lit(t))) for t in summaries} == summaries
