@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.operators import precedence, projection
+from auditlake.operators import census, precedence, projection
 from auditlake.sources.tables import table
 
 
@@ -55,13 +55,29 @@ def projected_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.project(requests, review, entries, failed, sums)
 
 
-QUERIES = {f.__name__: f for f in (identity_lookup, cell_origins, projected_claims)}
+def group_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the priorities of each customer's orders are the groups that a passage counts and names."""
+    k = F.col("o_custkey")
+    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.lower(F.substring_index("o_orderpriority", "-", -1)))).alias("counted"))
+    n = F.size("counted")
+    said = F.when(k % 5 == 0, F.concat(F.lit("patients of "), n.cast("string"), F.lit(" treatment arms"))).when(k % 5 == 1, F.concat(F.get(F.array(*map(F.lit, census.NUMBERS)), n - 1), F.lit(" groups:"))).when(k % 5 == 2, F.concat(F.lit("group "), n.cast("string"))).when(k % 5 == 3, F.concat(n.cast("string"), F.lit(" mg treatment arms"))).otherwise("")
+    named = F.when(k % 7 < 5, F.array_join("counted", " and ")).otherwise("")
+    labels = F.when(k % 3 == 0, F.col("counted")).when(k % 3 == 1, F.slice("counted", F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    rows = held.select("o_custkey", F.trim(F.concat_ws(" ", said, named)).alias("quote"), F.when(k % 4 < 2, n).when(k % 4 == 2, n + 1).alias("declared"), labels.alias("labels"), "counted")
+    return census.census(rows).select("o_custkey", "census")
+
+
+QUERIES = {f.__name__: f for f in (identity_lookup, cell_origins, projected_claims, group_census)}
 
 ORACLE_SQL = {
     "identity_lookup": """WITH k AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN concat('c', o_custkey) END AS claim, concat(o_custkey % 499, '|', year(o_orderdate)) AS place, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 = 0),
         a AS (SELECT claim, min(v) AS lo, max(v) AS hi FROM k WHERE claim IS NOT NULL GROUP BY claim), b AS (SELECT place, min(v) AS lo, max(v) AS hi FROM k GROUP BY place),
         o AS (SELECT o_orderkey, CASE WHEN a.lo IS NOT NULL THEN 0 WHEN b.lo IS NOT NULL THEN 1 END AS level, CASE WHEN a.lo IS NOT NULL THEN a.lo ELSE b.lo END AS lo, CASE WHEN a.lo IS NOT NULL THEN a.hi ELSE b.hi END AS hi FROM orders LEFT JOIN a ON o_orderkey % 3 = 0 AND a.claim = concat('c', o_custkey) LEFT JOIN b ON b.place = concat(o_custkey % 997, '|', year(o_orderdate)))
         SELECT o_orderkey, level, CASE WHEN lo = hi THEN lo END AS o_orderstatus, CASE WHEN lo IS NULL THEN 'unmatched' WHEN lo <> hi THEN 'ambiguous' ELSE 'found' END AS status FROM o""",
+    "group_census": """WITH g AS (SELECT o_custkey AS k, list_sort(list(DISTINCT lower(string_split(o_orderpriority, '-')[-1]))) AS c FROM orders GROUP BY 1),
+        w AS (SELECT *, len(c) AS n, CASE WHEN k % 4 < 2 THEN len(c) WHEN k % 4 = 2 THEN len(c) + 1 END AS d, CASE k % 3 WHEN 0 THEN c WHEN 1 THEN c[1:greatest(len(c) - 1, 1)] ELSE [] END AS l, k % 7 < 5 AS named, k % 5 IN (0, 1) AS counted, k % 5 = 4 AND k % 7 >= 5 AS silent FROM g)
+        SELECT k AS o_custkey, CASE WHEN d IS NULL AND len(l) = 0 THEN NULL WHEN silent THEN 'no passage' WHEN d IS NOT NULL AND NOT (counted AND d = n) THEN 'the passage doesn''t count the groups' WHEN d <> n THEN 'other number of counts' WHEN len(l) > 0 AND NOT named THEN 'the passage doesn''t name a group'
+            WHEN len(l) > 0 AND len(l) <> n THEN 'other groups are counted' WHEN len(l) > 0 AND d <> len(l) THEN 'other number of names' END AS census FROM w""",
     "projected_claims": """WITH r AS (SELECT o_orderkey AS b, f FROM orders, (VALUES ('A'), ('N'), ('R'), ('S')) v(f)),
         e AS (SELECT l_orderkey AS b, l_returnflag AS f, l_linestatus AS s, CAST(l_quantity AS INTEGER) AS q, l_linenumber % 2 = 0 AS final, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 2),
         w AS (SELECT l_orderkey AS b, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS total FROM lineitem GROUP BY 1),

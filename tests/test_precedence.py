@@ -50,3 +50,24 @@ def test_cohorts_one_by_one(spark):
     for r in precedence.cohort_mapping(review, source).collect():
         got.setdefault(r.study, {})[r.key] = r.label
     assert got == {i: m for i, (r, s) in enumerate(cases) if (m := greedy(r, s))}
+
+
+def test_groups_are_counted_in_the_grammar_of_counting(spark):
+    from auditlake.operators import census
+
+    says = {
+        ("three groups", 3): True, ("randomised to 3 treatment arms.", 3): True, ("one of three groups", 3): True, ("Two (2) regimens", 2): True, ("3 mg treatment arms", 3): False, ("group 3", 3): False, ("3 treatment cycles", 3): False,
+        ("three groups", 2): False, ("5-year treatment", 5): False, ("thirteen groups", 13): False, ("13 groups", 13): True, ("", 1): False, ("0 groups", 0): False,
+    }
+    rows = spark.createDataFrame([(q, n) for q, n in says], "q string, n int")
+    assert {(r.q, r.n): r.found for r in rows.select("q", "n", census.states_groups(F.col("q"), F.col("n")).alias("found")).collect()} == says
+    numbers = {"3": 3, " 12 ": 12, "3.0": 3, "3.5": None, "0": None, "-3": None, "three": None, "": None, "03": None, "true": None}
+    rows = spark.createDataFrame([(t,) for t in numbers], "t string")
+    assert {r.t: r.n for r in rows.select("t", census.positive_integer(F.col("t")).alias("n")).collect()} == numbers
+    cases = [
+        ("three groups: red, blue and green", 3, ["the red arm", "Blue", "green"], ["Green group", "blue", "red"], None), ("two groups, red and blue", 2, [], ["red", "blue"], None), ("two groups", 3, [], ["a1", "b1", "c1"], "the passage doesn't count the groups"),
+        ("two groups", 2, [], ["red"], "other number of counts"), ("red", None, ["red", "blue"], ["red", "blue"], "the passage doesn't name a group"), ("red and blue", None, ["red", "blue"], ["red"], "other groups are counted"), ("", 2, None, ["red"], "no passage"), (None, None, None, None, None),
+    ]
+    cases[0] = ("three groups: the red arm, blue and green", *cases[0][1:])
+    rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, quote string, declared int, labels array<string>, counted array<string>")
+    assert {r.i: r.census for r in census.census(rows).collect()} == {i: c[4] for i, c in enumerate(cases)}
