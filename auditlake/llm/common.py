@@ -138,3 +138,12 @@ def held_out(modulus: int, rest: int) -> Column:
 def bounded_ids(ids: DataFrame, most: int) -> DataFrame:
     """At most `most` of the rows, chosen by a hash of their doc_id: the same at every run and partitioning."""
     return ids.orderBy(F.xxhash64("doc_id"), *(c for c in ids.columns)).limit(most)
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text and more) of few doc_ids, one row for each: where a doc_id has several, the first by its text's hash, then by the other columns, so that a bound on doc_ids is one on rows."""
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    more = [c for c in rows.columns if c not in ("doc_id", "text")]
+    first = F.min_by(F.struct("text", *more), F.struct(F.xxhash64("text"), *more))
+    return rows.groupBy("doc_id").agg(first.alias("held")).select("doc_id", "held.*").select(*rows.columns)

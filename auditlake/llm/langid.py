@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_ids, cut, held_out, texts, utf8
+from auditlake.llm.common import bounded_ids, cut, held_out, one_text_each, texts, utf8
 
-#: Texts that the scores are learned from and trigrams kept (both parameters of the model), cost of a switch, and the share of a language's letters that makes a script its own.
-SAMPLE, TRIGRAMS, SWITCH, OWN = 20_000, 60_000, 6.0, 0.01
+#: Texts that the scores are learned from (a parameter of the model), times that a trigram must occur in them, cost of a switch, and the share of a language's letters that makes a script its own.
+SAMPLE, SEEN, SWITCH, OWN = 20_000, 2, 6.0, 0.01
 #: What is taken from the score of a language that a word's script rules out: more than any text's words add up to.
 FOREIGN = 1e9
 #: Bytes of text that are scored at once.
@@ -165,11 +165,12 @@ def viterbi(score: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-def learn(docs: DataFrame, most: int = SAMPLE, features: int = TRIGRAMS) -> Model:
-    """Trigram scores and scripts of each language, of which there may be any number, from at most `most` labelled texts outside the held-out rows. The `features` commonest trigrams of the sample are kept; others score nothing."""
-    known = docs.where("lang is not null and doc_id is not null").where(~held_out(5, 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    ids = bounded_ids(known, most).distinct()
-    sample = texts(docs).join(F.broadcast(ids), "doc_id").select("text", "lang")
+def learn(docs: DataFrame, most: int = SAMPLE) -> Model:
+    """Trigram scores and scripts of each language, of which there may be any number, from at most `most` labelled doc_ids outside the held-out rows, one text for each. Every trigram that occurs at least SEEN times in the sample is kept; others score nothing."""
+    labelled_docs = docs.where("lang is not null and doc_id is not null").where(~held_out(5, 0))
+    ids = bounded_ids(labelled_docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), most)
+    rows = texts(labelled_docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id")
+    sample = one_text_each(rows.select("doc_id", "text", "lang")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +184,9 @@ def learn(docs: DataFrame, most: int = SAMPLE, features: int = TRIGRAMS) -> Mode
 
     counted = cut(sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
-    top = counted.where("code >= 0").groupBy("code").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "code").limit(features).select("code")
-    # the model: for each language a number for each trigram kept and each script, as columns
-    held = counted.join(F.broadcast(top), "code", "left_semi").unionByName(counted.where("code < 0")).toArrow()
+    top = counted.where("code >= 0").groupBy("code").agg(F.sum("n").alias("all")).where(F.col("all") >= SEEN).select("code")
+    # the model: for each language a number for each trigram kept and each script, as columns; the sample bounds how many there are
+    held = counted.join(top, "code", "left_semi").unionByName(counted.where("code < 0")).toArrow()
     codes, number = held.column("code").to_numpy(), held.column("n").to_numpy()
     column = np.searchsorted(np.array(langs, object), np.array(held.column("lang").to_pylist(), object)) if langs else np.zeros(0, np.int64)
     code = np.unique(codes[codes >= 0])

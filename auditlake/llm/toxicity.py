@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, bounded_ids, cut, held_out, short_batches, texts
+from auditlake.llm.common import batched, bounded_ids, cut, held_out, one_text_each, short_batches, texts
 
-#: Labelled texts that a model is fitted on and terms that its lexicon holds (both parameters of the model), texts that a term must be in, letters of a stem.
-SAMPLE, TERMS, SEEN, STEM = 20_000, 3000, 4, 5
+#: Labelled texts that a model is fitted on (a parameter), toxic texts that a term must be in, letters of a stem.
+SAMPLE, SEEN, STEM = 20_000, 4, 5
 #: Words of the second person in the languages of the corpus, and how many words away they still count.
 YOU = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti tuyo vosotros".split())
 NEAR = 4
@@ -143,8 +143,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.maximum.accumulate(ys)
 
 
-def learn_lexicon(sample: DataFrame, most: int = TERMS) -> tuple[dict[str, float], dict[str, float]]:
-    """The `most` words and stems that occur in toxic texts far more often than in others, by smoothed log odds of texts times the root of their number, ties in order. sample: text, toxic."""
+def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """All words and stems that occur in at least SEEN toxic texts and far more often in those than in others, with the smoothed log odds of texts. sample: text, toxic; a term needs texts of the sample, whose number is bounded."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], list[int]] = {}
@@ -168,7 +168,7 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> tuple[dict[str, float
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
     counted = sample.mapInArrow(terms, "kind string, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counted.where(F.col("toxic") >= SEEN).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "kind", "term").limit(most).collect()
+    kept = counted.where(F.col("toxic") >= SEEN).withColumn("odds", odds).where("odds > 2.5").select("kind", "term", "odds").collect()
     return {r.term: r.odds for r in kept if r.kind == "word"}, {r.term: r.odds for r in kept if r.kind == "stem"}
 
 
@@ -187,20 +187,20 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), *self.steps), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, terms: int = TERMS) -> Model:
-    """Fit on at most `most` labelled doc_ids outside the held-out rows, with a lexicon of at most `terms`; texts and their labels alone are used. Rows with a null label or doc_id take no part; of repeated labels of a document the larger counts. Where doc_ids repeat, the first `most` texts by a hash of their doc_id and by their features are fitted on."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """Fit on at most `most` labelled doc_ids outside the held-out rows, one text for each; texts and their labels alone are used. Rows with a null label or doc_id take no part; of repeated labels of a document the larger counts. Where a doc_id repeats, the text of it that is first by its hash is fitted on."""
     known = labels.where("toxic is not null and doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = bounded_ids(known.where(~held_out(4, 2)), most)
     # the bound keeps this side small
-    sample = cut(texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"))
+    sample = cut(one_text_each(texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")))
     share = sample.agg(F.avg("toxic").alias("m"), F.count("*").alias("n")).first()
     if not share.n or share.m in (0.0, 1.0):
         return Model(float(share.m or 0.0))
     model = Model(float(share.m))
     # the last part of the sample calibrates; lexicon and trees don't see it
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    model.lexicon, model.stems = learn_lexicon(sample.where(~apart), terms)
-    rows = extracted(sample.withColumn("apart", apart.cast("int")), model, ["toxic", "apart"]).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(most).toPandas()
+    model.lexicon, model.stems = learn_lexicon(sample.where(~apart))
+    rows = extracted(sample.withColumn("apart", apart.cast("int")), model, ["toxic", "apart"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     x, y, late = np.array(rows["x"].tolist()), rows["toxic"].to_numpy(float), rows["apart"].to_numpy(bool)
     if y[~late].min(initial=1) == y[~late].max(initial=0) or not late.any():
         return Model(float(share.m))
@@ -221,11 +221,8 @@ def extracted(rows: DataFrame, model: Model, more: list[str]) -> DataFrame:
 
 
 def apply(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """All columns of docs with a score and what it predicts, under the given names, which must not be among them (ValueError). A null text is scored as an empty one."""
-    kept = docs.columns
-    if {n.lower() for n in names} & {c.lower() for c in kept}:
-        raise ValueError(f"docs have a column {' or '.join(names)}")
-
+    """All columns of docs with a score and what it predicts, under the given names; columns of docs that have these names are replaced, so whoever keeps them gives others. A null text is scored as an empty one."""
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     short_batches(docs.sparkSession)
     text = next(c for c in kept if c.lower() == "text")
 
@@ -241,7 +238,7 @@ def apply(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[st
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE, terms: int = TERMS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each document.
 
     A text of any length is scored whole, as densities over all its words; null and empty texts are
@@ -250,5 +247,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     scored. An empty table gives none; without labels of both kinds every score is the share of toxic
     ones (0 without any).
     """
-    model = fit(docs, labels, most, terms)
+    model = fit(docs, labels, most)
     return apply(texts(docs).select("doc_id", "text"), model, threshold).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")

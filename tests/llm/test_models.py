@@ -46,12 +46,13 @@ def test_ties_and_long_texts(spark, larger):
     assert all(r.predicted == (r.score >= tie) for r in toxicity.apply(spark.createDataFrame(rows, "doc_id long, text string"), model, threshold=tie).collect())
 
 
-def test_lexicon_is_bounded_and_ordered(spark):
-    rows = [(i, f"bad{i % 7} worse{i % 11} plain" if i % 2 else "plain words here", i % 2) for i in range(400)]
-    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    few = toxicity.learn_lexicon(sample, most=5)
-    assert sum(map(len, few)) == 5
-    assert all(few[0].items() <= toxicity.learn_lexicon(sample)[0].items() for _ in few)
+def test_lexicon_holds_every_term_over_its_bars(spark):
+    """No cap on terms: all that occur in enough toxic texts and tell them from others."""
+    rows = [(i, " ".join(f"bad{i % 7}x{j}" for j in range(600)) + " plain" if i % 2 else "plain words here", i % 2) for i in range(140)]
+    sample = spark.createDataFrame([*rows, (900, "rare rare rare", 1)], "doc_id long, text string, toxic int")
+    words, stems = toxicity.learn_lexicon(sample)
+    assert set(words) == {f"bad{k}x{j}" for k in range(7) for j in range(600)}
+    assert "plain" not in words and "rare" not in words and set(stems) == {f"bad{k}x" for k in range(7)}
 
 
 def test_trees_follow_their_nodes():
@@ -294,3 +295,17 @@ def test_decontamination_keeps_clean_rows(spark, docs, sf, odd):
 @pytest.mark.parametrize("pattern,text,want", [("abc", "xxabcxx", 0), ("abc", "xxabxx", 1), ("abc", "", 3), ("a" * 100, "a" * 97, 3), ("kitten", "the sitting", 2)])
 def test_bit_parallel_distance(pattern, text, want):
     assert decontam.myers(pattern, text, 9) == want == brute.edit_distance_inside(pattern, text)
+
+
+def test_one_text_for_each_doc_id(spark):
+    """A bound on doc_ids is one on the rows that a model learns from, however often one repeats."""
+    from pyspark.sql import functions as F
+
+    from auditlake.llm import common
+
+    rows = spark.createDataFrame([(1, f"text {i % 50}", i % 2) for i in range(500)] + [(2, "b", 1), (3, None, 0)], "doc_id long, text string, toxic int")
+    got = common.one_text_each(rows).collect()
+    first = rows.where("doc_id = 1").orderBy(F.xxhash64("text"), "toxic").first()
+    assert sorted((r.doc_id, r.text or "", r.toxic) for r in got) == sorted([(1, first.text, first.toxic), (2, "b", 1), (3, "", 0)])
+    single = rows.where("doc_id > 1")
+    assert common.one_text_each(single) is single
