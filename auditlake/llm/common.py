@@ -59,6 +59,15 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Rows of a few numbers for which a file of their own is laid.
+FILE_ROWS = 1 << 13
+
+
+def few_files(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, known to have at most so many rows of a few numbers, in as few partitions as hold FILE_ROWS each, so that small results don't make a file (and what it takes to lay one) for each of many partitions."""
+    return df.coalesce(min(partitions(df.sparkSession), most_rows // FILE_ROWS + 1))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, look_up, partitions, texts
+from auditlake.llm.common import batched, cut, few_files, look_up, partitions, texts
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -153,6 +153,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (the smallest node reachable) for the nodes of edges (a, b). Each round gives every node and its neighbours the smallest id known among them, first towards larger and then towards smaller ones, so that paths shorten by a constant factor a round and no node keeps a long list."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     size = None
+    # a round has no more links than the one before it, and the nodes
+    rows = 2 * now.count()
     for _ in range(most_rounds):
         # every larger neighbour of a node, and the node, to the smallest of the neighbourhood
         both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -161,7 +163,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # every smaller neighbour, and the node, to the smallest
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small)
+        now = cut(few_files(small, rows))
         state = now.agg(F.count("*").alias("n"), F.countDistinct("v").alias("nodes"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
         if size == (state.n, state.h) or state.n == 0:
             break
