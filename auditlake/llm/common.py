@@ -64,8 +64,8 @@ FILE_ROWS = 1 << 13
 
 
 def few_files(df: DataFrame, most_rows: int) -> DataFrame:
-    """df, known to have at most so many rows of a few numbers, in as few partitions as hold FILE_ROWS each, so that small results don't make a file (and what it takes to lay one) for each of many partitions."""
-    return df.coalesce(min(partitions(df.sparkSession), most_rows // FILE_ROWS + 1))
+    """df, known to have at most so many rows of a few numbers, in as few partitions as hold FILE_ROWS each, so that small results don't make a file (and what it takes to lay one) for each of many partitions. The rows are exchanged for it, so that the work before keeps its own partitions."""
+    return df.repartition(min(partitions(df.sparkSession), most_rows // FILE_ROWS + 1))
 
 
 def partitions(spark: SparkSession) -> int:
