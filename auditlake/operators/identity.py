@@ -11,10 +11,14 @@ from auditlake.operators.ordered import numbered
 #: Words that say nothing about an identity, and the form of a year.
 STOPWORDS = ("et", "al", "and", "the")
 YEAR = r"(?:19|20)\d{2}"
+#: A year by itself, and one that letters touch; digits of a longer number are no year.
+APART, TOUCHED = f"(?<![A-Za-z0-9]){YEAR}(?![A-Za-z0-9])", f"(?<![0-9]){YEAR}(?![0-9])"
 
 
 def year_of(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, f"({YEAR})", 1), F.lit(""))
+    """The first year that stands by itself, else the first that letters touch; null without one."""
+    first = lambda form: F.nullif(F.regexp_extract(text, f"({form})", 1), F.lit(""))
+    return F.coalesce(first(APART), first(TOUCHED))
 
 
 def label_tokens(text: Column) -> Column:
@@ -23,7 +27,10 @@ def label_tokens(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(folded(text)), YEAR, ""), "[^a-z0-9]", "")
+    """The letters and digits of a label without its years; those that letters touch stay where others stand by themselves."""
+    low = F.lower(folded(text))
+    bare = F.when(low.rlike(APART), F.regexp_replace(low, APART, "")).otherwise(F.regexp_replace(low, TOUCHED, ""))
+    return F.regexp_replace(bare, "[^a-z0-9]", "")
 
 
 def identities_match(query: str, candidate: str) -> Column:
