@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.sources.tables import settled
+
 
 def fill_down(rows: DataFrame, part: list[str], order: list[str], *columns: str) -> DataFrame:
     """Blank cells take what stands last above them."""
@@ -26,10 +28,10 @@ STRETCHES = 64
 
 
 def in_stretches(rows: DataFrame, part: list[str], lead: Column) -> DataFrame:
-    """rows with `_stretch`: 0 for the part's smallest values of a number, and so on, of about equal size, by approximate quantiles. Equal values are in one stretch."""
+    """rows with `_stretch`: 0 for the part's smallest values of a number, and so on, of about equal size, by approximate quantiles. Equal values are in one stretch. The quantiles depend on the order in which rows arrive, so they are estimated once for all who use the stretches."""
     shares = [i / STRETCHES for i in range(1, STRETCHES)]
     held = rows.withColumn("_lead", lead.cast("double"))
-    edges = held.groupBy(*part).agg(F.percentile_approx("_lead", shares, 10_000).alias("_edges"))
+    edges = settled(held.groupBy(*part).agg(F.percentile_approx("_lead", shares, 10_000).alias("_edges")))
     return held.join(edges, part).withColumn("_stretch", F.size(F.filter("_edges", lambda e: e < F.col("_lead")))).drop("_lead", "_edges")
 
 
