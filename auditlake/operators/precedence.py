@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import shared_share
 from auditlake.operators.cohorts import telling_tokens
+from auditlake.sources.tables import settled
 
 
 def _levels(rows: DataFrame, of: str, keys: list[Column]) -> DataFrame:
@@ -34,26 +35,31 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
-def names_column(said: Column, path: Column) -> Column:
-    """Whether a label's column is that of a cell: its path, its last part, or either within the other; a blank one names none."""
-    want, have = _plain(said), _plain(path)
+def names_column(want: Column, have: Column) -> Column:
+    """Whether a label's column is that of a cell, both in plain form: its path, its last part, or either within the other; a blank one names none."""
     return (want != "") & (F.contains(have, want) | F.contains(want, have) | (want == F.trim(F.element_at(F.split(have, " / "), -1))))
 
 
 def origins(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Where each cell's value comes from by the labels of its table: cells (cell, table_id, path, row) with value_source, level (row, column or table; null without a label) and conflict, whether labels of its whole column name several sources.
 
-    labels: table_id, column_path, row, value_source, pos. A label of the row in the column wins, then one of the whole column, then one of the whole table, each the first by pos. A table's labels are as few as it has columns and rows; they go to its cells at once.
+    labels: table_id, column_path, row, value_source, pos. A label of the row in the column wins, then one of the whole column, then one of the whole table, each the first by pos. Only different wordings of paths and labels meet, each pair once for a table; cells and labels that share them are looked up.
     """
-    held = labels.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("pos", "column_path", "row", "value_source"))).alias("labels"))
-    met = cells.join(held, "table_id", "left").withColumn("column", F.filter("labels", lambda x: names_column(x["column_path"], F.col("path"))))
-    first = lambda found: F.get(found, F.lit(0))["value_source"]
-    whole = F.filter("column", lambda x: x["row"].isNull())
-    met = met.withColumns({"of_row": first(F.filter("column", lambda x: x["row"] == F.col("row"))), "whole": whole, "of_table": first(F.filter("labels", lambda x: F.coalesce(x["column_path"], F.lit("")) == ""))})
-    of_column = first(F.col("whole"))
-    level = F.when(F.col("of_row").isNotNull(), "row").when(of_column.isNotNull(), "column").when(F.col("of_table").isNotNull(), "table")
-    conflict = F.coalesce(F.size(F.array_distinct(F.col("whole.value_source"))) > 1, F.lit(False))
-    return met.select(*cells.columns, F.coalesce("of_row", of_column, "of_table").alias("value_source"), level.alias("level"), conflict.alias("conflict"))
+    said = labels.withColumn("_want", _plain(F.col("column_path")))
+    held = cells.withColumn("_have", _plain(F.col("path")))
+    first = F.min(F.struct("pos", "column_path", "row", "value_source"))
+    source = F.col("value_source")
+    of_row = said.where("row is not null and _want <> ''").groupBy("table_id", "_want", "row").agg(first.alias("first"))
+    of_whole = said.where("row is null and _want <> ''").groupBy("table_id", "_want").agg(first.alias("first"), F.min(source).alias("least"), F.max(source).alias("most"), F.bool_or(source.isNull()).alias("blank"))
+    of_table = said.where(F.coalesce("column_path", F.lit("")) == "").groupBy("table_id").agg(first["value_source"].alias("_of_table"))
+    wordings = said.where("_want <> ''").select("table_id", "_want").distinct()
+    named = settled(held.select("table_id", "_have").distinct().join(wordings, "table_id").where(names_column(F.col("_want"), F.col("_have"))))
+    rows = named.join(of_row, ["table_id", "_want"]).groupBy("table_id", "_have", "row").agg(F.min("first")["value_source"].alias("_of_row"))
+    several = F.coalesce(F.min("least") != F.max("most"), F.lit(False)) | (F.bool_or("blank") & F.min("least").isNotNull())
+    whole = named.join(of_whole, ["table_id", "_want"]).groupBy("table_id", "_have").agg(F.min("first")["value_source"].alias("_of_column"), several.alias("_conflict"))
+    met = held.join(rows, ["table_id", "_have", "row"], "left").join(whole, ["table_id", "_have"], "left").join(of_table, "table_id", "left")
+    level = F.when(F.col("_of_row").isNotNull(), "row").when(F.col("_of_column").isNotNull(), "column").when(F.col("_of_table").isNotNull(), "table")
+    return met.select(*cells.columns, F.coalesce("_of_row", "_of_column", "_of_table").alias("value_source"), level.alias("level"), F.coalesce("_conflict", F.lit(False)).alias("conflict"))
 
 
 def singular_tokens(label: Column) -> Column:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditlake.operators import identity, ordered
+from auditlake.operators import identity, ordered, precedence
 
 
 def test_digits_of_a_longer_number_are_no_year(spark):
@@ -30,3 +30,23 @@ def test_places_do_not_depend_on_the_order_in_which_rows_arrive(spark):
         assert ordered.numbered(rows, ["part"], "k").select("place").distinct().count() == 300_000
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_origins_meet_by_wordings_not_by_cells(spark):
+    # many cells and labels of one table with few wordings: held against one another one by one they are 2.5 billion pairs
+    n = 50_000
+    labels = spark.range(n).select(F.lit("t").alias("table_id"), F.concat(F.lit("Col "), F.col("id") % 3).alias("column_path"), F.when(F.col("id") % 2 == 0, F.col("id") % 5).cast("int").alias("row"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 4)).alias("value_source"), F.col("id").alias("pos"))
+    cells = spark.range(n).select(F.col("id").alias("cell"), F.lit("t").alias("table_id"), F.concat(F.lit("Arm / col  "), F.col("id") % 4).alias("path"), (F.col("id") % 6).cast("int").alias("row"))
+    held = [(f"col {i % 3}", i % 5 if i % 2 == 0 else None, f"s{i % 4}" if i % 7 else None) for i in range(500)]
+
+    def expected(cell):
+        path, row = f"col {cell % 4}", cell % 6
+        mine = [x for x in held if x[0] == path]
+        whole = [x[2] for x in mine if x[1] is None]
+        by_row = next((x[2] for x in mine if x[1] == row), None)
+        by_column = whole[0] if whole else None
+        return by_row or by_column, "row" if by_row else "column" if by_column else None, len(set(whole)) > 1
+
+    got = precedence.origins(cells, labels).select("cell", "value_source", "level", "conflict").collect()
+    assert len(got) == n
+    assert {(r.cell % 12, r.value_source, r.level, r.conflict) for r in got} == {(c, *expected(c)) for c in range(12)}
