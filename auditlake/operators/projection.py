@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import shared_share
 from auditlake.operators.cohorts import telling_tokens
-from auditlake.operators.targets import SIDE, assign_arms, resolve_sides
+from auditlake.operators.targets import SIDE, assigned, resolve_sides
 
 AXES = ("basis", "analysis_set")
 
@@ -23,27 +23,34 @@ def targets_of(entries: DataFrame) -> DataFrame:
     return entries.where("usable").groupBy("batch", "shape", *names).agg(F.array_sort(F.collect_list(reading)).alias("readings"))
 
 
-def arm_candidates(requests: DataFrame, review: DataFrame, targets: DataFrame) -> DataFrame:
-    """requests of an arm (id, batch, study, cohort_key) with readings of the paper's arm that it is, or the status and reason that stand in the way. All arms of a review and of a batch are assigned at once."""
-    named = review.where("trim(label) <> ''")
-    wanted = requests.select("batch", "study").distinct()
-    ours = wanted.join(named, "study").select(F.struct("batch", "study").alias("study"), "arm", "label")
-    arms = targets.where("shape = 'arm'")
-    theirs = wanted.join(arms.select("batch", F.col("arm_label").alias("label")), "batch").select(F.struct("batch", "study").alias("study"), "label")
-    found = assign_arms(ours, theirs)
-    mapping = found.where("reason is null").select(F.col("study.batch").alias("batch"), F.col("study.study").alias("study"), F.col("arm").alias("cohort_key"), F.col("label").alias("arm_label"))
-    why = found.where("reason is not null").select(F.col("study.batch").alias("batch"), F.col("study.study").alias("study"), F.col("reason").alias("why"))
-    known = named.select("study").distinct().withColumn("known", F.lit(True))
-    held = requests.join(known, "study", "left").join(why, ["batch", "study"], "left").join(mapping, ["batch", "study", "cohort_key"], "left").join(arms.select("batch", "arm_label", "readings"), ["batch", "arm_label"], "left")
-    status = F.when((F.coalesce("cohort_key", F.lit("")) == "") | F.col("known").isNull(), "unsupported").when(F.col("why").isNotNull(), "ambiguous").when(F.col("readings").isNull(), "not_reported")
-    reason = F.when(status == "unsupported", "no cohort was asked for").when(status == "ambiguous", F.concat(F.lit("arms: "), F.col("why"))).when(status == "not_reported", "no arm of the batch is the one asked for")
-    return held.select("id", status.alias("first_status"), reason.alias("first_reason"), F.when(status.isNull(), F.col("readings")).alias("readings"))
+def by_batch(targets: DataFrame) -> DataFrame:
+    """What each batch has, in one row: theirs (labels of its arms, in order; null without one), arms (label, readings), whole (readings of the whole study) and anything."""
+    arm, study = F.col("shape") == "arm", F.col("shape") == "study"
+    labels = F.array_sort(F.collect_set(F.when(arm, F.col("arm_label"))))
+    arms = F.collect_list(F.when(arm, F.struct(F.col("arm_label").alias("label"), "readings")))
+    return targets.groupBy("batch").agg(F.when(F.count_if(arm) > 0, labels).alias("theirs"), arms.alias("arms"), F.flatten(F.collect_list(F.when(study, F.col("readings")))).alias("whole"), F.lit(True).alias("anything"))
+
+
+def single_candidates(requests: DataFrame, review: DataFrame, targets: DataFrame) -> DataFrame:
+    """requests of an arm or a whole study with readings of it, or the status and reason that stand in the way, and whether the batch has anything. All arms of a review and of a batch are assigned at once."""
+    ours = review.where("trim(label) <> ''").groupBy("study").agg(F.array_sort(F.collect_set(F.struct("arm", "label"))).alias("ours"))
+    arm, per = F.col("shape") == "arm", by_batch(targets)
+    sides = lambda rows: rows.join(ours, "study", "left").join(per, "batch", "left").withColumns({"known": F.col("ours").isNotNull(), "ours": F.when(arm, F.col("ours")), "theirs": F.when(arm, F.col("theirs"))})
+    held = assigned(sides(requests), stated=sides(requests.where("shape = 'arm'").select("batch", "study", "shape").distinct())).withColumnRenamed("reason", "why")
+    mine = F.get(F.filter("pairs", lambda x: x["arm"] == F.col("cohort_key")), F.lit(0))["label"]
+    held = held.withColumn("mine", mine).withColumn("of_arm", F.get(F.filter("arms", lambda x: x["label"] == F.col("mine")), F.lit(0))["readings"])
+    status = F.when(arm, F.when((F.coalesce("cohort_key", F.lit("")) == "") | ~F.col("known"), "unsupported").when(F.col("why").isNotNull(), "ambiguous").when(F.col("of_arm").isNull(), "not_reported"))
+    held = held.withColumn("first_status", status)
+    said = F.col("first_status")
+    reason = F.when(said == "unsupported", "no cohort was asked for").when(said == "ambiguous", F.concat(F.lit("arms: "), F.col("why"))).when(said == "not_reported", "no arm of the batch is the one asked for")
+    return held.select(*requests.columns, "anything", "first_status", reason.alias("first_reason"), F.when(said.isNull(), F.when(arm, F.col("of_arm")).otherwise(F.col("whole"))).alias("readings"))
 
 
 def comparison_candidates(requests: DataFrame, review: DataFrame, targets: DataFrame) -> DataFrame:
-    """requests of a comparison (id, batch, study, left, right) with readings of the one pair of the batch that is it, in its direction, or the status and reason that stand in the way."""
+    """requests of a comparison with readings of the one pair of the batch that is it, in its direction, or the status and reason that stand in the way, and whether the batch has anything."""
     pairs = targets.where("shape = 'comparison'").groupBy("batch").agg(F.collect_list(F.struct("left_label", "right_label", "readings")).alias("pairs"))
-    held = resolve_sides(requests.select("id", "batch", "study", "left", "right"), review).join(pairs, "batch", "left")
+    anything = targets.select("batch").distinct().withColumn("anything", F.lit(True))
+    held = resolve_sides(requests, review).join(pairs, "batch", "left").join(anything, "batch", "left")
     held = held.withColumns({"l": telling_tokens(F.col("left_label")), "r": telling_tokens(F.col("right_label"))})
     fit = lambda a, b, x: F.least(shared_share(F.col(a), telling_tokens(x["left_label"])), shared_share(F.col(b), telling_tokens(x["right_label"])))
     scored = F.transform("pairs", lambda x: F.struct(fit("l", "r", x).alias("forward"), fit("r", "l", x).alias("turned"), x["left_label"].alias("a"), x["right_label"].alias("b"), x["readings"].alias("readings")))
@@ -54,7 +61,7 @@ def comparison_candidates(requests: DataFrame, review: DataFrame, targets: DataF
         (F.col("why").isNotNull(), "unsupported", "the sides aren't two arms of the review"), (F.col("best").isNull(), "not_reported", "the batch has no comparison"), ((turned > forward) & (turned >= SIDE), "unsupported", "reported the other way round"),
         (forward < SIDE, "not_reported", "no comparison of the batch is the one asked for"), (F.coalesce(F.col("next") >= forward, F.lit(False)), "ambiguous", "two comparisons are as alike"),
     ]
-    return held.select("id", first_failing(rules, 1).alias("first_status"), first_failing(rules, 2).alias("first_reason"), "best.readings")
+    return held.select(*requests.columns, "anything", first_failing(rules, 1).alias("first_status"), first_failing(rules, 2).alias("first_reason"), "best.readings")
 
 
 def first_failing(rules: list[tuple], at: int) -> Column:
@@ -107,14 +114,10 @@ def project(requests: DataFrame, review: DataFrame, entries: DataFrame, batches:
     requests: id, batch, study, shape (arm, comparison, study), cohort_key, left, right, basis, analysis_set, required (axes), timepoint; review: study, arm, label; entries: see targets_of(); batches: batch, error; sums: id, total, exact, timed, of study requests. A batch that failed answers none of its claims. Ids are unique; repeated entries are readings that agree.
     """
     targets = targets_of(entries)
-    columns = ["id", "first_status", "first_reason", "readings"]
-    arms = arm_candidates(requests.where("shape = 'arm'"), review, targets).select(columns)
-    pairs = comparison_candidates(requests.where("shape = 'comparison'"), review, targets).select(columns)
-    whole = requests.where("shape = 'study'").select("id", "batch").join(targets.where("shape = 'study'").groupBy("batch").agg(F.flatten(F.collect_list("readings")).alias("readings")), "batch", "left")
+    asked = requests.join(sums, "id", "left").join(batches, "batch", "left")
+    single = single_candidates(asked.where("shape in ('arm', 'study')"), review, targets)
+    held = select_reading(single.unionByName(comparison_candidates(asked.where("shape = 'comparison'"), review, targets)))
     none = F.lit(None).cast("string")
-    found = arms.unionByName(pairs).unionByName(whole.select("id", none.alias("first_status"), none.alias("first_reason"), "readings"))
-    anything = targets.select("batch").distinct().withColumn("anything", F.lit(True))
-    held = select_reading(requests.join(found, "id")).join(batches, "batch", "left").join(sums, "id", "left").join(anything, "batch", "left")
     study = study_outcome(F.col("status"), F.col("reading.value"), F.col("total"), F.col("exact"), F.col("timed"))
     failed, first = F.coalesce("error", F.lit("")) != "", F.col("first_status").isNotNull()
     held = held.withColumn("whole", study)

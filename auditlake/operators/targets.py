@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import bound, flat, matches, quoted, shared_share
 from auditlake.operators.cohorts import affinity, slug, telling_tokens
+from auditlake.sources.tables import settled
 
 #: Least affinity of a pair that is kept and of either side of a comparison, the least by which the best must lead, characters by which the nearest reading must lead, and arms of a side that are still assigned (fixed values).
 LEAST, SIDE, LEAD, GAP, ARMS = 0.34, 0.5, 0.08, 4, 7
+#: Cases of arms and labels that are broadcast.
+CASES = 1 << 14
 #: How far apart a label and a value are of which one isn't there (fixed value).
 NOWHERE = 10**6
 MATCHING = "array<struct<total:double,cols:array<int>>>"
@@ -39,28 +42,41 @@ def best_two(weights: Column, cols: Column, partial: bool) -> Column:
     return F.when(cols > 0, both(F.flatten(F.aggregate(weights, start, step)))).otherwise(none)
 
 
-def assign_arms(review: DataFrame, paper: DataFrame, least: float = LEAST, lead: float = LEAD) -> DataFrame:
-    """One paper arm for each arm of a review, all at once. review: study, arm (key), label; paper: study, label.
-
-    Of all one-to-one assignments the one with the largest sum of affinities counts, over its pairs of at least `least`; a study where another one comes within `lead` is refused, as is one with more than seven arms on a side, none on one, or no likeness. Rows study, arm, label, reason: a row for each pair, or one with the reason.
-    """
-    # a label that is said twice is one, and so is an arm; its best label counts
-    score = review.alias("r").join(paper.alias("p"), "study").groupBy("study", F.col("r.arm").alias("arm"), F.col("p.label").alias("label")).agg(F.max(affinity(F.col("r.label"), F.col("p.label"))).alias("score"))
-    held = score.groupBy("study").agg(F.array_sort(F.collect_set("arm")).alias("arms"), F.array_sort(F.collect_set("label")).alias("labels"), F.collect_list(F.struct("arm", "label", "score")).alias("scores"))
+def assigned(sides: DataFrame, least: float = LEAST, lead: float = LEAD, stated: DataFrame | None = None) -> DataFrame:
+    """sides (ours: arms and their labels in order, each once; theirs: labels in order, each once; null: none) with reason and pairs (arm, label), as assign_arms() says. Studies that state the same on both sides are one case, which is worked out once. stated: rows with all cases of sides, where these are made with less work."""
+    cases = (sides if stated is None else stated).where("ours is not null and theirs is not null").select("ours", "theirs").distinct()
     few = (F.size("arms") <= ARMS) & (F.size("labels") <= ARMS)
-    weight = lambda a, p: F.get(F.filter("scores", lambda x: (x["arm"] == a) & (x["label"] == p) & (x["score"] >= least)), F.lit(0))["score"]
-    held = held.withColumn("weights", F.when(few, F.transform("arms", lambda a: F.transform("labels", lambda p: weight(a, p)))))
+    held = cases.withColumns({"arms": F.array_distinct(F.filter("ours.arm", lambda a: a.isNotNull())), "labels": F.col("theirs")})
+    held = held.withColumn("mine", F.when(few, F.transform("ours", lambda o: F.struct(o["arm"].alias("arm"), telling_tokens(o["label"]).alias("words")))))
+    held = held.withColumn("words", F.when(few, F.transform("labels", telling_tokens)))
+    # an arm's best label counts
+    best = lambda a, p: F.array_max(F.transform(F.filter("mine", lambda o: o["arm"] == a), lambda o: shared_share(o["words"], p)))
+    weight = lambda a, p: F.get(F.filter(F.array(best(a, p)), lambda x: x >= least), F.lit(0))
+    held = held.withColumn("weights", F.when(few, F.transform("arms", lambda a: F.transform("words", lambda p: weight(a, p)))))
     held = held.withColumn("found", F.when(few, best_two(F.col("weights"), F.size("labels"), partial=True)))
     first, second = F.get("found", F.lit(0)), F.get("found", F.lit(1))
     empty = ~F.exists(first["cols"], lambda c: c >= 0)
     rival = F.exists(second["cols"], lambda c: c >= 0) & (first["total"] - second["total"] < lead)
     reason = F.when(~few, "too many arms").when(empty, "no likeness").when(F.coalesce(rival, F.lit(False)), "ambiguous")
-    held = held.withColumns({"reason": reason, "cols": first["cols"]})
+    held = held.withColumns({"_reason": reason, "cols": first["cols"]})
     pairs = F.filter(F.transform("arms", lambda a, i: F.struct(a.alias("arm"), F.when(F.get("cols", i) >= 0, F.get("labels", F.get("cols", i))).alias("label"))), lambda x: x["label"].isNotNull())
+    told = settled(held.select("ours", "theirs", "_reason", F.when(F.col("_reason").isNull(), pairs).alias("pairs")))
+    lone = F.when(F.col("ours").isNull() != F.col("theirs").isNull(), "nothing to assign")
+    told = F.broadcast(told) if told.count() <= CASES else told
+    return sides.join(told, ["ours", "theirs"], "left").withColumn("reason", F.coalesce("_reason", lone)).drop("_reason")
+
+
+def assign_arms(review: DataFrame, paper: DataFrame, least: float = LEAST, lead: float = LEAD) -> DataFrame:
+    """One paper arm for each arm of a review, all at once. review: study, arm (key), label; paper: study, label.
+
+    Of all one-to-one assignments the one with the largest sum of affinities counts, over its pairs of at least `least`; a study where another one comes within `lead` is refused, as is one with more than seven arms on a side, none on one, or no likeness. Rows study, arm, label, reason: a row for each pair, or one with the reason.
+    """
+    # a label that is said twice is one, and so is an arm
+    ours = review.groupBy("study").agg(F.array_sort(F.collect_set(F.struct("arm", "label"))).alias("ours"))
+    theirs = paper.groupBy("study").agg(F.array_sort(F.collect_set("label")).alias("theirs"))
+    held = assigned(ours.join(theirs, "study", "full"), least, lead)
     none = F.struct(F.lit(None).cast(review.schema["arm"].dataType).alias("arm"), F.lit(None).cast(paper.schema["label"].dataType).alias("label"))
-    told = held.select("study", F.explode(F.when(F.col("reason").isNull(), pairs).otherwise(F.array(none))).alias("x"), "reason").select("study", "x.arm", "x.label", "reason")
-    lone = review.select("study").union(paper.select("study")).distinct().join(held.select("study"), "study", "left_anti")
-    return told.unionByName(lone.select("study", F.lit(None).cast(review.schema["arm"].dataType).alias("arm"), F.lit(None).cast(paper.schema["label"].dataType).alias("label"), F.lit("nothing to assign").alias("reason")))
+    return held.select("study", F.explode(F.when(F.col("reason").isNull(), F.col("pairs")).otherwise(F.array(none))).alias("x"), "reason").select("study", "x.arm", "x.label", "reason")
 
 
 def label_pattern(label: Column) -> Column:

@@ -1,9 +1,11 @@
 """What larger tables brought to light: years inside numbers, edges that are estimated twice, work that grew with a square."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditlake.operators import identity, ordered, precedence
+from auditlake.operators import identity, ordered, precedence, targets
 
 
 def test_digits_of_a_longer_number_are_no_year(spark):
@@ -50,3 +52,16 @@ def test_origins_meet_by_wordings_not_by_cells(spark):
     got = precedence.origins(cells, labels).select("cell", "value_source", "level", "conflict").collect()
     assert len(got) == n
     assert {(r.cell % 12, r.value_source, r.level, r.conflict) for r in got} == {(c, *expected(c)) for c in range(12)}
+
+
+def test_studies_that_state_the_same_are_assigned_once(spark):
+    # seven arms on both sides of each study: worked out one by one they took many minutes
+    n = 20_000
+    arms = spark.range(n).select(F.col("id").alias("study"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i"))
+    review = arms.select("study", F.concat(F.lit("a"), F.col("i")).alias("arm"), F.concat(F.lit("drug x"), F.col("i")).alias("label"))
+    paper = arms.select("study", F.concat(F.lit("Drug x"), F.col("i") + F.col("study") % 2, F.lit(" group")).alias("label"))
+    began = time.time()
+    got = targets.assign_arms(review, paper).groupBy("arm", "label", "reason").count().collect()
+    assert time.time() - began < 100
+    pairs = {(r.arm, r.label): r["count"] for r in got if r.reason is None}
+    assert all(pairs[f"a{i}", f"Drug x{i} group"] == (n if i else n // 2) for i in range(7))
