@@ -1,11 +1,13 @@
 """What larger tables brought to light: years inside numbers, edges that are estimated twice, work that grew with a square."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from auditlake.operators import identity, ordered, precedence, targets
+from auditlake.operators import identity, knowledge, lookup, ordered, precedence, targets
 
 
 def test_digits_of_a_longer_number_are_no_year(spark):
@@ -65,3 +67,28 @@ def test_studies_that_state_the_same_are_assigned_once(spark):
     assert time.time() - began < 100
     pairs = {(r.arm, r.label): r["count"] for r in got if r.reason is None}
     assert all(pairs[f"a{i}", f"Drug x{i} group"] == (n if i else n // 2) for i in range(7))
+
+
+def test_a_block_of_queries_takes_bounded_memory():
+    draw = np.random.default_rng(3)
+    vectors, asked = draw.normal(size=(10_000, 8)), draw.normal(size=(4096, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(vectors))], ["id", "vector"])
+    tracemalloc.start()
+    rows = {}
+    for got in knowledge._best_of(list(range(4096)), asked.tolist(), 3)(iter([batch])):
+        for query, entry in zip(got.column("query").to_pylist(), got.column("id").to_pylist()):
+            rows.setdefault(query, []).append(entry)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    score = asked @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    assert rows == {i: np.argsort(-score[i])[:3].tolist() for i in range(4096)}
+
+
+def test_a_document_is_put_into_normal_form_once_however_many_values_it_is_asked_for(spark):
+    # a document of 2 MB for 400 values
+    document = spark.range(1).select(F.lit(1).alias("source"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(200_000)), lambda i: F.concat(F.lit("Wé-"), i)), " ").alias("text"))
+    said = spark.range(400).select(F.lit(1).alias("source"), F.concat(F.lit("we "), F.col("id") * 100, F.when(F.col("id") % 4 == 0, " and no").otherwise("")).alias("said"))
+    began = time.time()
+    assert lookup.verbatim(said, document).count() == 300
+    assert time.time() - began < 60
