@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.units import normal_unit
 
-#: Queries that one scan of the entries serves.
-BLOCK = 4096
+#: Queries that one scan of the entries serves, and scores that a task holds at once.
+BLOCK, SCORES = 4096, 1 << 20
 
 
 def name_key(name: Column) -> Column:
@@ -111,8 +111,10 @@ def _best_of(ids: list[int], vectors: list[list[float]], k: int):
             order = np.argsort(entry, kind="stable")
             for n, (names, q) in asked.items():
                 x = unit(np.array([v if v is not None and len(v) == n and None not in v else [0.0] * n for v in held], np.float64).reshape(-1, n))[order]
-                score = np.nan_to_num(q @ x.T)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(entry[order][best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query", "id", "score"])
+                some = max(1, SCORES // max(1, len(x)))
+                for at in range(0, len(names), some):
+                    score = np.nan_to_num(q[at : at + some] @ x.T)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + some], best.shape[1])), pa.array(entry[order][best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query", "id", "score"])
 
     return run
