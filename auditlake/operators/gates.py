@@ -141,8 +141,10 @@ def dangling(rows: DataFrame, batches: DataFrame) -> DataFrame:
 
 def plan_difference(made: DataFrame, planned: DataFrame) -> DataFrame:
     """Batches (claim_ids) that were planned and not made, and the other way round."""
-    sets = lambda rows: rows.select(F.array_join(F.array_sort("claim_ids"), "|").alias("members")).distinct()
-    return sets(planned).exceptAll(sets(made)).withColumn("why", F.lit("not made")).unionByName(sets(made).exceptAll(sets(planned)).withColumn("why", F.lit("not planned")))
+    sets = lambda rows, there: rows.select(F.array_join(F.array_sort("claim_ids"), "|").alias("members"), F.lit(there).alias("there"))
+    # both ways in one count, as a set counts once however often it is there
+    met = sets(made, 1).unionByName(sets(planned, 2)).groupBy("members").agg(F.min("there").alias("a"), F.max("there").alias("b")).where("a = b")
+    return met.select("members", F.when(F.col("a") == 1, "not planned").otherwise("not made").alias("why"))
 
 
 def projected_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

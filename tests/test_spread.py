@@ -1,8 +1,10 @@
 """Costly work on rows is dealt to many tasks before it starts, and is done once a row."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import tables
+from auditlake.operators import cohorts, gates, tables
+from auditlake.plans import capture, review, scores
 
 
 def plan_lines(df):
@@ -29,3 +31,12 @@ def test_headers_are_read_once_and_by_many_tasks(spark):
     assert {(r.place, r.arm) for r in got.where("table_id = 3").collect()} == {(1, "A"), (2, "B"), (3, "RD"), (4, "blue")}
     assert got.groupBy("table_id").count().where("count <> 4").isEmpty()
     assert headers.select(tables.measure_of(F.col("header")).alias("m")).where("m is not null").count() == 250
+
+
+def test_executions_are_checked_by_order_and_plans_in_one_count(spark, sf):
+    got = scores.execution_checks(spark, sf)
+    assert dealt_before(got, "collect_set")
+    sets = lambda *xs: spark.createDataFrame([(x,) for x in xs], "claim_ids array<string>")
+    found = gates.plan_difference(sets(["b", "a"], ["c"], ["c"], ["d"]), sets(["a", "b"], ["d"], ["e"], ["e"]))
+    assert sorted((r.members, r.why) for r in found.collect()) == [("c", "not planned"), ("e", "not made")]
+    assert sum("Aggregate" in line for line in plan_lines(found)) <= 2
