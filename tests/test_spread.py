@@ -40,3 +40,16 @@ def test_executions_are_checked_by_order_and_plans_in_one_count(spark, sf):
     found = gates.plan_difference(sets(["b", "a"], ["c"], ["c"], ["d"]), sets(["a", "b"], ["d"], ["e"], ["e"]))
     assert sorted((r.members, r.why) for r in found.collect()) == [("c", "not planned"), ("e", "not made")]
     assert sum("Aggregate" in line for line in plan_lines(found)) <= 2
+
+
+def test_claims_that_say_the_same_are_judged_once(spark):
+    claims = spark.range(0, 20_000, 1, 1).select((F.col("id") % 2).alias("review"), "id", F.element_at(F.array(*map(F.lit, ("red", "blue", "all"))), (F.col("id") % 3 + 1).cast("int")).alias("target"), F.when(F.col("id") % 4 == 0, "Red Arm").when(F.col("id") % 4 < 3, "blue ring").alias("label"))
+    known = spark.createDataFrame([(0, "red", ["red arm", "red"]), (0, "blue", ["blue ring"])], "review long, key string, variants array<string>")
+    met = cohorts.cohort_verdict(claims, known)
+    joined = [line for line in plan_lines(met) if "Join" in line]
+    assert len(joined) == 2
+    # the second join, of claims with verdicts, is by more than a review's few wordings
+    assert any("share" in line for line in joined)
+    got = {(r.review, r.target, r.label): r.verdict for r in met.select("review", "target", "label", "verdict").distinct().collect()}
+    assert got[(0, "red", "Red Arm")] == "ok" and got[(0, "red", "blue ring")] == "wrong_cohort" and got[(0, "all", "Red Arm")] == "ok" and got[(1, "red", "blue ring")] == "ok"
+    assert met.count() == 20_000
