@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numeric import components, with_cells
+from auditlake.sources.tables import spread
 
 
 def _plain(text: Column) -> Column:
@@ -22,8 +23,8 @@ def mentions(text: Column, needles: Column) -> Column:
     return F.exists(F.coalesce(needles, F.array().cast("array<string>")), lambda n: (_plain(n) != "") & F.contains(padded, F.concat(F.lit(" "), _plain(n), F.lit(" "))))
 
 
-def matching_claims(claims: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of a claim and an item that asks for it: its field type is one of the item's or its names hold an alias; it has a value, with all the parts that the item wants. claims: claim, study_id, group, field_type, raw_name, header, value."""
+def _matching(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """As matching_claims, with a pair repeated for each word that claim and item meet by. Items are a checklist's few and are told to all tasks, so that claims stay where they are."""
     held = with_cells(claims.where("value is not null and value <> ''"), _cell=F.col("value"))
     named = F.concat_ws(" ", "raw_name", "header", F.replace("field_type", F.lit("_"), F.lit(" ")))
     held = held.withColumns({"_parts": components(F.col("_cell")), "_said": _plain(named)})
@@ -31,9 +32,14 @@ def matching_claims(claims: DataFrame, items: DataFrame) -> DataFrame:
     first = lambda x: F.split(_plain(x), " ")[0]
     keys = items.withColumn("_key", F.explode(F.array_distinct(F.concat(F.transform(F.coalesce("field_types", F.array().cast("array<string>")), lambda t: F.concat(F.lit("="), t)), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), first)))))
     asked = held.withColumn("_key", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "field_type")), F.split("_said", " ")))))
-    met = asked.join(keys.select("_key", "item", "pos", "scope", "field_types", "aliases", "parts"), "_key")
+    met = asked.join(F.broadcast(keys.select("_key", "item", "pos", "scope", "field_types", "aliases", "parts")), "_key")
     good = (F.coalesce(F.array_contains("field_types", F.col("field_type")), F.lit(False)) | mentions(F.col("_said"), F.col("aliases"))) & (F.size(F.array_except(F.coalesce("parts", F.array().cast("array<string>")), "_parts")) == 0)
-    return met.where(good).select("claim", "study_id", "group", "item", "pos", "scope").distinct()
+    return met.where(good).select("claim", "study_id", "group", "item", "pos", "scope")
+
+
+def matching_claims(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of a claim and an item that asks for it: its field type is one of the item's or its names hold an alias; it has a value, with all the parts that the item wants. claims: claim, study_id, group, field_type, raw_name, header, value."""
+    return _matching(spread(claims, "claim"), items).distinct()
 
 
 def status_of(expected: Column, found: Column, required: Column | None = None) -> Column:
@@ -51,7 +57,7 @@ def coverage(claims: DataFrame, items: DataFrame, studies: DataFrame | None = No
     target = lambda rows, scope: rows.select(F.lit(scope).alias("scope"), *(F.col(c) if c in rows.columns else F.lit("").alias(c) for c in ("study_id", "group")))
     one = items.sparkSession.range(1).select(F.lit("review").alias("scope"), F.lit("").alias("study_id"), F.lit("").alias("group"))
     every = one.unionByName(target(known, "per_study")).unionByName(target(arms, "per_cohort"))
-    found = matching_claims(claims, items.where("kind <> 'presence'"))
+    found = _matching(spread(claims, "claim"), items.where("kind <> 'presence'"))
     hit = found.select("item", F.when(F.col("scope") == "review", "").otherwise(F.col("study_id")).alias("study_id"), F.when(F.col("scope") == "per_cohort", F.col("group")).otherwise("").alias("group"), F.lit(1).alias("hit")).distinct()
     expected = items.join(every, "scope", "left").join(hit, ["item", "study_id", "group"], "left")
     counted = expected.groupBy("item", "scope", "required").agg(F.count("study_id").alias("expected"), F.count("hit").alias("found"))
@@ -60,7 +66,7 @@ def coverage(claims: DataFrame, items: DataFrame, studies: DataFrame | None = No
 
 def gaps(claims: DataFrame, items: DataFrame) -> DataFrame:
     """Studies that a required item of scope per_study finds nothing in."""
-    found = matching_claims(claims, items).select("item", "study_id").distinct()
+    found = _matching(spread(claims, "claim"), items).select("item", "study_id").distinct()
     wanted = items.where("required and scope = 'per_study'").select("item")
     studies = claims.select("study_id").where("study_id <> ''").distinct()
     # items are a checklist's few, so each study meets each of them
@@ -69,7 +75,8 @@ def gaps(claims: DataFrame, items: DataFrame) -> DataFrame:
 
 def owners(claims: DataFrame, items: DataFrame) -> DataFrame:
     """claims with the first item that asks for each, unless they name one already; none is added."""
-    first = matching_claims(claims, items.where("kind <> 'presence'")).groupBy("claim").agg(F.min(F.struct("pos", "item")).alias("first"))
+    claims = spread(claims, "claim")
+    first = _matching(claims, items.where("kind <> 'presence'")).groupBy("claim").agg(F.min(F.struct("pos", "item")).alias("first"))
     out = claims.join(first, "claim", "left")
     own = F.nullif(F.col("checklist_id"), F.lit("")) if "checklist_id" in claims.columns else F.lit(None).cast("string")
     return out.withColumn("checklist_id", F.coalesce(own, F.col("first.item"))).drop("first")

@@ -53,3 +53,10 @@ def test_claims_that_say_the_same_are_judged_once(spark):
     got = {(r.review, r.target, r.label): r.verdict for r in met.select("review", "target", "label", "verdict").distinct().collect()}
     assert got[(0, "red", "Red Arm")] == "ok" and got[(0, "red", "blue ring")] == "wrong_cohort" and got[(0, "all", "Red Arm")] == "ok" and got[(1, "red", "blue ring")] == "ok"
     assert met.count() == 20_000
+
+
+def test_claims_meet_a_checklist_where_they_are(spark, sf):
+    for query in (review.checklist_coverage, review.checklist_gaps, review.checklist_owners):
+        lines = query(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not any("hashpartitioning(_key" in line for line in lines)
+        assert any("REPARTITION_BY_NUM" in line for line in lines)
