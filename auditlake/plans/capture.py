@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators import anchoring, cohorts, tables, targets
-from auditlake.sources.tables import table
+from auditlake.sources.tables import spread, table
 
 
 def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def comparison_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two brands set against each other in several ways of writing, and the tokens that tell the left one."""
     k = F.col("p_partkey")
     text = F.when(k % 5 == 0, F.concat(F.lower("p_brand"), F.lit("_vs_"), F.lower("p_type"))).when(k % 5 == 1, F.concat("p_brand", F.lit("  Versus "), "p_type")).when(k % 5 == 2, F.concat("p_brand", F.lit(" vs. a vs b"))).when(k % 5 == 3, F.lit("vs. x")).otherwise(F.concat("p_brand", F.lit(" 3 mg group - vs - the "), "p_type"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", cohorts.comparison(text).alias("c"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey").select("p_partkey", cohorts.comparison(text).alias("c"))
     return rows.select("p_partkey", F.col("c.left").alias("left_side"), F.col("c.right").alias("right_side"), F.array_join(cohorts.telling_tokens(F.col("c.left")), " ").alias("tokens"))
 
 

@@ -60,3 +60,20 @@ def test_claims_meet_a_checklist_where_they_are(spark, sf):
         lines = query(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
         assert not any("hashpartitioning(_key" in line for line in lines)
         assert any("REPARTITION_BY_NUM" in line for line in lines)
+
+
+@pytest.mark.parametrize(
+    ("query", "word"),
+    [
+        (capture.comparison_targets, "regexp_replace"),
+    ],
+)
+def test_costly_rows_are_dealt_before_they_are_read(spark, sf, query, word):
+    assert dealt_before(query(spark, sf), word)
+
+
+def test_a_comparison_is_parsed_once(spark):
+    rows = spark.createDataFrame([("Red_vs._blue",), ("a vs b vs c",), ("vs x",), (None,)], "t string")
+    got = rows.select(cohorts.comparison(F.col("t")).alias("c"))
+    assert [(r.c and tuple(r.c)) for r in got.collect()] == [("red", "blue"), None, None, None]
+    assert sum(line.count("regexp_replace(") for line in plan_lines(got)) == 1
