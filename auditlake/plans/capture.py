@@ -149,7 +149,7 @@ def value_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.lower("c_mktsegment")
     text = F.when(k % 4 == 0, said(label, one, ", control", two)).when(k % 4 == 1, said(label, "and control had", one, "and", two)).when(k % 4 == 2, said("control", one, "but", label, two)).otherwise(said(one, label, two, "control"))
     claims = F.array(F.struct(label.alias("label"), one.alias("value")), F.struct(F.lit("control").alias("label"), two.alias("value")))
-    rows = table(spark, sf_dir, "customer").select(k, F.upper(text).alias("text"), claims.alias("claims"))
+    rows = spread(table(spark, sf_dir, "customer").select(k, "c_mktsegment"), "c_custkey").select(k, F.upper(text).alias("text"), claims.alias("claims"))
     return targets.by_their_labels(rows, "text", "claims").select("c_custkey", "locality")
 
 
