@@ -181,7 +181,7 @@ def binding_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.when(k % 4 == 3, "\n \n").otherwise("  and ")
     document = F.concat(F.lit("Title.\n\nThe  treated-\npeople"), gap, pad, F.lit("numbered "), n, F.lit(" in all."))
     quote = F.when(k % 4 == 0, F.concat(F.lit("the treated-people and numbered "), n)).otherwise(F.concat(F.lit("numbered "), n, F.lit(" in")))
-    rows = table(spark, sf_dir, "orders").select((k % 4).alias("kind"), F.when(k % 9 == 0, "").when(k % 10 == 0, "absent").otherwise("treated-people").alias("phrase"), n.alias("value"), quote.alias("quote"), document.alias("document"))
+    rows = spread(table(spark, sf_dir, "orders").select(k), "o_orderkey").select((k % 4).alias("kind"), F.when(k % 9 == 0, "").when(k % 10 == 0, "absent").otherwise("treated-people").alias("phrase"), n.alias("value"), quote.alias("quote"), document.alias("document"))
     return anchoring.binding(rows, "phrase", "value", "quote", "document").groupBy("kind", "phrase", "binding").agg(F.count("*").alias("n"))
 
 

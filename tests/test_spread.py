@@ -69,6 +69,7 @@ def test_claims_meet_a_checklist_where_they_are(spark, sf):
         (capture.value_locality, "regexp_replace"),
         (capture.header_paths, "Window"),
         (review.local_papers, "regexp_replace"),
+        (capture.binding_verdicts, "regexp_replace"),
     ],
 )
 def test_costly_rows_are_dealt_before_they_are_read(spark, sf, query, word):
