@@ -30,7 +30,7 @@ from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, R
 #: Words in an anchor.
 ANCHOR = 4
 #: Bytes of text in a run and in one numpy pass, and pieces of a run for each receiving task.
-RUN_BYTES, PASS_BYTES, PIECES = 12 << 20, 2 << 20, 8
+RUN_BYTES, PASS_BYTES, PIECES = 6 << 20, 1 << 19, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
@@ -302,7 +302,8 @@ def word_duplicates(rows: DataFrame, window: int = 20) -> DataFrame:
                     run.size += len(data)
                     if size >= PASS_BYTES:
                         run.add([x[2] for x in held], [x[0] for x in held], [x[1] for x in held])
-                        held, size = [], 0
+                        held.clear()
+                        size = 0
                         if run.size >= RUN_BYTES:
                             yield from run.out(packer)
             run.add([x[2] for x in held], [x[0] for x in held], [x[1] for x in held])

@@ -5,6 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+import zstandard
 
 from auditlake.llm import rlz_dedup, segments, simhash, suffix_dedup
 
@@ -159,3 +160,23 @@ def test_no_link_is_lost_between_close_fingerprints(spark):
 @pytest.mark.parametrize("run", [suffix_dedup.dedup_substrings, rlz_dedup.dedup_spans, simhash.near_duplicates])
 def test_empty_tables(docs, run):
     assert run(docs.limit(0)).collect() == []
+
+
+def test_a_run_of_segments_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = np.array([b"w%d" % i for i in range(50_000)], object)
+    run, packer = rlz_dedup.Run(64, 20), zstandard.ZstdCompressor(level=3)
+    per = max(1, rlz_dedup.PASS_BYTES // 6)
+    rlz_dedup.powers(1 << 20)
+    tracemalloc.start()
+    for i in range(12 << 20 >> 9):
+        run.add([words[rng.integers(0, len(words), per)].tolist()], [i], [0])
+        run.size += rlz_dedup.PASS_BYTES
+        if run.size >= rlz_dedup.RUN_BYTES:
+            break
+    assert sum(len(x[3]) for x in run.out(packer)) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
