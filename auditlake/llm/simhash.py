@@ -45,8 +45,17 @@ def fingerprint(text: str, shingle: int) -> int:
     ones = np.zeros(64, np.int64)
     for a in range(0, n, BLOCK):
         b = min(n, a + BLOCK)
-        h = np.array([digest(view[s:e], SEED) for s, e in zip(at[a:b], (x - 1 for x in at[a + shingle : b + shingle]))], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bits(np.array([digest(view[s:e], SEED) for s, e in zip(at[a:b], (x - 1 for x in at[a + shingle : b + shingle]))], "<u8"))
+    return majority(ones, n)
+
+
+def bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

@@ -108,6 +108,41 @@ def test_near_copies_in_large_groups(spark, docs):
     assert len(set(group.values())) < 80
 
 
+def test_near_copies_are_found_by_fingerprints_first(spark, docs, monkeypatch):
+    """What fingerprints link and the sets confirm is grouped before any prefix is compared; what only prefixes find is there as well."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 9000, 60 if k % 2 else 900)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-1] + ["other"])), (10 * k + 2, " ".join(words[:30] + ["other"] + words[31:]))]
+    sets = {d: near_copies.shingle_set(t, 5) for d, t in rows}
+    ids = {d: near_copies.set_id(h) for d, h in sets.items()}
+    bit = lambda d: np.array([sum(int(h) >> i & 1 for h in sets[d]) * 2 > len(sets[d]) for i in range(64)])
+    prints = {d: bit(d) for d in sets}
+    assert all(near_copies.set_print(sets[d]) % (1 << 64) == sum(int(b) << i for i, b in enumerate(prints[d])) for d in sets)
+    near = {frozenset((ids[a], ids[b])) for a in sets for b in sets if a < b and (prints[a] != prints[b]).sum() <= 3}
+    grouped, join = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda links: (grouped.append({frozenset((r.a, r.b)) for r in links.collect()}), join(links))[1])
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert grouped[0] and grouped[0] <= near and grouped[0] < grouped[-1]
+    parent = {i: i for i in ids.values()}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in map(sorted, grouped[0]):
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in map(sorted, near))
+    assert {r.doc_id: r.first_id for r in found} == brute.near_groups(rows)
+
+
+def test_pairs_of_fingerprints_span_their_links(spark):
+    """Equal ones, a chain by three bits each, a lone one, and two that differ in a high bit."""
+    prints = [(1, 5), (2, 5), (3, 5 ^ 0b111), (4, 5 ^ 0b111111), (5, ~5), (6, -1 << 40), (7, (-1 << 40) ^ 1 << 50)]
+    group = {i: {i} for i, _ in prints}
+    for r in near_copies.by_prints(spark.createDataFrame(prints, "set long, fp long"), 4).collect():
+        for x in group[r.a] | group[r.b]:
+            group[x] = group[r.a] | group[r.b] | group[x]
+    assert [min(group[i]) for i, _ in prints] == [1, 1, 1, 1, 5, 6, 6]
+
+
 def test_pairs_between_groups():
     rng = np.random.default_rng(7)
     e = np.zeros(1500, near_copies.ENTRY)
