@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditlake.operators import retrieval, sections
+from auditlake.operators import lookup, retrieval, sections
 from auditlake.plans import review
 
 
@@ -53,3 +53,21 @@ def test_keywords_are_counted_where_the_texts_are(spark, sf):
     held = retrieval._most_shared(queries.toArrow(), 5)
     out = list(held(iter(entries.toArrow().to_batches(max_chunksize=100))))
     assert sum(b.num_rows for b in out) <= 5 * len(asked)
+
+
+def test_tables_are_found_by_their_axes_alone(spark):
+    """Only the columns that are asked for are worked out, and what claims say in the same words is put into normal form once, also where a word is missing."""
+    cells = spark.createDataFrame([(1, "t", "", h, r, c, x) for h, r, c, x in ((True, 0, 1, "Red (n = 4)"), (False, 0, 0, "Weight"), (False, 1, 0, "Weight"), (False, 1, 1, "7"))], "source long, table_id string, caption string, head boolean, r int, c int, text string")
+    some = lookup.table_records(cells, *lookup.AXES)
+    assert some.columns == ["source", "table_id", *lookup.AXES]
+    [whole] = lookup.table_records(cells).select("rows", *lookup.AXES).collect()
+    assert [tuple(whole[c] for c in lookup.AXES)] == [tuple(r[c] for c in lookup.AXES) for r in some.collect()]
+    assert whole.rows == [["Weight", ""], ["Weight", "7"]] and whole.row_words == ["weight"] and whole.row_text == "Weight | Weight"
+    said = [("a", 1, None, "red", None, None, ["weight"]), ("b", 2, None, "red", None, None, ["weight"]), ("c", 1, " Mean ", None, None, [], None), ("d", 1, "x_y", "all", "", ["z"], [])]
+    claims = spark.createDataFrame([(*c, "") for c in said], "claim string, source long, kind string, group string, cohort string, variants array<string>, names array<string>, mapped string")
+    asked = lookup.asked(claims)
+    assert "regexp_replace" not in asked._jdf.queryExecution().executedPlan().toString()
+    got = {r.claim: (r.kind, r.combined, r.fields, r.cohorts) for r in asked.collect()}
+    assert got == {"a": ("", False, ["weight"], ["red"]), "b": ("", False, ["weight"], ["red"]), "c": ("mean", True, ["mean"], []), "d": ("x_y", True, ["x y"], [])}
+    found = {r.claim: (r.status, r.matched) for r in lookup.locate_tables(asked, some).collect()}
+    assert found == {"a": ("unique", ["t"]), "b": ("no_tables", []), "c": ("none", []), "d": ("none", [])}
