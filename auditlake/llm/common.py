@@ -49,7 +49,7 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 #: Bytes of a batch that goes to a Python worker. An executor holds a few of them for each of its cores, beside its heap.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def short_batches(spark: SparkSession) -> None:

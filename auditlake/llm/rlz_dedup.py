@@ -14,6 +14,7 @@ up one by one in an index that is dealt by the windows' digests, which finds the
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
 from itertools import accumulate
@@ -24,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, partitions, tagged_texts
+from auditlake.llm.common import batched, cut, partitions, short_batches, tagged_texts
 from auditlake.llm.segments import HOT, LATE, MARK, MARKS, PACKED, PACKED_DDL, RUN, TOGETHER, Marks, crowds, joined, late_row, mark_rows, mix, removed_spans, segments
 
 #: Words in an anchor.
 ANCHOR = 4
 #: Bytes of text in a run and in one numpy pass, and pieces of a run for each receiving task.
 RUN_BYTES, PASS_BYTES, PIECES = 6 << 20, 1 << 19, 8
+#: Bytes of words that are hashed at once, and marks of repeats that are joined at once.
+STRETCH, REPEATS = 1 << 17, 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
@@ -45,14 +48,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of single-spaced bytes."""
+    """Starts, ends and hashes of the words of single-spaced bytes. Sums run over a stretch of words at a time, so that what is held beside the words is bounded, but for a longer word."""
     gap = data == 32
     edge = np.flatnonzero(np.concatenate(([True], gap[:-1])) & ~gap)
     end = np.flatnonzero(np.concatenate((gap[1:], [True])) & ~gap) + 1
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    return edge, end, mix((sums[end] - sums[edge]) * down[edge])
+    h = np.zeros(len(edge), np.uint64)
+    i = 0
+    while i < len(edge):
+        at = edge[i]
+        j = max(i + 1, int(np.searchsorted(end, at + STRETCH, "right")))
+        part = data[at : end[j - 1]]
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        h[i:j] = (sums[end[i:j] - at] - sums[edge[i:j] - at]) * down[edge[i:j] - at]
+        i = j
+    return edge, end, mix(h)
 
 
 def anchor_hashes(h: np.ndarray) -> np.ndarray:
@@ -65,13 +76,17 @@ def anchor_hashes(h: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+#: A segment of a run: its anchor's hash and how far into it that is, document, tag, first token, tokens, and where its bytes are among the texts of the run.
+SEGMENT = np.dtype([("key", "<u8"), ("left", "<i2"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<i8"), ("span", "<i4"), ("text", "<i4"), ("start", "<i8"), ("end", "<i8")])
+
+
 class Run:
-    """The segments of some texts, equal ones held once, under the earliest; the others are marked at once."""
+    """The segments of some texts, as places in them. Equal ones are given out once, under the earliest; the others are marked."""
 
     def __init__(self, n: int, window: int):
         self.n, self.window, self.size = n, window, 0
-        self.held: dict[bytes, tuple] = {}
-        self.again: list[tuple] = []
+        self.texts: list[bytes] = []
+        self.held: list[np.ndarray] = []
 
     def add(self, words: list[list[bytes]], docs: list[int], tags: list[int]) -> None:
         counts = np.array([len(w) for w in words], np.int64)
@@ -84,47 +99,57 @@ class Run:
         first, anchor, count, doc = segments(h, ANCHOR, self.window, bounds)
         if not len(first):
             return
-        place = (first - bounds[doc]).tolist()
-        span = (count + self.window - 1).tolist()
-        a, b = start[first].tolist(), end[first + count + self.window - 2].tolist()
-        held, again = self.held, self.again
-        for s, e, left, key, i, p, m in zip(a, b, (anchor - first).tolist(), h[anchor].tolist(), doc.tolist(), place, span):
-            content = raw[s:e]
-            d, t = docs[i], tags[i]
-            was = held.get(content)
-            if was is None or was[0] != key:
-                # a content has one anchor: its windows fix it, whatever stands around them
-                held[content] = (key, left, d, t, p)
-            elif was[2:] <= (d, t, p):
-                if was[2:] < (d, t, p):
-                    again.append((d, t, p, p + m))
-            else:
-                held[content] = (key, left, d, t, p)
-                again.append((*was[2:], was[4] + m))
+        e = np.zeros(len(first), SEGMENT)
+        e["key"], e["left"], e["doc"], e["tag"] = h[anchor], anchor - first, np.array(docs, np.int64)[doc], np.array(tags, np.int64)[doc]
+        e["place"], e["span"], e["text"] = first - bounds[doc], count + self.window - 1, len(self.texts)
+        e["start"], e["end"] = start[first], end[first + count + self.window - 2]
+        self.texts.append(raw)
+        self.held.append(e)
 
     def out(self, packer: zstandard.ZstdCompressor) -> Iterator[tuple]:
-        if self.again:
-            a = np.array(self.again, np.int64)
-            yield from mark_rows(joined(a[:, 0], a[:, 1], a[:, 2], a[:, 3]), self.n)
-        by: dict[int, list[tuple]] = {}
-        for content, x in self.held.items():
-            by.setdefault(x[0] % (self.n * PIECES), []).append((*x, content))
-        for bucket, rows in by.items():
-            rows.sort()
-            for a, b in reversed(crowds([x[0] for x in rows])):
-                yield bucket % self.n, 0, HOT, rows[a][0].to_bytes(8, "little")
-                for _, _, d, t, p, content in rows[a:b]:
-                    yield whole_late(content, d, t, p, self.window, self.n)
-                del rows[a:b]
-            if rows:
-                yield bucket % self.n, bucket // self.n, RUN, packer.compress(pack(rows))
-        self.held, self.again, self.size = {}, [], 0
-
-
-def pack(rows: list[tuple]) -> bytes:
-    key, left, doc, tag, place, content = zip(*rows)
-    parts = [np.array([len(rows)], "<i8"), np.array(key, "<u8"), np.array(doc, "<i8"), np.array(place, "<i8"), np.array([len(c) for c in content], "<i4"), np.array(tag, "<i8"), np.array(left, "<i2")]
-    return b"".join([*(p.tobytes() for p in parts), *content])
+        if self.held:
+            e, texts = np.concatenate(self.held), self.texts
+            self.held, self.texts = [], []
+            bucket = (e["key"] % np.uint64(self.n * PIECES)).astype(np.int64)
+            # equal contents have one anchor at one place: their windows fix it, whatever stands around them
+            order = np.lexsort((e["place"], e["tag"], e["doc"], e["left"], e["key"], bucket))
+            e, bucket = e[order], bucket[order]
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            again, of = array("q"), array("q")
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                earliest: dict[bytes, int] = {}
+                where = zip(*(e[c][a:b].tolist() for c in ("text", "start", "end")))
+                for i, (k, s, t) in enumerate(where, a):
+                    if (first := earliest.setdefault(texts[k][s:t], i)) != i:
+                        again.append(i)
+                        of.append(first)
+                yield from self.bucket(int(bucket[a]), e[[*earliest.values()]], [*earliest], packer)
+            del texts
+            yield from self.repeats(e, np.array(again, np.int64), np.array(of, np.int64))
+        self.size = 0
+
+    def bucket(self, bucket: int, e: np.ndarray, contents: list[bytes], packer: zstandard.ZstdCompressor) -> Iterator[tuple]:
+        """Different segments of one bucket, ordered by key; those of crowded anchors go to the second exchange."""
+        left = np.ones(len(e), bool)
+        for a, b in reversed(crowds(e["key"].tolist())):
+            yield bucket % self.n, 0, HOT, int(e["key"][a]).to_bytes(8, "little")
+            for i in range(a, b):
+                yield whole_late(contents[i], *(int(e[c][i]) for c in ("doc", "tag", "place")), self.window, self.n)
+            left[a:b] = False
+        if left.any():
+            yield bucket % self.n, bucket // self.n, RUN, packer.compress(pack(e[left], [contents[i] for i in np.flatnonzero(left).tolist()]))
+
+    def repeats(self, e: np.ndarray, again: np.ndarray, of: np.ndarray) -> Iterator[tuple]:
+        """Marks of segments that repeat an earlier one; what stands at the same place, in a repeated row, is no repeat."""
+        for at in range(0, len(again), REPEATS):
+            x, y = e[again[at : at + REPEATS]], e[of[at : at + REPEATS]]
+            x = x[(x["doc"] != y["doc"]) | (x["tag"] != y["tag"]) | (x["place"] != y["place"])]
+            yield from mark_rows(joined(x["doc"], x["tag"], x["place"], x["place"] + x["span"]), self.n)
+
+
+def pack(e: np.ndarray, contents: list[bytes]) -> bytes:
+    parts = [np.array([len(e)], "<i8"), *(np.ascontiguousarray(e[c]) for c in ("key", "doc", "place")), (e["end"] - e["start"]).astype("<i4"), *(np.ascontiguousarray(e[c]) for c in ("tag", "left"))]
+    return b"".join([*(p.tobytes() for p in parts), *contents])
 
 
 def whole_late(content: bytes, doc: int, tag: int, place: int, window: int, n: int) -> tuple:
@@ -369,6 +394,7 @@ def dedup_spans(docs: DataFrame, window: int = 20, keep_text: bool = False, more
     holds the kept words, joined by single spaces, and the text unchanged where none goes. Columns
     named in `more` go along, as the fields of a struct of that name.
     """
+    short_batches(docs.sparkSession)
     rows = tagged_texts(docs, F.struct(*more).alias("more")) if more else tagged_texts(docs)
     n = partitions(docs.sparkSession)
     result = RESULT.append(pa.field("kept_text", pa.string())) if keep_text else RESULT

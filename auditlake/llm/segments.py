@@ -13,6 +13,7 @@ was found to the texts; how equal content is found is each operator's own.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,8 @@ HOT, RUN, MARKS, LATE = -1, 0, 1, 2
 MARK = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("end", "<i8")])
 #: Positions that one call looks at; longer inputs are taken in overlapping parts.
 SPAN = 1 << 22
+#: Bytes of texts after which what is left of them is given out.
+GIVEN_BYTES = 2 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,16 +113,16 @@ def mark_rows(marks: np.ndarray, n: int) -> Iterator[tuple]:
 class Marks:
     """Collects marks and gives them out packed, in bounded portions."""
 
-    def __init__(self, n: int, most: int = 500_000):
-        self.n, self.most, self.rows = n, most, []
+    def __init__(self, n: int, most: int = 200_000):
+        self.n, self.most, self.rows = n, most, array("q")
 
     def add(self, doc: int, tag: int, start: int, end: int) -> None:
-        self.rows.append((doc, tag, start, end))
+        self.rows.extend((doc, tag, start, end))
 
     def out(self, last: bool = False) -> Iterator[tuple]:
-        if self.rows and (last or len(self.rows) >= self.most):
-            a = np.array(self.rows, dtype=np.int64)
-            self.rows = []
+        if self.rows and (last or len(self.rows) >= 4 * self.most):
+            a = np.array(self.rows, dtype=np.int64).reshape(-1, 4)
+            self.rows = array("q")
             yield from mark_rows(joined(a[:, 0], a[:, 1], a[:, 2], a[:, 3]), self.n)
 
 
@@ -212,12 +215,17 @@ def removed_spans(rows: DataFrame, found: DataFrame, n: int, last: Callable, res
                 edge = np.flatnonzero(np.concatenate(([True], new, [True]))) if len(marks) else np.zeros(1, int)
                 by = {(int(marks["doc"][a]), int(marks["tag"][a])): (a, b) for a, b in zip(edge[:-1], edge[1:])}
             batch = batch.filter(pa.array(late))
-            out = []
-            for doc, tag, data in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("data")):
+            out, size, at = [], 0, 0
+            for i, (doc, tag, data) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("data")), 1):
                 a, b = by.get((doc, tag), (0, 0))
-                out.append((doc, *last(opener.decompress(data.as_py()), marks["start"][a:b], marks["end"][a:b])))
-            made = to_batch(out, result)
-            yield made.append_column("more", batch.column("more")) if carried else made
+                text = opener.decompress(data.as_py())
+                out.append((doc, *last(text, marks["start"][a:b], marks["end"][a:b])))
+                size += len(text)
+                # texts are several times as large as they travelled
+                if size >= GIVEN_BYTES or i == batch.num_rows:
+                    made = to_batch(out, result)
+                    yield made.append_column("more", batch.column("more").slice(at, i - at)) if carried else made
+                    out, size, at = [], 0, i
 
     return placed.repartitionById(n, F.col("pid")).sortWithinPartitions("late").mapInArrow(finish, ddl)
 

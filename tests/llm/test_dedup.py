@@ -180,3 +180,55 @@ def test_a_run_of_segments_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120 << 20
+
+
+def test_a_run_holds_places_of_its_segments():
+    """Held as places in their texts, the segments of a run take a few times its bytes until they are given out, and marks take 32 bytes each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = np.array([b"w%d" % i for i in range(50_000)], object)
+    run, packer = rlz_dedup.Run(64, 20), zstandard.ZstdCompressor(level=3)
+    passes = rlz_dedup.RUN_BYTES // rlz_dedup.PASS_BYTES
+    rlz_dedup.powers(1 << 20)
+    tracemalloc.start()
+    for i in range(passes):
+        run.add([words[rng.integers(0, len(words), rlz_dedup.PASS_BYTES // 7)].tolist()], [i], [0])
+    held = tracemalloc.get_traced_memory()[0]
+    assert sum(len(x[3]) for x in run.out(packer)) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 3 * rlz_dedup.RUN_BYTES and peak < 6 * rlz_dedup.RUN_BYTES, (held, peak)
+
+    marks = segments.Marks(4, most=1 << 20)
+    tracemalloc.start()
+    for i in range(100_000):
+        marks.add(i << 40, i << 41, i << 10, (i << 10) + 20)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100_000 * 40
+    got = np.concatenate([np.frombuffer(x[3], segments.MARK) for x in marks.out(last=True)])
+    assert len(got) == 100_000 and not marks.rows
+
+
+def test_words_are_hashed_alike_in_stretches(monkeypatch):
+    data = np.frombuffer(b" ".join(b"x" * (i % 37 + 1) + b"%d" % (i % 11) for i in range(500)), np.uint8)
+    whole = rlz_dedup.word_hashes(data)
+    monkeypatch.setattr(rlz_dedup, "STRETCH", 20)
+    parts = rlz_dedup.word_hashes(data)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) == 500
+
+
+def test_long_texts_that_travel_small(spark):
+    """What is left of texts that shrink much on their way is given out in portions, each with its own further columns."""
+    rng = np.random.default_rng(3)
+    text = lambda i: " ".join([f"own{i}"] + ["again"] * int(rng.integers(100, 400)) + [f"end{i}"])
+    rows = [(i, text(i)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, f"c{i}") for i, t in rows], "doc_id long, text string, note string").repartition(3)
+    was, segments.GIVEN_BYTES = segments.GIVEN_BYTES, 1000
+    try:
+        got = rlz_dedup.dedup_spans(docs, more=["note"]).select(*SPAN, "more.note").collect()
+    finally:
+        segments.GIVEN_BYTES = was
+    assert all(r.note == f"c{r.doc_id}" for r in got)
+    assert Counter(tuple(r)[:4] for r in got) == Counter(x[:4] for x in brute.spans(rows))
