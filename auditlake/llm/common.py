@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that end within it take their shuffle files with them. What a checkpoint was made from isn't read again, but else its files stay until the driver happens to collect its garbage, and those of all steps lie there at once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """The name, with as many marks before it as it takes to be none of the columns; upper and lower case are the same to Spark."""
     taken = {c.lower() for c in columns}
@@ -68,6 +81,12 @@ def few_files(df: DataFrame, most_rows: int) -> DataFrame:
     return df.repartition(min(partitions(df.sparkSession), most_rows // FILE_ROWS + 1))
 
 
+def few_tasks(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, known to have at most so many rows of a few numbers, worked on by as few tasks as get FILE_ROWS each. Nothing is exchanged for it: each task takes on several partitions, so that a step whose work is small doesn't run a task, with its files and its events, for each partition of a shuffle. A single task's rows need no exchange in later steps either."""
+    tasks = most_rows // FILE_ROWS + 1
+    return df if tasks >= partitions(df.sparkSession) else df.coalesce(tasks)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -90,9 +109,9 @@ def tagged_texts(docs: DataFrame, *more: str | Column) -> DataFrame:
 TOLD = 1 << 20
 
 
-def small(rows: DataFrame, otherwise: str | None = None) -> DataFrame:
-    """rows, of a few numbers each, to be broadcast if they are counted to be at most TOLD; else with the given join hint, or none."""
-    if rows.count() <= TOLD:
+def small(rows: DataFrame, otherwise: str | None = None, most: int | None = None) -> DataFrame:
+    """rows, of a few numbers each, to be broadcast if they are counted (or, with most, known) to be at most TOLD; else with the given join hint, or none."""
+    if (rows.count() if most is None else most) <= TOLD:
         return F.broadcast(rows)
     return rows.hint(otherwise) if otherwise else rows
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import batched, cut, few_files, look_up, partitions, texts
+from auditlake.llm.common import batched, cut, few_tasks, look_up, partitions, texts
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -70,23 +70,21 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(links: list[tuple[np.ndarray, np.ndarray]], n: int, parent: np.ndarray | None = None) -> np.ndarray:
-    """Roots after joining linked places 0 .. n-1, each root the smallest of its tree."""
-    parent = np.arange(n) if parent is None else parent
-    for a, b in links:
-        while len(a):
-            ra, rb = parent[a], parent[b]
-            split = ra != rb
-            if not split.any():
-                break
-            a, b, ra, rb = a[split], b[split], ra[split], rb[split]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-    return parent
+def spanning(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins linked places in parent, where each has the root of its tree, the smallest of it, and gives those of the links that span what is joined."""
+    kept = [np.zeros((2, 0), np.int64)]
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        split = ra != rb
+        a, b, low, high = a[split], b[split], np.minimum(ra, rb)[split], np.maximum(ra, rb)[split]
+        # a tree is hung by one link to the smallest root it meets
+        order = np.lexsort((low, high))
+        one = order[np.unique(high[order], return_index=True)[1]]
+        kept.append(np.stack([np.minimum(a[one], b[one]), np.maximum(a[one], b[one])]))
+        parent[high[one]] = low[one]
+        while ((up := parent[parent]) != parent).any():
+            parent[:] = up
+    return tuple(np.concatenate(kept, axis=1))
 
 
 #: Distances computed at once.
@@ -94,18 +92,17 @@ AREA = 1 << 20
 
 
 def table_entry(fp: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what an entry joins. own: the fingerprints laid into the table here; the others look it up. Equal pairs are ordered (smaller, larger) as unsigned places of fp."""
+    """Links that span what an entry joins, each of at most so many bits. own: the fingerprints laid into the table here; the others look it up. Pairs are ordered (smaller, larger) as places of fp."""
     laid = np.flatnonzero(own)
     if not len(laid) or len(fp) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    parent = np.arange(len(fp))
+    parent, found = np.arange(len(fp)), []
     rows = max(1, AREA // len(laid))
     for at in range(0, len(fp), rows):
         near = np.bitwise_count(fp[at : at + rows, None] ^ fp[None, laid]) <= most
         a, b = np.nonzero(near)
-        parent = forest([(a + at, laid[b])], len(fp), parent)
-    child = np.flatnonzero(parent != np.arange(len(fp)))
-    return parent[child], child
+        found.append(spanning(a + at, laid[b], parent))
+    return tuple(np.concatenate([x[i] for x in found]) for i in (0, 1))
 
 
 def links(distinct: DataFrame, most: int, n: int) -> DataFrame:
@@ -159,21 +156,23 @@ def links(distinct: DataFrame, most: int, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component (the smallest node reachable) for the nodes of edges (a, b). Each round gives every node and its neighbours the smallest id known among them, first towards larger and then towards smaller ones, so that paths shorten by a constant factor a round and no node keeps a long list."""
+    """node and component (the smallest node reachable) for the nodes of edges (a, b). Each round gives every node and its neighbours the smallest id known among them, first towards larger and then towards smaller ones, so that paths shorten by a constant factor a round and no node keeps a long list. Few links are worked on by few tasks."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     size = None
     # a round has no more links than the one before it, and the nodes
     rows = 2 * now.count()
+    few = lambda df: few_tasks(df, rows)
+    now = few(now)
     for _ in range(most_rounds):
         # every larger neighbour of a node, and the node, to the smallest of the neighbourhood
-        both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        both = few(now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u"))))
+        least = few(both.groupBy("v").agg(F.min("u").alias("m"))).withColumn("m", F.least("m", "v"))
+        large = few(few(both.where("u > v").join(least, "v")).select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct())
         # every smaller neighbour, and the node, to the smallest
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(few_files(small, rows))
-        state = now.agg(F.count("*").alias("n"), F.countDistinct("v").alias("nodes"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
+        least = few(large.groupBy("v").agg(F.min("u").alias("m")))
+        small = few(few(large.join(least, "v")).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("u <> v").distinct())
+        now = few(cut(small))
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
         if size == (state.n, state.h) or state.n == 0:
             break
         size = (state.n, state.h)
