@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import folded, letter
 from auditlake.operators.ordered import numbered
+from auditlake.sources.tables import spread
 
 #: Words that say nothing about an identity, and the form of a year.
 STOPWORDS = ("et", "al", "and", "the")
@@ -61,7 +62,7 @@ def best_identity(queries: DataFrame, candidates: DataFrame, key: str, label: st
     A pair that matches meets in a block: equal labels; the query's longest word, with which some word of the candidate
     must begin; or the letters of one, with which those of the other begin. Blocks are hashes, and the rule decides.
     """
-    q, c = prepared(queries, key, label), prepared(candidates, key, label)
+    q, c = (prepared(spread(rows, key), key, label) for rows in (queries, candidates))
     whole = lambda kind, text: F.when(text != "", F.array(F.xxhash64(F.lit(kind), text)))
     none, letters = F.array().cast("array<bigint>"), F.col("letters")
     joined = lambda *parts: F.concat(*(F.coalesce(p, none) for p in parts))
@@ -69,7 +70,8 @@ def best_identity(queries: DataFrame, candidates: DataFrame, key: str, label: st
     q_blocks = joined(whole("=", F.lower("label")), F.when(F.size("tokens") > 0, whole("w", longest)), whole("l", letters), _prefixes("r", letters, 1))
     c_words = F.flatten(F.transform("tokens", lambda t: F.when(F.length(t) < 3, F.array(F.xxhash64(F.lit("w"), t))).otherwise(_prefixes("w", t, 3))))
     c_blocks = joined(whole("=", F.lower("label")), c_words, _prefixes("l", letters, 1), whole("r", letters))
-    blocks = lambda rows, made: rows.withColumn("block", F.explode(F.array_distinct(made)))
+    # a row has some dozens of blocks, of which Spark's estimate of sizes knows nothing: told from it, it would broadcast them all
+    blocks = lambda rows, made: rows.withColumn("block", F.explode(F.array_distinct(made))).hint("merge")
     met = blocks(q, q_blocks).alias("q").join(blocks(c, c_blocks).alias("c"), F.col("q.block") == F.col("c.block")).where(identities_match("q", "c"))
     exact = F.lower("q.label") == F.lower("c.label")
     holds = (F.size("q.tokens") > 0) & (F.size(F.array_except("q.tokens", "c.tokens")) == 0)
