@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.sources.tables import tidy as tidy
+
 #: White space that separates words; every other byte belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -41,18 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that end within it take their shuffle files with them. What a checkpoint was made from isn't read again, but else its files stay until the driver happens to collect its garbage, and those of all steps lie there at once."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def free_name(columns: list[str], name: str) -> str:
     """The name, with as many marks before it as it takes to be none of the columns; upper and lower case are the same to Spark."""
     taken = {c.lower() for c in columns}
